@@ -1,15 +1,55 @@
-"""From raw documents to a training mix: stages, each the work of one operator."""
+"""From raw documents to a training mix: five stages, each the work of one operator of loamline.llm."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from loamline.llm import decontaminate, line_dedup, mixing, quality_model, simhash
+from loamline.llm.shared import table
+
+
+def _own(struct_rows: DataFrame, columns: list[str]) -> DataFrame:
+    return struct_rows.select(*[F.col(f"row.`{c}`") for c in columns])
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps: rejected ones, junk or toxic, go."""
+    scored = quality_model.scored(docs, docs, table(spark, sf_dir, "labels"))
+    return _own(scored.where("kept"), docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without lines that an earlier line equals or nearly equals; n_chars follows. Documents whose words are all gone go."""
+    found = line_dedup.without_repeats(docs)
+    text = {"text": F.col("kept_text"), "n_chars": F.when(F.col("n_gone") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("row.n_chars"))}
+    return found.where("n_gone = 0 or n_gone < n_lines").select(*[text.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component: that of the smallest doc_id."""
+    return simhash.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by benchmark passages."""
+    found = decontaminate.annotated(docs, table(spark, sf_dir, "benchmark"))
+    return _own(found.where("not contaminated"), docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The training mix: each document as often as its source's target takes it, numbered in `copy`."""
+    return mixing.emitted(docs)
+
+
+STAGES = [("quality", quality), ("line_dedup", lines), ("simhash", near_duplicates), ("decontamination", decontamination), ("mixing", mixture)]
+
+#: The classifier is fitted and the mix is drawn by hash, so SQL can't express the rows; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
