@@ -63,13 +63,9 @@ def variants(ws: Column) -> Column:
     return let(F.transform(F.sequence(F.lit(0), n), lambda i: pair(i - 1, i)), keys)
 
 
-def _one_edit(a: Column, a_at: Column, b: Column, b_at: Column) -> Column:
-    """Whether the words are equal once a loses its word a_at and b its word b_at (-1: none)."""
-
-    def rest(ws: Column, at: Column) -> Column:
-        return F.when(at < 0, ws).otherwise(F.concat(F.slice(ws, F.lit(1), F.greatest(at, F.lit(0))), F.slice(ws, F.greatest(at, F.lit(0)) + 2, F.size(ws))))
-
-    return rest(a, a_at) == rest(b, b_at)
+def _rest(ws: Column, at: Column) -> Column:
+    """The words without word `at` (-1: all of them)."""
+    return F.when(at < 0, ws).otherwise(F.concat(F.slice(ws, F.lit(1), F.greatest(at, F.lit(0))), F.slice(ws, F.greatest(at, F.lit(0)) + 2, F.size(ws))))
 
 
 def near_lines(lines: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -78,13 +74,20 @@ def near_lines(lines: DataFrame, distinct: DataFrame) -> DataFrame:
     shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half")
     able = halves.join(shared, "half", "left_semi").select("h1", "h2", "ord").distinct()
     cand = cut(lines.join(able, "ord").select("h1", "h2", "ord", "ws"))
-    v = cand.select("ord", F.inline(variants(F.col("ws"))).alias("key", "at"))
-    hubs = v.groupBy("key", "at").agg(F.min("ord").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1 or at = -1").select("key", F.col("at").alias("hub_at"), "hub")
-    met = v.join(hubs, "key").where("(at = hub_at and at >= 0 or at >= 0 and hub_at = -1) and ord <> hub")
-    pairs = met.select(F.greatest("ord", "hub").alias("later"), F.least("ord", "hub").alias("sooner"), F.when(F.col("ord") > F.col("hub"), F.col("at")).otherwise(F.col("hub_at")).alias("later_at"), F.when(F.col("ord") > F.col("hub"), F.col("hub_at")).otherwise(F.col("at")).alias("sooner_at"))
+    # what lines share by the quick key is keyed again by all its words, so that no chance meeting hides a true one
+    quick = cand.select("h1", "h2", F.inline(variants(F.col("ws"))).alias("key", "at"))
+    common = quick.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key")
+    rest = _rest(F.col("ws"), F.col("at"))
+    met_once = quick.join(common, "key", "left_semi").select("h1", "h2", "at")
+    v = cut(met_once.join(cand, ["h1", "h2"]).select("ord", "at", F.xxhash64(rest).alias("e1"), F.xxhash64(F.lit("rest"), F.size(rest), rest).alias("e2")))
+    hubs = v.groupBy("e1", "e2", "at").agg(F.min("ord").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1 or at = -1").select("e1", "e2", F.col("at").alias("hub_at"), "hub")
+    met = v.join(hubs, ["e1", "e2"]).where("at >= 0 and (at = hub_at or hub_at = -1) and ord <> hub")
+    later = F.col("ord") > F.col("hub")
+    pairs = met.select(F.greatest("ord", "hub").alias("later"), F.least("ord", "hub").alias("sooner"), F.when(later, F.col("at")).otherwise(F.col("hub_at")).alias("later_at"), F.when(later, F.col("hub_at")).otherwise(F.col("at")).alias("sooner_at"))
     one = cut(pairs.groupBy("later").agg(F.min(F.struct("sooner", "later_at", "sooner_at")).alias("w")).select("later", "w.*"))
     a, b = cand.select(F.col("ord").alias("later"), "h1", "h2", F.col("ws").alias("a")), cand.select(F.col("ord").alias("sooner"), F.col("ws").alias("b"))
-    return one.join(a, "later").join(b, "sooner").where(_one_edit(F.col("a"), F.col("later_at"), F.col("b"), F.col("sooner_at"))).select("h1", "h2").distinct()
+    near = _rest(F.col("a"), F.col("later_at")) == _rest(F.col("b"), F.col("sooner_at"))
+    return one.join(a, "later").join(b, "sooner").where(near).select("h1", "h2").distinct()
 
 
 def repeated_lines(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
