@@ -31,6 +31,7 @@ _SKIP_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu sidebar side comment comments reply replies respond disqus notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription footer breadcrumb breadcrumbs share sharing social related recommended widget widgets form search login signup pagination pager copyright legal disclaimer skip toolbar contentinfo complementary"
     .split()
 )
+_BODY_NAMES = frozenset(("article", "post", "entry", "content", "main"))
 _BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul title head".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _ENDS_P = _BLOCKS - {"html", "body", "head", "title"}
@@ -50,12 +51,13 @@ def _named(attributes: str) -> tuple[str, bool]:
         if kind == "hidden" or kind == "aria-hidden" and value == "true":
             out = True
         elif kind != "aria-hidden":
-            words = _WORDS.findall(value)
-            names += words
-            kept = {"article", "post", "entry", "content", "main"} & set(words) and not {"comment", "comments", "footer", "sidebar", "related", "ad", "ads"} & set(words)
-            if not kept and (_SKIP_NAMES & set(words) or kind == "role" and value == "banner"):
-                out = True
-            if "header" in words and not kept:
+            for token in value.split():
+                words = _WORDS.findall(token)
+                names += words
+                ends = {*words[:1], *words[-1:]}
+                if words and (words[-1] in _SKIP_NAMES or (ends & _SKIP_NAMES or "header" in ends) and not _BODY_NAMES & set(words)):
+                    out = True
+            if kind == "role" and value == "banner":
                 out = True
     return ".".join(names[:6]), out
 
@@ -105,6 +107,7 @@ def blocks_of(page: str) -> tuple[list[tuple[str, str, bool]], dict[str, int], d
         if tag in ("li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] == tag:
             stack.pop()
         names, out = _named(m[4])
+        out = out and tag not in ("html", "body", "main")
         up = stack[-1] if stack else ("", "", False, False)
         out = up[2] or out or tag in _OUT or tag == "header" and not up[3]
         path = f"{up[1]}/{tag}" + (f".{names}" if names else "")
