@@ -1,0 +1,9 @@
+"""All registered queries."""
+
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "load"]
+
+
+def load() -> None:
+    from . import features, functions, structure  # noqa: F401
