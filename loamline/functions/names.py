@@ -55,3 +55,65 @@ def same_name(detected: Column, expected: Column) -> Column:
 
 def deep_link(remote: Column, path: Column, first: Column, last: Column) -> Column:
     return F.concat(remote, F.lit("/blob/HEAD/"), path, F.lit("#L"), first.cast("string"), F.lit("-L"), last.cast("string"))
+
+
+# Words of technical layers, and extensions that give a file name away.
+TECHNICAL_WORDS = "data display view render layout page navigation routing state management error handling validation utility helper component hook service store config loading fetching caching storage styling theming animation setup init".split()
+EXTENSIONS = ".ts .tsx .js .jsx .mjs .cjs .py .rb .go .rs .java .kt .css .scss .less .html .vue .svelte .json .yaml .yml .toml .md .txt".split()
+TYPE_KINDS = ("type", "enum", "reexport")
+VERBS = ("GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS")
+# Roles of symbols by name, the first match wins.
+ROLES = (
+    ("data-fetching", r"^use[A-Z][A-Za-z]*(?:Mutation|Query|InfiniteQuery|SuspenseQuery|Subscription)$|^(?:fetch|get|list|load|create|update|delete)[A-Z][A-Za-z]*(?:Async|Promise)?$"),
+    ("side-effect", r"^use[A-Z][A-Za-z]*Effect$|^on[A-Z][A-Za-z]+$|^(?:before|after)[A-Z][A-Za-z]+Hook$"),
+    ("state", r"^(?:set|use)[A-Z][A-Za-z]*(?:State|Store|Atom|Signal|Reducer|Context)?$|.+(?:Atom|Signal|Store|Slice|Reducer|Context)$"),
+    ("handler", r"^handle[A-Z][A-Za-z]*$|^[A-Za-z]+Handler$|^[A-Za-z]+Controller$|^[A-Za-z]+Action$"),
+)
+ENTRY = r"\(entry:\s*([^:)]+):(\d+)\)\s*$"
+
+
+def symbol_role(name: Column, kind: Column, path: Column, has_routes: Column) -> Column:
+    """What a symbol does in a flow: type, entry, one of ROLES, ui-component for capitalised names in component files, else helper."""
+    out = F.when(name.isNull() | (name == ""), "helper").when(kind.isin(*TYPE_KINDS), "type").when(has_routes & name.isin(*VERBS), "entry")
+    for role, pattern in ROLES:
+        out = out.when(name.rlike(pattern), F.lit(role))
+    shown = path.rlike(r"\.(?:tsx|jsx)$") & kind.isin("function", "class", "const") & name.rlike("^[A-Z]") & (name != F.upper(name))
+    return out.when(shown, "ui-component").otherwise("helper")
+
+
+def is_filename_flow(flow: Column) -> Column:
+    bare = F.regexp_replace(flow, "-flow$", "")
+    out = F.lit(False)
+    for e in EXTENSIONS:
+        out = out | bare.contains(e)
+    return out
+
+
+def is_technical_flow(flow: Column) -> Column:
+    """All words of the name name technical layers."""
+    words = F.array_remove(F.split(F.replace(F.lower(F.trim(flow)), F.lit("-flow"), F.lit("")), "-"), "")
+    return (F.size(words) > 0) & (F.size(F.array_except(words, F.array(*map(F.lit, TECHNICAL_WORDS)))) == 0)
+
+
+def entry_trail(text: Column) -> dict[str, Column]:
+    """Description without its closing (entry: file:line), and the two."""
+    return {
+        "description": F.nullif(F.rtrim(F.regexp_replace(text, ENTRY, "")), F.lit("")),
+        "entry_file": F.nullif(F.trim(F.regexp_extract(text, ENTRY, 1)), F.lit("")),
+        "entry_line": F.nullif(F.regexp_extract(text, ENTRY, 2), F.lit("")).cast("int"),
+    }
+
+
+def is_better_name(old: Column, new: Column, generic: list[str]) -> Column:
+    """The new name differs, is not all generic words, and brings a specific word that the old one lacks."""
+    g = F.array(*map(F.lit, generic))
+    n, o = name_tokens(new), name_tokens(old)
+    differs = F.lower(F.trim(new)) != F.lower(F.trim(old))
+    return F.coalesce((F.length(new) > 0) & differs & (F.size(F.array_except(F.array_except(n, o), g)) > 0), F.lit(False))
+
+
+def name_match(feature: Column, flow: Column) -> Column:
+    """2 if a word of the flow is a word of the feature, 1 if one is part of the other, else 0."""
+    f, w = name_tokens(feature), F.filter(name_tokens(flow), lambda x: F.length(x) >= 4)
+    part = F.exists(w, lambda x: F.exists(f, lambda y: (F.length(y) >= 4) & (y.contains(x) | x.contains(y))))
+    return F.when(F.arrays_overlap(f, w), 2).when(part, 1).otherwise(0)

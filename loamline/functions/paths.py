@@ -131,3 +131,64 @@ def remote_url(url: Column) -> Column:
     """https form of a git remote, without trailing slashes and `.git`."""
     u = F.regexp_replace(F.regexp_replace(url, r"^git@([^:]+):", "https://$1/"), "/+$", "")
     return F.regexp_replace(u, r"\.git$", "")
+
+
+# What contents tell of a layer, in this order.
+CONTENT_SCHEMA = r"(?m)(?:^|\n)\s*model\s+\w+\s*\{|@(?:Entity|Schema)\s*\(|sequelize\.define\s*\(|class\s+\w+\s*\([^)]*(?:models\.Model|BaseModel)[^)]*\)|\bMapped\s*\[|class\s+\w+\s*\(\s*(?:DeclarativeBase|Base)\s*\)|\bgorm\.Model\b|\bbun\.BaseModel\b"
+CONTENT_API_SERVER = r"@(?:app|router|blueprint)\.(?:get|post|put|patch|delete|api_route)|\b(?:app|router|api)\.(?:get|post|put|patch|delete|all|use)\s*\(|\bprocedure\.(?:query|mutation|subscription)\s*\(|\b(?:protected|public)Procedure\.|\b(?:loader|action)\s*=\s*async|\btyper\.Typer\s*\(|\bargparse\.ArgumentParser\s*\(|\bgin\.(?:Default|New|Engine)\s*\(|\bhttp\.HandleFunc\s*\("
+CONTENT_STATE = r"\b(?:createSlice|configureStore|atom\s*\(|atomWithDefault\s*\(|writable\s*\(|readable\s*\(|derived\s*\(|createContext\s*<|useContext\s*\(|defineStore\s*\()"
+CONTENT_API_CLIENT = r"\b(?:useQuery|useMutation|useInfiniteQuery|useSubscription|useSWR|useSWRImmutable|axios\.(?:get|post|put|patch|delete)|trpc\.[A-Za-z]+\.(?:useQuery|useMutation))"
+CONTENT_TAG = r"</?[A-Z][A-Za-z0-9]*[\s/>]"
+CONTENT_REACT = r"\bfrom\s+['\"]react['\"]|\bfrom\s+['\"]react/[a-z]|\bjsxs?\b"
+
+
+def content_layer(content: Column) -> Column:
+    """Layer by what a file holds, null if nothing tells."""
+    jsx = content.rlike(CONTENT_TAG) & content.rlike(CONTENT_REACT)
+    return F.when(content.rlike(CONTENT_SCHEMA), "schema").when(content.rlike(CONTENT_API_SERVER), "api-server").when(content.rlike(CONTENT_STATE), "state").when(content.rlike(CONTENT_API_CLIENT), "api-client").when(jsx, "ui")
+
+
+def file_layer(path: Column, content: Column) -> Column:
+    return F.coalesce(layer(path), content_layer(content), F.lit("support"))
+
+
+#: Endings and beginnings of file stems that name a role.
+STEM_ENDS = "page router controller handler view service executor worker model schema serializer blueprint container dialog".split()
+STEM_STARTS = ("v1_", "v2_", "api_")
+
+
+def normal_stem(raw: Column) -> Column:
+    """Lower case, without one role at the end and one version at the start."""
+    s = F.regexp_replace(F.lower(raw), "(?<=.)(?:" + "|".join(STEM_ENDS) + ")$", "")
+    s = F.regexp_replace(s, "^(?:" + "|".join(STEM_STARTS) + ")", "")
+    return F.regexp_replace(s, r"^[_\- ]+|[_\- ]+$", "")
+
+
+def app_route(path: Column) -> Column:
+    """Route of an API file: without src and app at the start, without a closing route file or extension."""
+    inner = F.regexp_replace(path, r"^(?:(?:src|app)/)+", "")
+    return F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace(inner, r"/?route\.[a-z]+$", ""), r"\.[a-z]+$", ""))
+
+
+def snake(name: Column) -> Column:
+    return F.lower(F.regexp_replace(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1_$2"), "([A-Z]+)([A-Z][a-z])", "$1_$2"))
+
+
+def word_runs(name: Column, most: int = 3) -> Column:
+    """Every run of one to `most` neighbouring words of a name, joined by _."""
+    parts = F.array_remove(F.split(snake(name), r"[_\-.]"), "")
+    n = F.size(parts)
+    runs = F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most), n - i + 1)), lambda k: F.array_join(F.slice(parts, i, k), "_")))
+    return F.when(n > 0, F.array_distinct(F.flatten(runs))).otherwise(F.array().cast("array<string>"))
+
+
+E2E_DIRS = ("e2e", "cypress", "playwright", "integration", "acceptance")
+E2E_SUFFIX = r"\.(?:spec|cy|e2e|test)\.(?:ts|tsx|js|jsx)$|\.feature$"
+
+
+def e2e_flow(path: Column) -> Column:
+    """Flow that an end-to-end test is named for, null for other files."""
+    is_e2e = F.arrays_overlap(_dirs(path), F.array(*map(F.lit, E2E_DIRS))) | path.rlike(r"\.(?:spec|cy|e2e)\.(?:ts|tsx|js|jsx)$|\.feature$")
+    stem = F.regexp_replace(F.regexp_replace(file_name(path), E2E_SUFFIX, ""), r"\.(?:ts|tsx|js|jsx|py)$", "")
+    name = F.regexp_replace(F.lower(F.regexp_replace(stem, r"[_\s]+", "-")), "^-+|-+$", "")
+    return F.when(is_e2e & (name != ""), F.when(name.endswith("-flow"), name).otherwise(F.concat(name, F.lit("-flow"))))

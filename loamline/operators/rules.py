@@ -65,3 +65,51 @@ def domain_clusters(files: DataFrame, least_files: int = 2, least_dirs: int = 2)
     """(keyword, files, dirs): words of file names that spread over directories. files: (path, dir, word)."""
     n = files.groupBy("word").agg(F.countDistinct("path").alias("files"), F.countDistinct("dir").alias("dirs"))
     return n.where((F.col("files") >= least_files) & (F.col("dirs") >= least_dirs)).withColumnRenamed("word", "keyword")
+
+
+def name_reattribution(flows: DataFrame, features: DataFrame, protected: tuple[str, ...] = ("shared-infra", "documentation")) -> DataFrame:
+    """(flow, owner, moved): a flow goes to the feature whose name matches it best if that scores 2 and beats its owner, or 1 where the owner scores 0.
+
+    flows: (flow, owner). Features meet flows on shared words or word beginnings, not each with each.
+    """
+    fw = features.select("feature").distinct().where(~F.col("feature").isin(*protected)).select("feature", F.explode(N.name_tokens(F.col("feature"))).alias("w")).select("feature", F.left("w", F.lit(4)).alias("k"))
+    lw = flows.select("flow", "owner", F.explode(N.name_tokens(F.col("flow"))).alias("w")).where(F.length("w") >= 4)
+    keys = lw.select("flow", "owner", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 3), lambda i: F.substr(F.col("w"), i, F.lit(4)))).alias("k")).distinct()
+    both = keys.join(fw.distinct(), "k").select("flow", "owner", "feature").distinct().where("feature <> owner")
+    best = both.withColumn("score", N.name_match(F.col("feature"), F.col("flow"))).groupBy("flow", "owner").agg(F.min_by(F.struct("feature", "score"), F.struct(-F.col("score"), "feature")).alias("b"))
+    own = N.name_match(F.col("owner"), F.col("flow"))
+    met = flows.select("flow", "owner").join(best, ["flow", "owner"], "left")
+    move = F.coalesce(((F.col("b.score") >= 2) & (F.col("b.score") > own)) | ((F.col("b.score") >= 1) & (own == 0)), F.lit(False))
+    return met.select("flow", F.when(move, F.col("b.feature")).otherwise(F.col("owner")).alias("owner"), move.alias("moved"))
+
+
+def deduplicated_flows(flows: DataFrame) -> DataFrame:
+    """(flow, owner): each flow at one owner: that with most of its files, then most files in all, then the first by name. flows: (flow, owner, own_files, all_files)."""
+    w = W.partitionBy("flow").orderBy(F.desc("own_files"), F.desc("all_files"), "owner")
+    return flows.withColumn("i", F.row_number().over(w)).where("i = 1").select("flow", "owner")
+
+
+def top_dir_extraction(files: DataFrame, *, least_files: int = 10, least_group: int = 3) -> DataFrame:
+    """(feature, dir, files): groups under a second directory that are large enough to stand alone, in features with at least two such directories. files: (feature, path)."""
+    top = F.element_at(F.split("path", "/"), 3)
+    groups = files.where(F.size(F.split("path", "/")) > 3).groupBy("feature", top.alias("dir")).agg(F.count(F.lit(1)).alias("files"))
+    size = files.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
+    per = groups.groupBy("feature").agg(F.count(F.lit(1)).alias("dirs"))
+    return groups.join(size, "feature").join(per, "feature").where((F.col("n") >= least_files) & (F.col("dirs") >= 2) & (F.col("files") >= least_group)).select("feature", "dir", "files")
+
+
+def foreign_files(files: DataFrame, *, owner_share: float = 0.6, own_share: float = 0.1, least: int = 4) -> DataFrame:
+    """(feature, path, owner): files in a directory that another feature owns (at least `owner_share` of it) and that is less than `own_share` of their feature. files: (feature, path, dir)."""
+    n = files.groupBy("dir", "feature").agg(F.count(F.lit(1)).alias("n"))
+    total = n.groupBy("dir").agg(F.sum("n").alias("total"), F.max_by("feature", F.struct("n", "feature")).alias("owner"), F.max("n").alias("most"))
+    owned = total.where(F.col("most") >= F.col("total") * owner_share).select("dir", "owner")
+    size = files.groupBy("feature").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= least)
+    met = files.join(owned, "dir").where("feature <> owner").join(n, ["dir", "feature"]).join(size, "feature")
+    return met.where(F.col("n") < F.col("size") * own_share).select("feature", "path", "owner")
+
+
+def crud_flows(files: DataFrame, assigned: DataFrame) -> DataFrame:
+    """(feature, flow, path): flows for delete, create and update that file names tell of, for files that no flow has. files: (feature, path, name)."""
+    free = files.join(assigned.select("path").distinct(), "path", "left_anti")
+    verb = F.when(F.col("name").rlike("(?:^|[_-])(?:delete|remove)(?:[_-]|$)"), "delete").when(F.col("name").rlike("(?:^|[_-])(?:create|new|add)(?:[_-]|$)"), "create").when(F.col("name").rlike("(?:^|[_-])(?:update|edit)(?:[_-]|$)"), "update")
+    return free.withColumn("verb", verb).where("verb is not null").select("feature", F.concat("verb", F.lit("-"), "feature", F.lit("-flow")).alias("flow"), "path")

@@ -6,4 +6,4 @@ __all__ = ["ORACLES", "QUERIES", "load"]
 
 
 def load() -> None:
-    from . import features, functions, structure  # noqa: F401
+    from . import features, functions, names_rules, structure  # noqa: F401
