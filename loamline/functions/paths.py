@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -94,8 +96,8 @@ def bucket(path: Column) -> Column:
 def layer(path: Column) -> Column:
     """Architecture layer by path, null if no pattern matches."""
     out = F.when(F.lit(False), None)
-    for name, pattern in LAYERS:
-        out = out.when(path.rlike(pattern), F.lit(name))
+    for name, run in itertools.groupby(LAYERS, key=lambda x: x[0]):  # neighbours of one layer are one pattern
+        out = out.when(path.rlike("|".join(f"(?:{pattern})" for _, pattern in run)), F.lit(name))
     return out.cast("string")
 
 

@@ -113,3 +113,44 @@ def crud_flows(files: DataFrame, assigned: DataFrame) -> DataFrame:
     free = files.join(assigned.select("path").distinct(), "path", "left_anti")
     verb = F.when(F.col("name").rlike("(?:^|[_-])(?:delete|remove)(?:[_-]|$)"), "delete").when(F.col("name").rlike("(?:^|[_-])(?:create|new|add)(?:[_-]|$)"), "create").when(F.col("name").rlike("(?:^|[_-])(?:update|edit)(?:[_-]|$)"), "update")
     return free.withColumn("verb", verb).where("verb is not null").select("feature", F.concat("verb", F.lit("-"), "feature", F.lit("-flow")).alias("flow"), "path")
+
+
+def first_claims(claims: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, flow, how): each file at the first flow (by place, then name) that claims it; a file that none claims joins the flow with most claimed files in its directory. claims: (flow, place, path); files: (path, dir)."""
+    won = claims.join(files.select("path"), "path", "left_semi").groupBy("path").agg(F.min_by("flow", F.struct("place", "flow")).alias("flow"))
+    n = won.join(files, "path").groupBy("dir", "flow").agg(F.count(F.lit(1)).alias("n"))
+    local = n.groupBy("dir").agg(F.min_by("flow", F.struct(-F.col("n"), "flow")).alias("near"))
+    met = files.join(won, "path", "left").join(local, "dir", "left")
+    how = F.when(F.col("flow").isNotNull(), "claimed").when(F.col("near").isNotNull(), "directory")
+    return met.select("path", F.coalesce("flow", "near").alias("flow"), how.alias("how"))
+
+
+def split_by(files: DataFrame, catch_all: list[str], least: int = 2) -> DataFrame:
+    """(feature, path): files of catch-all features go to `feature/kind` where at least `least` share the kind. files: (feature, path, kind)."""
+    n = files.where(F.col("feature").isin(*catch_all)).groupBy("feature", "kind").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    met = files.join(n, ["feature", "kind"], "left")
+    return met.select(F.when(F.col("n").isNotNull(), F.concat("feature", F.lit("/"), "kind")).otherwise(F.col("feature")).alias("feature"), "path")
+
+
+def redistributed(files: DataFrame, edges: DataFrame, shared: list[str]) -> DataFrame:
+    """(feature, path): files of shared features go to the feature that imports them most (ties to the first by name); files that no other feature imports stay."""
+    src = files.select(F.col("path").alias("src"), F.col("feature").alias("consumer"))
+    use = edges.join(src, "src").where(~F.col("consumer").isin(*shared)).groupBy(F.col("dst").alias("path"), "consumer").agg(F.count(F.lit(1)).alias("n"))
+    to = use.groupBy("path").agg(F.min_by("consumer", F.struct(-F.col("n"), "consumer")).alias("to"))
+    met = files.join(to, "path", "left")
+    return met.select(F.when(F.col("feature").isin(*shared), F.coalesce("to", "feature")).otherwise(F.col("feature")).alias("feature"), "path")
+
+
+def named_clusters(clusters: DataFrame) -> DataFrame:
+    """(root, name): each cluster named for its most frequent segment, with -2, -3 and so on for further clusters of a name. clusters: (root, segment)."""
+    n = clusters.groupBy("root", "segment").agg(F.count(F.lit(1)).alias("n"))
+    modal = n.groupBy("root").agg(F.min_by("segment", F.struct(-F.col("n"), "segment")).alias("segment"))
+    i = F.row_number().over(W.partitionBy("segment").orderBy("root"))
+    return modal.withColumn("i", i).select("root", F.when(F.col("i") == 1, F.col("segment")).otherwise(F.concat("segment", F.lit("-"), F.col("i").cast("string"))).alias("name"))
+
+
+def inherited(children: DataFrame, parents: DataFrame, values: list[str], least: int = 2) -> DataFrame:
+    """children (parent, child, files, values) with the parent's values where a child has fewer than `least` files."""
+    p = parents.select(F.col("parent"), *[F.col(v).alias(f"p_{v}") for v in values])
+    met = children.join(p, "parent", "left")
+    return met.select("parent", "child", "files", *[F.when(F.col("files") >= least, F.col(v)).otherwise(F.col(f"p_{v}")).alias(v) for v in values])
