@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, mapped
 
 #: Pages of a host from which its classes are valid, and from which repeated block texts are its template.
 SUPPORT, TEXT_SUPPORT = 3, 10
@@ -167,7 +167,7 @@ def templates(pages: DataFrame) -> DataFrame:
             rows = token_rows(*(c.to_pylist() for c in b.columns))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(_ARROW), _ARROW, strict=True)], schema=_ARROW)
 
-    tokens = cut(pages.mapInArrow(run, _ROWS).groupBy("host", "kind", "token", "path").agg(*[F.sum(c).alias(c) for c in ("n", "v1", "v2", "chars")]))
+    tokens = cut(mapped(pages, run, _ROWS).groupBy("host", "kind", "token", "path").agg(*[F.sum(c).alias(c) for c in ("n", "v1", "v2", "chars")]))
     hosts = tokens.where("kind = 'page'").select("host", F.col("n").alias("pages"), F.col("chars").alias("all_chars"), F.col("v1").alias("r1"), F.col("v2").alias("r2")).where(F.col("pages") >= SUPPORT)
     firsts = tokens.where("kind = 'first'").groupBy("host").agg(F.count(F.lit(1)).alias("firsts"))
     elements = tokens.where("kind = 'element'")
@@ -205,7 +205,7 @@ def extracted(pages: DataFrame, *, page: str = "html", url: str = "url", key: st
                 found.append([{"path": x, "text": t, "own": own or not some, "h": text_hash(x, t)} for x, t, own in blocks])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([host_of(u) for u in urls], pa.string()), pa.array(found, kind)], names=["k", "u", "host", "blocks"])
 
-    read = slim.mapInArrow(run, f"k {slim.schema['k'].dataType.simpleString()}, u string, host string, blocks array<struct<path: string, text: string, own: boolean, h: bigint>>")
+    read = mapped(slim, run, f"k {slim.schema['k'].dataType.simpleString()}, u string, host string, blocks array<struct<path: string, text: string, own: boolean, h: bigint>>")
     met = read.join(F.broadcast(by_host) if few else by_host, "host", "left")
 
     def chosen(slot: Column, blocks: Column) -> Column:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from . import bytewords as bw
 from .decontaminate import item_words
+from .shared import mapped
 
 #: Phrases whose every place counts, and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -79,7 +80,7 @@ def frequencies(docs: DataFrame, text: str) -> tuple[int, dict[bytes, int]]:
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["w", "n"])
 
-    counts = {r["w"]: r["n"] for r in docs.select(F.col(text).cast("string")).mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()}
+    counts = {r["w"]: r["n"] for r in mapped(docs.select(F.col(text).cast("string")), run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()}
     return counts.pop(len(words), 0), {words[order[i]]: n for i, n in counts.items()}
 
 
@@ -180,4 +181,4 @@ def licence_scan(docs: DataFrame, *, text: str = "text", key: str = "doc_id") ->
 
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
     kind = rows.schema["k"].dataType.simpleString()
-    return rows.mapInArrow(run, f"k {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double").withColumnRenamed("k", key)
+    return mapped(rows, run, f"k {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double").withColumnRenamed("k", key)

@@ -16,17 +16,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, let, words
+from .shared import cut, let, marked, marks, stored, words
 
 #: Shorter lines are compared exactly: one word of five is a similarity of 0.8.
 LEAST_WORDS = 5
 
 
 def _lines(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(ord, ws) for every line with a word; ord: document key, hash of its text, line number."""
+    """(ord, line) for every line; ord: document key, hash of its text, line number."""
     d = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("t"))
     lines = d.select("id", F.xxhash64("t").alias("th"), F.posexplode(F.split("t", "\n")).alias("pos", "line"))
-    return lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select(F.struct("id", "th", "pos").alias("ord"), words(F.col("line")).alias("ws"))
+    return lines.select(F.struct("id", "th", "pos").alias("ord"), "line")
 
 
 def _line_hash(ws: Column) -> tuple[Column, Column]:
@@ -68,12 +68,15 @@ def _rest(ws: Column, at: Column) -> Column:
     return F.when(at < 0, ws).otherwise(F.concat(F.slice(ws, F.lit(1), F.greatest(at, F.lit(0))), F.slice(ws, F.greatest(at, F.lit(0)) + 2, F.size(ws))))
 
 
-def near_lines(lines: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(h1, h2) of distinct lines that have an earlier near line. distinct: (h1, h2, ord, halves)."""
-    halves = distinct.where("halves is not null").select("h1", "h2", "ord", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half")
-    able = halves.join(shared, "half", "left_semi").select("h1", "h2", "ord").distinct()
-    cand = cut(lines.join(able, "ord").select("h1", "h2", "ord", "ws"))
+def near_lines(lines: DataFrame, hashed: DataFrame) -> DataFrame:
+    """(h1, h2) of distinct lines that have an earlier near line. hashed: (h1, h2, ord, halves)."""
+    halves = hashed.where("halves is not null").select("h1", F.explode("halves").alias("half"))
+    shared = stored(halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("half"))
+    each = hashed.where("halves is not null").select("h1", "h2", "ord", F.explode("halves").alias("half"))
+    able = marked(each, "half", marks(shared.select(F.col("half").alias("h")))).join(shared, "half", "left_semi")
+    able = stored(able.groupBy("h1", "h2").agg(F.min("ord").alias("ord")))
+    own = marked(lines.withColumn("oh", F.xxhash64("ord")), "oh", marks(able.select(F.xxhash64("ord").alias("h"))))
+    cand = stored(own.join(able, "ord").select("h1", "h2", "ord", words(F.col("line")).alias("ws")))
     # what lines share by the quick key is keyed again by all its words, so that no chance meeting hides a true one
     quick = cand.select("h1", "h2", F.inline(variants(F.col("ws"))).alias("key", "at"))
     common = quick.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key")
@@ -93,12 +96,16 @@ def near_lines(lines: DataFrame, distinct: DataFrame) -> DataFrame:
 def repeated_lines(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(id, th, gone): for each document with lines that go, their numbers."""
     lines = _lines(docs, text, key)
-    h1, h2 = _line_hash(F.col("ws"))
-    hashed = lines.select(h1.alias("h1"), h2.alias("h2"), "ord", half_keys(F.col("ws")).alias("halves"))
-    distinct = cut(hashed.groupBy("h1", "h2").agg(F.min("ord").alias("ord"), F.first("halves").alias("halves"), F.count(F.lit(1)).alias("n")))
-    near = near_lines(lines, distinct).withColumn("near", F.lit(True))
-    at_issue = distinct.join(near, ["h1", "h2"], "left").where("n > 1 or near").select("h1", "h2", F.col("ord").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
-    gone = hashed.select("h1", "h2", "ord").join(at_issue, ["h1", "h2"]).where("near or ord <> first")
+    def keyed(w: Column) -> Column:
+        h1, h2 = _line_hash(w)
+        return F.struct(h1.alias("h1"), h2.alias("h2"), half_keys(w).alias("halves"), F.size(w).alias("n"))
+
+    hashed = stored(lines.select("ord", let(words(F.col("line")), keyed).alias("x")).where("x.n > 0").select("x.h1", "x.h2", "x.halves", "ord"))
+    near = stored(near_lines(lines, hashed))
+    repeated = hashed.groupBy("h1", "h2").agg(F.min("ord").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "first")
+    at_issue = stored(repeated.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "full"))
+    suspects = marked(hashed.select("h1", "h2", "ord"), "h1", marks(at_issue.select(F.col("h1").alias("h"))))
+    gone = suspects.join(at_issue, ["h1", "h2"]).where("near or ord <> first")
     return gone.groupBy("ord.id", "ord.th").agg(F.collect_set("ord.pos").alias("gone"))
 
 
@@ -109,14 +116,16 @@ def without_repeats(docs: DataFrame, *, text: str = "text", key: str = "doc_id")
     in a document of smaller key (null keys first; equal keys by a hash of the text) or before it in its
     own. White space within a line counts as one space; lines without a word stay. A text that loses
     nothing stays as it is, null and empty texts too; rows repeated in full have the same lines and are
-    treated alike. Lines meet by hashes; texts are shuffled only to find the words of lines that may be
-    near and to take lines out. Minima are aggregated before the shuffle, so a line that a third of all
+    treated alike. Lines meet by hashes; shuffled are only texts of lines whose half another line shares
+    and of documents that lose lines. Minima are aggregated before the shuffle, so a line that a third of all
     documents share is no single task's.
     """
-    gone = repeated_lines(docs, text=text, key=key)
+    gone = stored(repeated_lines(docs, text=text, key=key))
     d = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[key].alias("id"), docs[text].cast("string").alias("t"))
-    d = d.select("row", "id", "t", F.xxhash64("t").alias("th")).alias("d")
-    met = d.join(gone.alias("g"), F.expr("d.id <=> g.id and d.th = g.th"), "left").select("d.row", "d.t", "g.gone")
+    d = d.withColumn("th", F.xxhash64("t")).withColumn("dh", F.xxhash64("id", "th"))
+    losers = marks(gone.select(F.xxhash64("id", "th").alias("h")))
+    some, others = marked(d, "dh", losers).alias("d"), marked(d, "dh", losers, "left_anti")
+    met = some.join(gone.alias("g"), F.expr("d.id <=> g.id and d.th = g.th"), "left").select("d.row", "d.t", "g.gone").unionByName(others.select("row", "t", F.lit(None).cast("array<int>").alias("gone")))
     left = let(F.split("t", "\n"), lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("gone")), lambda i: F.get(ls, i)), "\n"))
     n_lines = F.size(F.filter(F.split(F.coalesce("t", F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long")
     return met.select("row", F.when(F.col("gone").isNull(), F.col("t")).otherwise(left).alias("kept_text"), n_lines.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_gone"))

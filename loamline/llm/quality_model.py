@@ -19,12 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
-from .shared import cut, with_text
+from .shared import cut, mapped, with_text
 
 #: Labelled rows that the document model is fitted on, those of the smallest hashed ids.
 SAMPLE = 6000
-#: Words of the toxic lexicon at most, and the texts that a word must occur in.
-LEXICON, LEAST_TEXTS = 200, 8
+#: Words of the toxic lexicon at most, the toxic texts that a word must occur in, and its least log likelihood ratio.
+LEXICON, LEAST_TEXTS, LEAST_RATIO = 200, 8, 4.0
 #: Groups up to this number go to every executor; more are joined by shuffle.
 BROADCAST_GROUPS = 100_000
 _SYMBOLS = np.zeros(256, dtype=bool)
@@ -116,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
         words = own.where("x is not null").select("x", F.explode(F.array_distinct(F.regexp_extract_all(F.translate("t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)")))).alias("w"))
         c1, c0 = F.count(F.when(F.col("x") == 1, 1)), F.count(F.when(F.col("x") == 0, 1))
         ratio = F.log((c1 + 0.1) / (n1 + 0.2)) - F.log((c0 + 0.1) / (n0 + 0.2))
-        best = words.groupBy("w").agg(ratio.alias("r"), c1.alias("c1")).where((F.col("c1") >= LEAST_TEXTS) & (F.col("r") >= 2)).orderBy(F.desc("c1"), "w").limit(LEXICON).collect()
+        best = words.groupBy("w").agg(ratio.alias("r"), c1.alias("c1")).where((F.col("c1") >= LEAST_TEXTS) & (F.col("r") >= LEAST_RATIO)).orderBy(F.desc("c1"), "w").limit(LEXICON).collect()
         if best:
             h = bw.hash_of([r["w"].encode() for r in best])
             order = np.argsort(h)
@@ -127,7 +127,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
             styles, _ = evidence(b.column(0), np.zeros(0, np.uint64), np.zeros(0))
             yield pa.RecordBatch.from_arrays([pa.array(list(map(list, styles)), pa.list_(pa.float64())), b.column(1), b.column(2)], names=["s", "q", "k"])
 
-    rows = sorted((r["k"], r["q"], tuple(r["s"])) for r in own.where("q is not null").select(F.coalesce("t", F.lit("")), F.col("q").cast("int"), F.col("k").cast("string")).mapInArrow(run, "s array<double>, q int, k string").collect())
+    seen = own.where("q is not null").select(F.coalesce("t", F.lit("")), F.col("q").cast("int"), F.col("k").cast("string"))
+    rows = sorted((r["k"], r["q"], tuple(r["s"])) for r in mapped(seen, run, "s array<double>, q int, k string").collect())
     s, y = np.array([r[2] for r in rows]).reshape(-1, len(STYLE)), np.array([float(r[1] != 0) for r in rows])
     mean, scale = (s.mean(0), s.std(0) + 1e-3) if len(s) else (np.zeros(len(STYLE)), np.ones(len(STYLE)))
     if len(s) and 0 < y.sum() < len(y):

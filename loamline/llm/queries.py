@@ -75,4 +75,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .oracles import OP7, OP10
+
+    return {"op7_decontamination": OP7, "op10_line_dedup": OP10}

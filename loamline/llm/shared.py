@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
+import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -27,6 +30,50 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows of df as a table written to the shared checkpoint folder; Spark knows the size of what it reads there."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = tempfile.mkdtemp(prefix="loamline-") if found.isEmpty() else found.get()
+    path = f"{folder}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def marks(hashes: DataFrame) -> DataFrame:
+    """A bitmap of 2**26 bits over a column `h` of 64-bit hashes, as at most 2**20 rows (slot, bits), whatever the number of hashes."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
+    return stored(hashes.groupBy(F.shiftrightunsigned("h", 44).alias("slot")).agg(F.bit_or(bit).alias("bits")))
+
+
+def marked(rows: DataFrame, h: str, bitmap: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows whose hash is marked (or, with left_anti, is not): all that were marked and by chance some more. The bitmap's bound is fixed, so it goes to every executor."""
+    b = F.broadcast(bitmap)
+    hit = (F.shiftrightunsigned(rows[h], 44) == b["slot"]) & (F.getbit(b["bits"], rows[h].bitwiseAND(F.lit(63)).cast("int")) == 1)
+    return rows.join(b, hit, how)
+
+
+_shipped: set[str] = set()
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """df.mapInArrow, on executors that get this package from the driver if they lack it."""
+    sc = df.sparkSession.sparkContext
+    if sc.applicationId not in _shipped:
+        top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        path = os.path.join(tempfile.mkdtemp(prefix="loamline-"), "loamline.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for folder, _, names in os.walk(top):
+                for n in sorted(names):
+                    if n.endswith(".py"):
+                        z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), os.path.dirname(top)))
+        sc.addPyFile(path)
+        _shipped.add(sc.applicationId)
+    return df.mapInArrow(run, schema)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once however often body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -53,4 +100,4 @@ def with_text(docs: DataFrame, text: str, run: Callable[[pa.Array], dict[str, pa
             new = run(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), *new.values()], names=["row", *new])
 
-    return packed.mapInArrow(each, schema)
+    return mapped(packed, each, schema)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut, with_text
+from .shared import cut, mapped, with_text
 
 BITS = 3
 LEAST_SHARED = 8 - BITS
@@ -154,7 +154,7 @@ def near_links(fps: DataFrame) -> DataFrame:
     marked = posts.join(long, "k", "left")
     keys = F.when(F.col("long"), longer_keys(F.col("fp"), F.shiftright("k", 24))).otherwise(F.array("k"))
     lists = marked.select(F.explode(keys).alias("k"), "fp").repartition("k").sortWithinPartitions("k", "fp")
-    return lists.mapInArrow(_links, "a long, b long")
+    return mapped(lists, _links, "a long, b long")
 
 
 def classes(found: DataFrame) -> DataFrame:

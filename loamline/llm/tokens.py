@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import bytewords as bw
+from .shared import mapped
 
 #: Remembered strings in a Python worker; beyond it the memory starts anew, counts stay right.
 REMEMBERED = 400_000
@@ -145,4 +145,4 @@ def token_counts(docs: DataFrame, path: str, *, text: str = "text", key: str = "
 
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
     kind = rows.schema["k"].dataType.simpleString()
-    return rows.mapInArrow(run, f"k {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("k", key)
+    return mapped(rows, run, f"k {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("k", key)
