@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
-from .shared import cut
+from .shared import cut, mapped
 
 SIZE, K = 200, 64
 #: Different contexts of one anchor that are compared in one task; more are counted by hash over all tasks.
@@ -70,11 +70,10 @@ def _anchored(docs: DataFrame, size: int, k: int) -> DataFrame:
             found = [contexts((t.as_py() or "").encode(), size, k) for t in b.column(2)]
             at = np.repeat(np.arange(b.num_rows), [len(f[0]) for f in found])
             g, c, lo, n, off = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 5
-            own = b.take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(g), pa.array(c), *(pa.array(x.astype(np.int32)) for x in (lo, n, off))], names=["id", "th", "g", "c", "lo", "n", "off"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(g), pa.array(c), *(pa.array(x.astype(np.int32)) for x in (lo, n, off))], names=["id", "th", "g", "c", "lo", "n", "off"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "th", "t").mapInArrow(run, f"id {kind}, th long, g long, c long, lo int, n int, off int")
+    return mapped(docs.select("id", "th", "t"), run, f"id {kind}, th long, g long, c long, lo int, n int, off int")
 
 
 def repeated_in(group: np.ndarray, text: list[bytes], n: np.ndarray, off: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
@@ -136,7 +135,7 @@ def _sliced(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             g, c, n, off, text = zip(*rows, strict=True) if rows else ((),) * 5
             yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(c, pa.int64()), pa.array(n, pa.int32()), pa.array(off, pa.int32()), pa.array(text, pa.binary())], names=["g", "c", "n", "off", "b"])
 
-    return met.mapInArrow(run, "g long, c long, n int, off int, b binary")
+    return mapped(met, run, "g long, c long, n int, off int, b binary")
 
 
 def _arrays(t) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]:
@@ -167,8 +166,9 @@ def repeats(docs: DataFrame, *, size: int = SIZE, k: int = K, run: int = RUN) ->
             context, string, key = string_keys(g, text, n, off, size)
             yield pa.RecordBatch.from_arrays([pa.array(g[context]), pa.array(c[context]), pa.array(string.astype(np.int32)), pa.array(key.view(np.int64))], names=["g", "c", "s", "key"])
 
-    few = bytes_of.where("not crowd").dropDuplicates(["g", "c"]).select("g", "c", "n", "off", "b").repartition("g").sortWithinPartitions("g").mapInArrow(compare, "g long, c long, p int, q int")
-    each = bytes_of.where("crowd").dropDuplicates(["g", "c"]).select("g", "c", "n", "off", "b").mapInArrow(strings, "g long, c long, s int, key long")
+    near = bytes_of.where("not crowd").dropDuplicates(["g", "c"]).select("g", "c", "n", "off", "b").repartition("g").sortWithinPartitions("g")
+    few = mapped(near, compare, "g long, c long, p int, q int")
+    each = mapped(bytes_of.where("crowd").dropDuplicates(["g", "c"]).select("g", "c", "n", "off", "b"), strings, "g long, c long, s int, key long")
     twice = each.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
     many = each.join(twice, "key", "left_semi").groupBy("g", "c").agg(F.min("s").alias("p"), F.max("s").alias("q"))
     part = few.unionByName(many)
@@ -217,4 +217,4 @@ def deduplicated(docs: DataFrame, *, text: str = "text", key: str = "doc_id", si
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(m, pa.int64()), pa.array(sha, pa.string()), pa.array(runs, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
     kind = slim.schema["id"].dataType.simpleString()
-    return met.mapInArrow(out, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: int, end: int>>").withColumnRenamed("id", key)
+    return mapped(met, out, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: int, end: int>>").withColumnRenamed("id", key)
