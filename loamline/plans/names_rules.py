@@ -10,7 +10,7 @@ from ..functions import paths as P
 from ..operators import evaluation as E
 from ..operators import rules as R
 from ..sources import bridge as B
-from .functions import DIRS, SHAPED_SQL, q, shaped
+from .functions import SHAPED_SQL, shaped
 from .registry import query
 
 CONTENTS = "CASE part % 6 WHEN 0 THEN 'model Post {' WHEN 1 THEN 'app.get(''/x'', f)' WHEN 2 THEN 'const s = createSlice(x)' WHEN 3 THEN 'useQuery(k)' WHEN 4 THEN 'import R from ''react''; <Panel a=1>' ELSE 'plain' END"

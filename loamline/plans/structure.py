@@ -14,7 +14,7 @@ from ..operators import incremental as N
 from ..operators import lines as L
 from ..operators import rules as R
 from ..sources import bridge as B
-from .features import BASE, METRICS, feature_metrics, touched
+from .features import BASE, METRICS, feature_metrics
 from .registry import query
 
 BRAND_PAIRS = """cf AS (SELECT DISTINCT sha, feature FROM commit_files JOIN files USING (path)), sz AS (SELECT sha FROM cf GROUP BY 1 HAVING count(*) <= 8), k AS (SELECT cf.* FROM cf JOIN sz USING (sha)), act AS (SELECT feature, count(*) AS c FROM k GROUP BY 1),
