@@ -8,7 +8,6 @@ prefix hash and the comparison of the very bytes. Many places of a text jump at
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 
@@ -184,6 +183,3 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     a = annotated(docs.select(key, text), benchmark, text=text)
     return a.select(F.col(f"row.`{key}`").alias(key), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
-
-def sha256(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut, mapped, with_text
+from .shared import cut, mapped, stored, with_text
 
 BITS = 3
 LEAST_SHARED = 8 - BITS
@@ -179,13 +179,20 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id")
 
 
 def one_of_each(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of `docs` with the smallest key of their component; of rows that share that key one stays (the smallest text hash, then any of equal rows). Only the few rows whose key is not alone are gathered by component."""
-    marked = near_duplicates(docs, text=text, key=key)
-    best = marked.where(F.col(f"row.`{key}`").eqNullSafe(F.col("component_id")))
-    narrow = cut(best.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root"))
-    alone = best.join(narrow, "root", "left_anti").select("row.*")
-    tied = best.join(narrow, "root").groupBy("root").agg(F.min_by("row", F.xxhash64(F.col(f"row.`{text}`"))).alias("row")).select("row.*")
-    return alone.unionByName(tied)
+    """The row of smallest key of each component; of rows that share that key the one of smallest text hash, of rows with the same key and text any one.
+
+    Fingerprints are worked out once; who stays is settled on keys and hashes, and texts are shuffled once, to meet that.
+    """
+    th = F.xxhash64(F.col(f"row.`{text}`").cast("string")).alias("th")
+    narrow = stored(with_text(docs.select(key, text), text, fingerprints, "fp long").select(F.col(f"row.`{key}`").alias("id"), th, "fp"))
+    met = narrow.groupBy("fp", "id", "th").agg(F.count(F.lit(1)).alias("n")).join(classes(narrow), "fp")
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "th", "n")).alias("x")
+    winners = stored(met.groupBy("root").agg(first).select("x.id", "x.th", "x.n"))
+    d = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[key].alias("id"), F.xxhash64(docs[text].cast("string")).alias("th"))
+    own = d.alias("d").join(winners.alias("w"), F.expr("d.id <=> w.id and d.th = w.th")).select("d.*", "w.n")
+    alone = own.where("n = 1").select("row.*")
+    repeated = own.where("n > 1").groupBy("id", "th").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
+    return alone.unionByName(repeated)
 
 
 def document_classes(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
