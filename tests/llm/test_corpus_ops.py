@@ -52,7 +52,7 @@ def shared_out(sizes, weights=(5, 2, 1), most=3):
     while True:
         free = sum(w[s] for s in order if s not in stopped)
         left = total - sum(most * sizes[s] for s in stopped)
-        target = {s: most * sizes[s] if s in stopped else left * w[s] / free if free else 0.0 for s in order}
+        target = {s: float(most * sizes[s]) if s in stopped else left * w[s] / free if free else 0.0 for s in order}
         more = {s for s in order if s not in stopped and target[s] > most * sizes[s]}
         if not more:
             return target
