@@ -103,11 +103,10 @@ def logit(p: float) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """The document model from at most `sample` labelled rows; copies (texts that begin alike) count once. Labels that are missing or all of one class teach nothing: log-odds of the class itself."""
+    """The document model from at most `sample` labelled rows; copies (equal whole texts with equal labels) count once. Labels that are missing or all of one class teach nothing: log-odds of the class itself."""
     picked = labels.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col("quality").alias("q"), F.col("toxic").alias("x")).orderBy(F.xxhash64("k"), "k", "q", "x").limit(sample)
     own = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).join(F.broadcast(picked), "k")
-    first = F.xxhash64(F.left("t", F.lit(40)))
-    own = cut(own.groupBy(first.alias("start")).agg(F.min_by(F.struct("k", "t", "q", "x"), F.struct("k", F.xxhash64("t"))).alias("r")).select("r.*"))
+    own = cut(own.groupBy(F.sha2("t", 256).alias("h"), F.col("q").alias("hq"), F.col("x").alias("hx")).agg(F.min_by(F.struct("k", "t", "q", "x"), F.struct("k", F.xxhash64("t"))).alias("r")).select("r.*"))
     # words: likelihood ratios for toxic texts
     n = {r["x"]: r["count"] for r in own.groupBy("x").count().collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)

@@ -137,3 +137,13 @@ def test_pipeline_rows_are_its_stages_rows(spark):
     ids = {r.doc_id for r in rows}
     judged = {r.doc_id: r.kept for r in quality_model.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).collect()}
     assert rows and all(judged[d] for d in ids)
+
+
+def test_labelled_texts_that_begin_alike_all_teach(spark):
+    opening = "Copyright notice of the corpus, the same in every text. "
+    rows = [(i, opening + (f"vile slur number{i}" if i % 3 == 0 else f"calm words number{i}"), "en", "a") for i in range(60)]
+    docs = spark.createDataFrame([*rows, *((60 + i, rows[i][1], "en", "a") for i in range(30))], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(90)], "doc_id long, quality int, toxic int")
+    model = quality_model.fit(docs, labels)
+    assert sorted(model.lexicon) == sorted(quality_model.bw.hash_of([b"vile", b"slur"]))
+    assert model.toxic_prior == pytest.approx(quality_model.logit(20.5 / 61))
