@@ -80,9 +80,9 @@ def coverage_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return l.groupBy("part", "line").agg(F.max("hit").alias("hits")).join(files(spark, sf_dir).select("part", "path"), "part").select("path", "line", "hits")
 
 
-def edges(spark: SparkSession, sf_dir: str, every: int = 40) -> DataFrame:
-    """(src, dst): imports, from files of consecutive lines of every `every`-th order."""
-    l = table(spark, sf_dir, "lineitem").where(F.col("l_orderkey") % every == 0).select("l_orderkey", "l_linenumber", "l_partkey").distinct()
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst): imports, from files of consecutive lines of all orders."""
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").distinct()
     nxt = l.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("to"))
     pairs = l.join(nxt, ["l_orderkey", "l_linenumber"]).where("l_partkey <> to").select("l_partkey", "to").distinct()
     f = files(spark, sf_dir).select("part", "path")
