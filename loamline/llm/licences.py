@@ -2,8 +2,9 @@
 
 Words of licence texts are weighed by inverse document frequency over all documents. The index holds,
 for each of a licence text's rarest words, where it stands. A document's words are looked up there; hits
-whose distance from the licence text's start agrees vote for one placement of the text, placements with
-enough votes are compared word by word, and the text's mandatory key phrase must stand in the document.
+whose distance from the licence text's start agrees vote for one placement of the text. Placements that lie
+close together are joined, so words put in or left out don't part a text; where they have enough votes,
+text and document are aligned word by word in order, and the text's mandatory key phrase must stand there.
 """
 
 from __future__ import annotations
@@ -40,9 +41,9 @@ TEXTS = (
     ("mpl", "mozilla public license", "this source code form is subject to the terms of the mozilla public license v 2 0"),
 )
 
-#: Share of a text's words that must stand at their places.
+#: Share of a text's words that must stand in order. Placements are joined if no further apart than a text that makes up that share of its stretch allows.
 LEAST_MATCH = 0.7
-#: A licence text's rarest words that the index holds, and how many of them must agree on a placement.
+#: A licence text's rarest words that the index holds, and how many hits on them joined placements must have.
 INDEXED, VOTES = 6, 2
 
 
@@ -52,7 +53,7 @@ class Index:
 
     words: np.ndarray
     hold: dict[int, list[tuple[int, int]]]
-    texts: list[tuple[str, np.ndarray, np.ndarray]]  # label, key phrase, text, as word numbers
+    texts: list[tuple[str, np.ndarray, dict[int, int], int]]  # label, key phrase as word numbers, for word numbers the bits of their places, words
     base: list[tuple[np.ndarray, str]]
     looked: np.ndarray  # for word numbers: whether anything looks at it first
 
@@ -110,7 +111,10 @@ def index(n_docs: int, having: dict[bytes, int]) -> Index:
         for pos, w in enumerate(ws):
             if w in rare:
                 hold[number[w]].append((t, pos))
-        texts.append((label, ids(phrase), ids(text)))
+        places: dict[int, int] = defaultdict(int)
+        for pos, w in enumerate(ws):
+            places[number[w]] |= 1 << pos
+        texts.append((label, ids(phrase), dict(places), len(ws)))
     base = [(ids(p), label) for p, label in BASE]
     looked = np.zeros(len(words) + 1, dtype=bool)
     looked[list(hold)] = True
@@ -126,6 +130,31 @@ def stands(numbers: np.ndarray, phrase: np.ndarray, starts: np.ndarray) -> np.nd
     return starts
 
 
+def in_order(numbers: np.ndarray, places: dict[int, int], size: int) -> int:
+    """Most words of a text of `size` words that stand in `numbers` in the text's order, others between them or not (longest common subsequence, a bit for each word)."""
+    full = (1 << size) - 1
+    left = full
+    for w in numbers.tolist():
+        if m := places.get(w):
+            u = left & m
+            left = ((left + u) | (left - u)) & full
+    return size - left.bit_count()
+
+
+def joined(votes: Counter, slack: int) -> Iterator[tuple[int, int]]:
+    """First and last of placements that lie no more than `slack` apart and have enough votes together, each largest such run once."""
+    at = sorted(votes)
+    end = total = done = 0
+    for first in at:
+        while end < len(at) and at[end] <= first + slack:
+            total += votes[at[end]]
+            end += 1
+        if total >= VOTES and end > done:
+            done = end
+            yield first, at[end - 1]
+        total -= votes[first]
+
+
 def scanned(numbers: np.ndarray, hits: np.ndarray, ix: Index) -> tuple[int, int | None, int | None, set[str], set[str], float]:
     """Of one document with hits: n_base, first, last, base labels, the index's labels, score."""
     places, base = [], set()
@@ -133,20 +162,22 @@ def scanned(numbers: np.ndarray, hits: np.ndarray, ix: Index) -> tuple[int, int
         if len(at := stands(numbers, phrase, hits[numbers[hits] == phrase[0]])):
             places.append(at)
             base.add(label)
-    votes: Counter = Counter()
+    votes: dict[int, Counter] = defaultdict(Counter)
     for p in hits:
         for t, q in ix.hold.get(int(numbers[p]), ()):
-            votes[t, int(p) - q] += 1
+            votes[t][int(p) - q] += 1
     own, score = set(), 0.0
-    for (t, at), n in votes.items():
-        label, phrase, text = ix.texts[t]
-        if n < VOTES:
-            continue
-        a, b = max(0, at), min(len(numbers), at + len(text))
-        share = float((numbers[a:b] == text[a - at : b - at]).sum()) / len(text)
-        if share >= LEAST_MATCH and len(stands(numbers, phrase, a + np.flatnonzero(numbers[a:b] == phrase[0]))):
-            own.add(label)
-            score = max(score, share)
+    for t, placed in votes.items():
+        label, phrase, text, size = ix.texts[t]
+        slack = int(size / LEAST_MATCH) - size
+        for first, last in joined(placed, slack):
+            a, b = max(0, last - slack), min(len(numbers), first + size + slack)
+            if not len(stands(numbers, phrase, a + np.flatnonzero(numbers[a:b] == phrase[0]))):
+                continue
+            share = in_order(numbers[a:b], text, size) / size
+            if share >= LEAST_MATCH:
+                own.add(label)
+                score = max(score, share)
     every = np.concatenate(places) if places else np.zeros(0, np.int64)
     return len(every), int(every.min()) if places else None, int(every.max()) if places else None, base, own, score
 
@@ -156,7 +187,7 @@ def licence_scan(docs: DataFrame, *, text: str = "text", key: str = "doc_id") ->
 
     n_base counts the places of the BASE phrases, first_word and last_word are the smallest and largest
     word number where one starts (null if none). labels adds those whose licence text stands in the
-    document; score is the best share of such a text's words at their places (0 if none). Null and empty
+    document; score is the best share of such a text's words in order (0 if none). Null and empty
     texts have no words. Two passes over the texts, no shuffle but for counts of licence words.
     """
     shared = docs.sparkSession.sparkContext.broadcast(index(*frequencies(docs, text)))

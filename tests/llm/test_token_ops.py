@@ -100,3 +100,34 @@ def test_licence_base_matches_brute_force(documents, odd):
 def test_licence_texts_give_labels_of_their_own(spark, text, label):
     r = licences.licence_scan(spark.createDataFrame([(1, text), (2, "nothing here")], "doc_id long, text string")).orderBy("doc_id").collect()
     assert label in r[0].labels and r[0].score >= licences.LEAST_MATCH and r[1].labels == "" and r[1].score == 0
+
+
+def test_words_put_in_or_left_out_dont_part_a_licence_text(spark):
+    text = {label: t for label, _, t in licences.TEXTS}
+    bsd, mpl = text["bsd"].split(), text["mpl"].split()
+    at = bsd.index("redistributions")
+    docs = {
+        1: (" ".join([*bsd[:at], "1.", *bsd[at:]]), "bsd"),
+        2: (" ".join([*bsd[:15], *bsd[17:]]), "bsd"),
+        3: (" ".join([*bsd[:12], "as", "said", *bsd[12:20], "here", *bsd[20:28], *bsd[30:]]), "bsd"),
+        4: (" ".join([*mpl[:7], "of", "use", *mpl[7:]]), "mpl"),
+        5: (" ".join([*bsd[:8], *reversed(bsd[8:])]), ""),
+        6: (" ".join([*bsd[:20], *["other"] * 40, *bsd[20:]]), ""),
+    }
+    got = licences.licence_scan(spark.createDataFrame([(k, "some words before " + t + " and after") for k, (t, _) in docs.items()], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.labels for r in got} == {k: label for k, (_, label) in docs.items()}
+    assert {r.doc_id: round(r.score * 39, 6) for r in got if r.doc_id < 4} == {1: 39, 2: 37, 3: 37}
+
+
+def test_words_in_order_match_brute_force():
+    rng = random.Random(5)
+    for _ in range(200):
+        text, doc = rng.choices(range(6), k=rng.randint(1, 70)), rng.choices(range(-1, 7), k=rng.randint(0, 90))
+        best = [0] * (len(text) + 1)
+        for w in doc:
+            new = [0]
+            for j, x in enumerate(text):
+                new.append(max(new[-1], best[j + 1], best[j] + (w == x)))
+            best = new
+        places = {w: sum(1 << j for j, x in enumerate(text) if x == w) for w in text}
+        assert licences.in_order(licences.np.array(doc, dtype=int), places, len(text)) == best[-1]
