@@ -3,9 +3,10 @@
 Every page is read as tokens: element paths and the texts of blocks. For each host the occurrence vector
 of a token (how often it occurs in which pages) is summed into a digest, so tokens with equal vectors
 meet by aggregation. Classes of two tokens and more on enough pages are valid; by their paths they nest
-into the host's template, whose root class holds what every page has. A class's element whose inside
-holds the article is the content slot, block texts in the root class are template, and the slot's other
-blocks are extracted. Pages that no valid class covers are read by their own article or main element.
+into the host's template, whose root class holds what every page has. Content slots are the article or main
+elements of the valid classes; where there are none, the smallest element around all block texts that vary
+is the slot. Block texts in the root class are template, and the slots' other blocks are extracted. Pages
+that no valid class covers are read by their own article or main element.
 """
 
 from __future__ import annotations
@@ -38,6 +39,9 @@ _ENDS_P = _BLOCKS - {"html", "body", "head", "title"}
 _RAW = "script|style|noscript|template|iframe|textarea|svg|title"
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(" + _RAW + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
 _NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_HOLDERS = ("article", "body", "center", "div", "html", "main", "section", "td")
+#: The tag of a path's last element.
+TAG = r"/([a-z0-9:-]+)[^/]*$"
 _WORDS = re.compile(r"[a-z]+")
 
 
@@ -159,8 +163,16 @@ _ROWS = "host string, kind string, token long, path string, n long, v1 long, v2
 _ARROW = pa.schema([("host", pa.string()), ("kind", pa.string()), ("token", pa.int64()), ("path", pa.string()), ("n", pa.int64()), ("v1", pa.int64()), ("v2", pa.int64()), ("chars", pa.int64())])
 
 
+def common(paths: str) -> Column:
+    """Aggregate: the path of the smallest element around all of `paths` (each ended by a slash); blocks such as p and li count as part of what they stand in."""
+    a, b = (F.split(F.substr(end, F.lit(2)), "/") for end in (F.min(paths), F.max(paths)))  # what the first and the last share, all between them share
+    n = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y) & (x != "")), False) - 1
+    path = F.when(n > 0, F.concat(F.lit("/"), F.array_join(F.slice(a, 1, n.cast("int")), "/"))).otherwise("")
+    return F.when(F.regexp_extract(path, TAG, 1).isin(*_HOLDERS), path).otherwise(F.regexp_replace(path, r"/[^/]*$", ""))
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """From (page_id, url, html): for each host with valid classes its `slot` (an element path) and `fixed` (hashes of block texts in the root class; no more than a page has blocks)."""
+    """From (page_id, url, html): for each host with valid classes its `slots` (element paths) and `fixed` (hashes of block texts in the root class; no more than a page has blocks)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -172,11 +184,13 @@ def templates(pages: DataFrame) -> DataFrame:
     firsts = tokens.where("kind = 'first'").groupBy("host").agg(F.count(F.lit(1)).alias("firsts"))
     elements = tokens.where("kind = 'element'")
     valid = elements.groupBy("host", "n", "v1", "v2").agg(F.count(F.lit(1)).alias("size")).where((F.col("size") >= 2) & (F.col("n") >= SUPPORT)).select("host", "n", "v1", "v2")
-    tag = F.regexp_extract("path", r"/([a-z0-9:-]+)[^/]*$", 1)
+    tag = F.regexp_extract("path", TAG, 1)
     inside = elements.join(valid, ["host", "n", "v1", "v2"], "left_semi").join(hosts, "host").where("chars > 0 and n * 5 >= pages * 4")
-    depth = F.size(F.split("path", "/"))
-    rank = F.when(tag == "article", 0).when(tag == "main", 1).when((tag.isin("div", "section", "td")) & (F.col("chars") * 10 >= F.col("all_chars") * 6), 2)
-    best = inside.withColumn("rank", rank).where("rank is not null").groupBy("host").agg(F.min_by("path", F.struct("rank", F.when(F.col("rank") == 2, -depth).otherwise(0).alias("deep"), (-F.col("chars")).alias("less"), "path")).alias("slot"))
+    named = inside.groupBy("host").agg(F.collect_set(F.when(tag == "article", F.col("path"))).alias("articles"), F.collect_set(F.when(tag == "main", F.col("path"))).alias("mains"))
+    vary = tokens.where("kind = 'text'").join(hosts, "host").where("n * 5 < pages * 4").withColumn("at", F.concat("path", F.lit("/")))
+    around = vary.groupBy("host").agg(common("at").alias("around"))
+    known = hosts.join(valid.select("host").distinct(), "host", "left_semi").join(named, "host", "left").join(around, "host", "left")
+    best = known.select("host", F.when(F.size("articles") > 0, F.col("articles")).when(F.size("mains") > 0, F.col("mains")).when(F.col("around").isNotNull(), F.array("around")).alias("slots"))
     fixed = tokens.where("kind = 'text'").join(hosts, "host").join(firsts, "host").where((F.col("pages") >= TEXT_SUPPORT) & (F.col("firsts") * 2 >= F.col("pages")) & (F.col("n") == F.col("pages")) & (F.col("v1") == F.col("r1")) & (F.col("v2") == F.col("r2")))
     return best.join(fixed.groupBy("host").agg(F.collect_set("token").alias("fixed")), "host", "left")
 
@@ -184,7 +198,7 @@ def templates(pages: DataFrame) -> DataFrame:
 def extracted(pages: DataFrame, *, page: str = "html", url: str = "url", key: str = "page_id") -> DataFrame:
     """(key, url, text, n_chars), one row for each row of `pages`.
 
-    text: the blocks of the page's content slot in order, each with its white space turned into single
+    text: the blocks of the page's content slots in order, each with its white space turned into single
     spaces and its character references decoded, joined by one space; empty if there are none. Null pages
     are empty; a null or odd url is of the host "". Repeated rows stay repeated. Broken markup is read to
     its end. Token counts are summed in tasks before the shuffle, so a host with most pages is no single
@@ -208,11 +222,14 @@ def extracted(pages: DataFrame, *, page: str = "html", url: str = "url", key: st
     read = mapped(slim, run, f"k {slim.schema['k'].dataType.simpleString()}, u string, host string, blocks array<struct<path: string, text: string, own: boolean, h: bigint>>")
     met = read.join(F.broadcast(by_host) if few else by_host, "host", "left")
 
-    def chosen(slot: Column, blocks: Column) -> Column:
-        inside = F.filter(blocks, lambda b: b["path"].eqNullSafe(slot) | F.startswith(b["path"], F.concat(slot, F.lit("/"))))
+    def within(slots: Column, b: Column) -> Column:
+        return F.coalesce(F.exists(slots, lambda s: (b["path"] == s) | F.startswith(b["path"], F.concat(s, F.lit("/")))), F.lit(False))
+
+    def chosen(slots: Column, blocks: Column) -> Column:
+        inside = F.filter(blocks, lambda b: within(slots, b))
         own = F.filter(blocks, lambda b: b["own"])
-        return F.when(F.exists(blocks, lambda b: F.coalesce(b["path"].eqNullSafe(slot) | F.startswith(b["path"], F.concat(slot, F.lit("/"))), F.lit(False))), inside).otherwise(own)
+        return F.when(F.exists(blocks, lambda b: within(slots, b)), inside).otherwise(own)
 
-    kept = F.filter(chosen(F.col("slot"), F.col("blocks")), lambda b: ~F.coalesce(F.array_contains("fixed", b["h"]), F.lit(False)))
+    kept = F.filter(chosen(F.col("slots"), F.col("blocks")), lambda b: ~F.coalesce(F.array_contains("fixed", b["h"]), F.lit(False)))
     out = met.select(F.col("k").alias(key), F.col("u").alias(url), F.array_join(F.transform(kept, lambda b: b["text"]), " ").alias("text"))
     return out.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -147,3 +147,20 @@ def test_labelled_texts_that_begin_alike_all_teach(spark):
     model = quality_model.fit(docs, labels)
     assert sorted(model.lexicon) == sorted(quality_model.bw.hash_of([b"vile", b"slur"]))
     assert model.toxic_prior == pytest.approx(quality_model.logit(20.5 / 61))
+
+
+PARTS = """<html><body><div class="top">Site name</div><div class="content"><h1>Title {i}</h1><p>Lead {i}</p><div class="body"><p>Long body of page {i} that holds the most of all words there<p>and its second part {i}</div><div class="more"><p>Last part {i}</div></div></body></html>"""
+
+
+def test_all_parts_of_a_page_without_article(spark):
+    for n in (4, 12):
+        rows = [(i, f"http://site.example/{i}", PARTS.format(i=i)) for i in range(n)]
+        got = {r.page_id: r.text for r in html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert got == {i: f"Title {i} Lead {i} Long body of page {i} that holds the most of all words there and its second part {i} Last part {i}" for i in range(n)}
+
+
+def test_every_article_of_a_template(spark):
+    page = "<html><body><p>Site</p><article class=a><p>First {i} with words</article><div><p>Between {i}</div><article class=b><p>Second {i}</article></body></html>"
+    rows = [(i, f"http://site.example/{i}", page.format(i=i)) for i in range(4)]
+    got = {r.page_id: r.text for r in html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"First {i} with words Second {i}" for i in range(4)}
