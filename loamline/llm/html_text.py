@@ -5,8 +5,9 @@ of a token (how often it occurs in which pages) is summed into a digest, so toke
 meet by aggregation. Classes of two tokens and more on enough pages are valid; by their paths they nest
 into the host's template, whose root class holds what every page has. Content slots are the article or main
 elements of the valid classes; where there are none, the smallest element around all block texts that vary
-is the slot. Block texts in the root class are template, and the slots' other blocks are extracted. Pages
-that no valid class covers are read by their own article or main element.
+is the slot. A block text that stands in nearly all pages of a valid class, under one of its elements, is
+template, and the slots' other blocks are extracted. Pages that no valid class covers are read by their own
+article or main element; pages without blocks don't count.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .shared import cut, mapped
 
-#: Pages of a host from which its classes are valid, and from which repeated block texts are its template.
+#: Pages of a host from which its classes are valid, and of a class from which repeated block texts are its template.
 SUPPORT, TEXT_SUPPORT = 3, 10
 #: Hosts up to this number go to every executor; more are joined by shuffle.
 BROADCAST_HOSTS = 200_000
@@ -137,18 +138,20 @@ def text_hash(path: str, text: str) -> int:
 
 
 def token_rows(ids: list, urls: list, pages: list) -> list[tuple]:
-    """(host, kind, token, path, pages, vector digests, chars) summed over the pages of a batch. Kinds: page, element, block text, first block."""
+    """(host, kind, token, path, pages, vector digests, chars) summed over the pages of a batch. Kinds: page with blocks, element, block text, whole text of a page."""
     import xxhash
 
     sums: dict[tuple, list[int]] = {}
     for i, url, page in zip(ids, urls, pages, strict=True):
         host = host_of(url)
         found, seen, chars = blocks_of(page or "")
-        tokens = [("page", 0, "", 1, sum(len(t) for _, t, _ in found))] + [("element", text_hash(p, ""), p, n, chars.get(p, 0)) for p, n in seen.items()]
+        tokens = [("element", text_hash(p, ""), p, n, chars.get(p, 0)) for p, n in seen.items()]
         texts: dict[tuple[str, int], int] = {}
         for p, t, _ in found:
             texts[p, text_hash(p, t)] = texts.get((p, text_hash(p, t)), 0) + 1
-        tokens += [("text", h, p, n, 0) for (p, h), n in texts.items()] + [("first", text_hash("", t), "", 1, 0) for _, t, _ in found[:1]]
+        tokens += [("text", h, p, n, 0) for (p, h), n in texts.items()]
+        if found:
+            tokens += [("page", 0, "", 1, 0), ("whole", text_hash("", "\0".join(t for _, t, _ in found)), "", 1, 0)]
         for kind, h, p, n, c in tokens:
             v = xxhash.xxh64_intdigest(f"{i}\0{url}\0{n}")
             s = sums.setdefault((host, kind, h, p), [0, 0, 0, 0])
@@ -163,16 +166,16 @@ _ROWS = "host string, kind string, token long, path string, n long, v1 long, v2
 _ARROW = pa.schema([("host", pa.string()), ("kind", pa.string()), ("token", pa.int64()), ("path", pa.string()), ("n", pa.int64()), ("v1", pa.int64()), ("v2", pa.int64()), ("chars", pa.int64())])
 
 
-def common(paths: str) -> Column:
-    """Aggregate: the path of the smallest element around all of `paths` (each ended by a slash); blocks such as p and li count as part of what they stand in."""
-    a, b = (F.split(F.substr(end, F.lit(2)), "/") for end in (F.min(paths), F.max(paths)))  # what the first and the last share, all between them share
+def common(low: Column, high: Column) -> Column:
+    """The path of the smallest element around all paths from `low` to `high` in their order (each ended by a slash); blocks such as p and li count as part of what they stand in."""
+    a, b = (F.split(F.substr(end, F.lit(2)), "/") for end in (low, high))
     n = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y) & (x != "")), False) - 1
     path = F.when(n > 0, F.concat(F.lit("/"), F.array_join(F.slice(a, 1, n.cast("int")), "/"))).otherwise("")
     return F.when(F.regexp_extract(path, TAG, 1).isin(*_HOLDERS), path).otherwise(F.regexp_replace(path, r"/[^/]*$", ""))
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """From (page_id, url, html): for each host with valid classes its `slots` (element paths) and `fixed` (hashes of block texts in the root class; no more than a page has blocks)."""
+    """From (page_id, url, html): for each host with valid classes its `slots` (element paths) and `fixed` (hashes of block texts in four fifths of the pages of a class whose texts else differ; for each class no more than a page has blocks, and a quarter)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -180,18 +183,26 @@ def templates(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(_ARROW), _ARROW, strict=True)], schema=_ARROW)
 
     tokens = cut(mapped(pages, run, _ROWS).groupBy("host", "kind", "token", "path").agg(*[F.sum(c).alias(c) for c in ("n", "v1", "v2", "chars")]))
-    hosts = tokens.where("kind = 'page'").select("host", F.col("n").alias("pages"), F.col("chars").alias("all_chars"), F.col("v1").alias("r1"), F.col("v2").alias("r2")).where(F.col("pages") >= SUPPORT)
-    firsts = tokens.where("kind = 'first'").groupBy("host").agg(F.count(F.lit(1)).alias("firsts"))
+    hosts = tokens.where("kind = 'page'").select("host", F.col("n").alias("pages")).where(F.col("pages") >= SUPPORT)
+    wholes = tokens.where("kind = 'whole'").groupBy("host").agg(F.count(F.lit(1)).alias("wholes"))
     elements = tokens.where("kind = 'element'")
     valid = elements.groupBy("host", "n", "v1", "v2").agg(F.count(F.lit(1)).alias("size")).where((F.col("size") >= 2) & (F.col("n") >= SUPPORT)).select("host", "n", "v1", "v2")
     tag = F.regexp_extract("path", TAG, 1)
     inside = elements.join(valid, ["host", "n", "v1", "v2"], "left_semi").join(hosts, "host").where("chars > 0 and n * 5 >= pages * 4")
     named = inside.groupBy("host").agg(F.collect_set(F.when(tag == "article", F.col("path"))).alias("articles"), F.collect_set(F.when(tag == "main", F.col("path"))).alias("mains"))
-    vary = tokens.where("kind = 'text'").join(hosts, "host").where("n * 5 < pages * 4").withColumn("at", F.concat("path", F.lit("/")))
-    around = vary.groupBy("host").agg(common("at").alias("around"))
+    at = F.concat("path", F.lit("/"))
+    ends = tokens.where("kind = 'text'").groupBy("host", "n").agg(F.min(at).alias("low"), F.max(at).alias("high"))  # before the join, so a host's texts don't meet in a task
+    around = ends.join(hosts, "host").where("n * 5 < pages * 4").groupBy("host").agg(common(F.min("low"), F.max("high")).alias("around"))
     known = hosts.join(valid.select("host").distinct(), "host", "left_semi").join(named, "host", "left").join(around, "host", "left")
     best = known.select("host", F.when(F.size("articles") > 0, F.col("articles")).when(F.size("mains") > 0, F.col("mains")).when(F.col("around").isNotNull(), F.array("around")).alias("slots"))
-    fixed = tokens.where("kind = 'text'").join(hosts, "host").join(firsts, "host").where((F.col("pages") >= TEXT_SUPPORT) & (F.col("firsts") * 2 >= F.col("pages")) & (F.col("n") == F.col("pages")) & (F.col("v1") == F.col("r1")) & (F.col("v2") == F.col("r2")))
+    # texts repeated in a class, whose pages are those with its element; not where the host's or the class's pages are mostly copies
+    ups = F.expr("explode(transform(sequence(1, size(split(path, '/'))), i -> substring_index(path, '/', i))) AS up")
+    classes = elements.join(valid, ["host", "n", "v1", "v2"], "left_semi").where(F.col("n") >= TEXT_SUPPORT).select("host", F.col("path").alias("up"), F.col("n").alias("within"))
+    classes = classes.join(hosts.join(wholes, "host").where("wholes * 2 >= pages"), "host", "left_semi")
+    texts = tokens.where("kind = 'text'")
+    counted = texts.groupBy("host", "path", "n").agg(F.count(F.lit(1)).alias("texts")).select("host", "n", "texts", ups)
+    differ = counted.join(classes, ["host", "up"]).where("n * 2 <= within").groupBy("host", "up", "within").agg(F.sum("texts").alias("own")).where("own * 2 >= within")
+    fixed = texts.where(F.col("n") >= TEXT_SUPPORT).select("host", "token", "n", ups).join(differ, ["host", "up"]).where("n * 5 >= within * 4")
     return best.join(fixed.groupBy("host").agg(F.collect_set("token").alias("fixed")), "host", "left")
 
 

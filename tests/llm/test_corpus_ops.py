@@ -164,3 +164,20 @@ def test_every_article_of_a_template(spark):
     rows = [(i, f"http://site.example/{i}", page.format(i=i)) for i in range(4)]
     got = {r.page_id: r.text for r in html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: f"First {i} with words Second {i}" for i in range(4)}
+
+
+def test_fixed_texts_despite_empty_and_other_pages(spark):
+    other = "<html><body><section><h1>Other {i}</h1></section></body></html>"
+    for more in ([None], ["", " "], [other.format(i=0)], [other.format(i=i) for i in range(9)], [SITE.format(i=50).replace("<p>Always the same closing line</p>", "")]):
+        pages = [*(SITE.format(i=i) for i in range(12)), *more]
+        rows = [(i, f"http://www.site.example/{i}", p) for i, p in enumerate(pages)]
+        got = {r.page_id: r.text for r in html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert {i: got[i] for i in range(12)} == {i: f"Title {i} Body text & more {i} next bold Second part {i} of the story with words" for i in range(12)}
+        if other[:20] in str(more[0]) and "Other" in str(more[0]):
+            assert [got[12 + i] for i in range(len(more))] == [f"Other {i}" for i in range(len(more))]
+
+
+def test_pages_that_are_copies_keep_their_texts(spark):
+    rows = [(i, f"http://site.example/{i}", PARTS.format(i=i if i > 14 else 0)) for i in range(20)]
+    got = {r.page_id: r.text for r in html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(f"Long body of page {i if i > 14 else 0} that" in got[i] and f"Last part {i if i > 14 else 0}" in got[i] for i in range(20))
