@@ -152,8 +152,8 @@ def shrinkage(r, prior: float) -> float:
     return float(min(max(noise / between - 1, 2.0), 1000.0)) if between > 0 else 1000.0
 
 
-def posteriors(labelled: DataFrame, label: str) -> tuple[float, DataFrame]:
-    """From rows (host, path, label 0/1): the global rate, and for each (host, path) its shrunk rate as column `label`."""
+def levels(labelled: DataFrame, label: str) -> tuple[float, DataFrame, DataFrame]:
+    """From rows (host, path, label 0/1): the global rate, for each host and for each (host, path) its shrunk rate as column `label`."""
     own = labelled.where(F.col(label).isNotNull())
     paths = cut(own.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col(label) != 0).cast("long")).alias("k")))
     total = paths.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
@@ -163,7 +163,13 @@ def posteriors(labelled: DataFrame, label: str) -> tuple[float, DataFrame]:
     b = shrinkage(paths.agg(*strength(F.col("n"), F.col("k"), prior)).first(), prior)
     hosts = hosts.select(F.col("host").alias("h"), ((F.col("hk") + a * prior) / (F.col("hn") + a)).alias("hp"))
     joined = paths.join(hosts, F.col("host").eqNullSafe(F.col("h")))
-    return prior, joined.select("host", "path", ((F.col("k") + b * F.col("hp")) / (F.col("n") + b)).alias(label))
+    return prior, hosts.select(F.col("h").alias("host"), F.col("hp").alias(label)), joined.select("host", "path", ((F.col("k") + b * F.col("hp")) / (F.col("n") + b)).alias(label))
+
+
+def posteriors(labelled: DataFrame, label: str) -> tuple[float, DataFrame]:
+    """The global rate and the rates of (host, path); see levels."""
+    prior, _, paths = levels(labelled, label)
+    return prior, paths
 
 
 def log_odds(p: Column) -> Column:
@@ -182,15 +188,18 @@ def scored(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame, *, text
     model_b = docs.sparkSession.sparkContext.broadcast(model)
     known = labels.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), "quality", "toxic")
     seen = labelled_docs.select(F.col(key).alias("k"), F.col(host).alias("host"), F.col(path).alias("path")).join(known, "k")
-    good, by_good = posteriors(seen, "quality")
-    toxic, by_toxic = posteriors(seen, "toxic")
-    groups = cut(by_good.alias("g").join(by_toxic.alias("t"), F.expr("g.host <=> t.host and g.path <=> t.path"), "full").select(F.coalesce("g.host", "t.host").alias("host"), F.coalesce("g.path", "t.path").alias("path"), (log_odds(F.col("quality")) - logit(good)).alias("g"), (log_odds(F.col("toxic")) - logit(toxic)).alias("t")))
+    good, hosts_good, by_good = levels(seen, "quality")
+    toxic, hosts_toxic, by_toxic = levels(seen, "toxic")
+    terms = ((log_odds(F.col("quality")) - logit(good)), (log_odds(F.col("toxic")) - logit(toxic)))
+    groups = cut(by_good.alias("g").join(by_toxic.alias("t"), F.expr("g.host <=> t.host and g.path <=> t.path"), "full").select(F.coalesce("g.host", "t.host").alias("host"), F.coalesce("g.path", "t.path").alias("path"), terms[0].alias("g"), terms[1].alias("t")))
+    hosts = cut(hosts_good.alias("g").join(hosts_toxic.alias("t"), F.expr("g.host <=> t.host"), "full").select(F.coalesce("g.host", "t.host").alias("above"), terms[0].alias("hg"), terms[1].alias("ht")))
     small = groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    few = hosts.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
     own = with_text(docs, text, lambda texts: model_b.value.scores(texts), "good double, toxic double").select("row", "good", "toxic")
     on = F.col("host").eqNullSafe(F.col(f"row.`{host}`")) & F.col("path").eqNullSafe(F.col(f"row.`{path}`"))
-    met = own.join(F.broadcast(groups) if small else groups, on, "left")
+    met = own.join(F.broadcast(groups) if small else groups, on, "left").join(F.broadcast(hosts) if few else hosts, F.col("above").eqNullSafe(F.col(f"row.`{host}`")), "left")
     p = lambda x: F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
-    out = met.select("row", p(F.col("good") + F.coalesce("g", F.lit(0.0))).alias("p_good"), p(F.col("toxic") + model.toxic_prior + F.coalesce("t", F.lit(0.0))).alias("p_toxic"))
+    out = met.select("row", p(F.col("good") + F.coalesce("g", "hg", F.lit(0.0))).alias("p_good"), p(F.col("toxic") + model.toxic_prior + F.coalesce("t", "ht", F.lit(0.0))).alias("p_toxic"))
     return out.withColumn("kept", (F.col("p_good") >= 0.5) & (F.col("p_toxic") < 0.5))
 
 

@@ -181,3 +181,15 @@ def test_pages_that_are_copies_keep_their_texts(spark):
     rows = [(i, f"http://site.example/{i}", PARTS.format(i=i if i > 14 else 0)) for i in range(20)]
     got = {r.page_id: r.text for r in html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(f"Long body of page {i if i > 14 else 0} that" in got[i] and f"Last part {i if i > 14 else 0}" in got[i] for i in range(20))
+
+
+def test_paths_without_labels_have_their_hosts_prior(spark):
+    rows = [(i, f"some plain words {i}", "en", "bad" if i % 2 else "big") for i in range(400)] + [(1000 + i, "some plain words", x, h) for i, (x, h) in enumerate((x, h) for x in ("fr", None) for h in ("bad", "big", "new", None))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, int(i % 2 == 0 or i % 20 == 1), int(i % 2 and i % 20 != 3)) for i in range(400)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality_model.judged(docs, labels).collect()}
+    assert len(got) == len(rows)
+    for i in (1000, 1004):
+        bad, big, new, none = (got[i + k] for k in range(4))
+        assert bad.p_good < 0.3 < new.p_good < big.p_good and bad.p_toxic > 0.7 > new.p_toxic > big.p_toxic
+        assert (new.p_good, new.p_toxic) == (none.p_good, none.p_toxic)
