@@ -87,7 +87,7 @@ def jn6(spark, d):
 @query("so7_merged_ranges", """WITH x AS (SELECT l_partkey AS part, CAST(l_quantity AS INTEGER) AS start, CAST(l_quantity AS INTEGER) + l_linenumber AS stop FROM lineitem WHERE l_partkey % 3 = 0), m AS (SELECT *, max(stop) OVER (PARTITION BY part ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM x),
 i AS (SELECT *, sum(CASE WHEN p IS NULL OR start > p + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY part ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS g FROM m), r AS (SELECT part, g, min(start) AS start, max(stop) AS stop FROM i GROUP BY 1, 2) SELECT part, count(*) AS ranges, sum(stop - start + 1)::BIGINT AS lines FROM r GROUP BY 1""")
 def so7(spark, d):
-    x = B.table(spark, d, "lineitem").where("l_partkey % 3 = 0").select(F.col("l_partkey").alias("part"), F.col("l_quantity").cast("int").alias("start"), (F.col("l_quantity").cast("int") + F.col("l_linenumber")).alias("stop"))
+    x = B.table(spark, d, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_quantity").cast("int").alias("start"), (F.col("l_quantity").cast("int") + F.col("l_linenumber")).alias("stop"))
     return L.merged_ranges(x, ["part"]).groupBy("part").agg(F.count(F.lit(1)).alias("ranges"), F.sum(F.expr("stop - start + 1")).alias("lines"))
 
 
@@ -112,7 +112,7 @@ def gr5(spark, d):
 
 @query("gr7_feature_participants", f"WITH r(seed, node, depth) AS (SELECT feature, path, 0 FROM files WHERE part % 10 = 0 UNION SELECT seed, dst, depth + 1 FROM r JOIN edges ON src = node WHERE depth < 2), m AS (SELECT seed, node, min(depth) AS depth FROM r GROUP BY 1, 2) SELECT seed AS feature, depth, count(*) AS files FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY depth, node) AS i FROM m) WHERE i <= 500 GROUP BY 1, 2", "edges", recursive=True)
 def gr7(spark, d):
-    seeds = B.files(spark, d).where("part % 10 = 0").select(F.col("feature").alias("seed"), F.col("path").alias("node"))
+    seeds = B.files(spark, d).select(F.col("feature").alias("seed"), F.col("path").alias("node"))
     return G.reach(B.edges(spark, d), seeds, depth=2, most=500).groupBy(F.col("seed").alias("feature"), "depth").agg(F.count(F.lit(1)).alias("files"))
 
 
