@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
-from .shared import with_text
+from .shared import sent, with_text
 
 WINDOW = 13
 BLOCK = 3
@@ -155,7 +155,7 @@ def annotated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", perc
     per = 100 // percent
     out = None
     for index in indexes(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+        shared = sent(docs.sparkSession, index)
 
         def run(texts: pa.Array, shared=shared) -> dict[str, pa.Array]:
             n_words, spans, items = [], [], []

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import bytewords as bw
 from .decontaminate import item_words
-from .shared import mapped
+from .shared import mapped, sent
 
 #: Phrases whose every place counts, and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -190,7 +190,7 @@ def licence_scan(docs: DataFrame, *, text: str = "text", key: str = "doc_id") ->
     document; score is the best share of such a text's words in order (0 if none). Null and empty
     texts have no words. Two passes over the texts, no shuffle but for counts of licence words.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(index(*frequencies(docs, text)))
+    shared = sent(docs.sparkSession, index(*frequencies(docs, text)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shared.value

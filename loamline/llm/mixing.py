@@ -56,15 +56,11 @@ def copies(rate: Column, draw: Column) -> Column:
     return (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("long")
 
 
-def draw(seed: int, *of: Column) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *of), 11) / F.lit(float(1 << 53))
-
-
 def rates(sized: DataFrame) -> DataFrame:
     """From (id, source, size, h): for each source its source_size, target, rate and the seed that it draws with."""
     aimed = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
     rated = aimed.withColumn("rate", F.coalesce(F.try_divide("target", F.col("source_size").cast("double")), F.lit(0.0)))
-    rows = sized.alias("d").join(rated.alias("r"), F.expr("d.source <=> r.source")).select("d.*", "r.source_size", "r.target", "r.rate")
+    rows = _with_source(sized, cut(rated), ["source_size", "target", "rate"])
     sums = [F.sum(F.col("size") * copies(F.col("rate"), draw(F.lit(s)))).alias(f"s{s}") for s in range(SEEDS)]
     drawn = rows.groupBy("source", "source_size", "target", "rate").agg(*sums)
     nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"s{s}") - F.col("target")).alias("off"), F.lit(s).alias("seed")) for s in range(SEEDS)]))["seed"]
@@ -80,11 +76,15 @@ def _sized(docs: DataFrame, text: str, key: str, source: str) -> list[Column]:
     return [F.col(key).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("h")]
 
 
-def _met(rows: DataFrame, by_source: DataFrame) -> DataFrame:
-    """Rows with the columns of their source. The table of sources is broadcast only if it has been counted to be small."""
+def _with_source(rows: DataFrame, by_source: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows with columns of their source. The table of sources is broadcast only if it has been counted to be small."""
     small = by_source.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     r = (F.broadcast(by_source) if small else by_source).alias("r")
-    return rows.alias("d").join(r, F.expr("d.source <=> r.source")).select("d.*", "r.source_size", "r.target", "r.rate", "r.seed").withColumn("copies", copies(F.col("rate"), draw(F.col("seed"))))
+    return rows.alias("d").join(r, F.expr("d.source <=> r.source")).select("d.*", *[f"r.{c}" for c in columns])
+
+
+def _met(rows: DataFrame, by_source: DataFrame) -> DataFrame:
+    return _with_source(rows, by_source, ["source_size", "target", "rate", "seed"]).withColumn("copies", copies(F.col("rate"), draw(F.col("seed"))))
 
 
 def mixed(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
@@ -100,10 +100,12 @@ def mixed(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source: s
     return _met(sized, rates(sized)).select(F.col("id").alias(key), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-def emitted(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
-    """The mix itself: every row of `docs` as often as it is taken, numbered from 0 in `copy`; see mixed."""
+def emitted(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source: str = "source", number: str = "copy") -> DataFrame:
+    """The mix itself: every row of `docs` as often as it is taken, numbered from 0 in `number`; see mixed. A column of that name in `docs` is an error, so none is lost."""
+    if number.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"docs have a column {number!r}; give the copies' number another name")
     by_source = rates(cut(docs.select(*_sized(docs, text, key, source))))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *_sized(docs, text, key, source)).drop("size")
     times = F.when(F.col("copies") > 0, F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
-    out = _met(rows, by_source).select("row", F.explode(times).alias("copy"))
-    return out.select(*[F.col(f"row.`{c}`") for c in docs.columns if c != "copy"], "copy")
+    out = _met(rows, by_source).select("row", F.explode(times).alias("n"))
+    return out.select(*[F.col(f"row.`{c}`") for c in docs.columns], F.col("n").alias(number))

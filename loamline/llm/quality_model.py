@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
-from .shared import cut, mapped, with_text
+from .shared import cut, mapped, sent, with_text
 
 #: Labelled rows that the document model is fitted on, those of the smallest hashed ids.
 SAMPLE = 6000
-#: Words of the toxic lexicon at most, the toxic texts that a word must occur in, and its least log likelihood ratio.
-LEXICON, LEAST_TEXTS, LEAST_RATIO = 200, 8, 4.0
 #: Groups up to this number go to every executor; more are joined by shuffle.
 BROADCAST_GROUPS = 100_000
 _SYMBOLS = np.zeros(256, dtype=bool)
@@ -102,8 +101,12 @@ def logit(p: float) -> float:
     return math.log(p / (1 - p))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """The document model from at most `sample` labelled rows; copies (equal whole texts with equal labels) count once. Labels that are missing or all of one class teach nothing: log-odds of the class itself."""
+def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", sample: int = SAMPLE, lexicon_words: int = 200, least_texts: int = 8, least_ratio: float = 4.0) -> Model:
+    """The document model from at most `sample` labelled rows; copies (equal whole texts with equal labels) count once. Labels that are missing or all of one class teach nothing: log-odds of the class itself.
+
+    The toxic lexicon holds at most `lexicon_words` words, each of at least `least_texts` toxic texts and a
+    log likelihood ratio of at least `least_ratio`.
+    """
     picked = labels.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col("quality").alias("q"), F.col("toxic").alias("x")).orderBy(F.xxhash64("k"), "k", "q", "x").limit(sample)
     own = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).join(F.broadcast(picked), "k")
     own = cut(own.groupBy(F.sha2("t", 256).alias("h"), F.col("q").alias("hq"), F.col("x").alias("hx")).agg(F.min_by(F.struct("k", "t", "q", "x"), F.struct("k", F.xxhash64("t"))).alias("r")).select("r.*"))
@@ -115,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
         words = own.where("x is not null").select("x", F.explode(F.array_distinct(F.regexp_extract_all(F.translate("t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)")))).alias("w"))
         c1, c0 = F.count(F.when(F.col("x") == 1, 1)), F.count(F.when(F.col("x") == 0, 1))
         ratio = F.log((c1 + 0.1) / (n1 + 0.2)) - F.log((c0 + 0.1) / (n0 + 0.2))
-        best = words.groupBy("w").agg(ratio.alias("r"), c1.alias("c1")).where((F.col("c1") >= LEAST_TEXTS) & (F.col("r") >= LEAST_RATIO)).orderBy(F.desc("c1"), "w").limit(LEXICON).collect()
+        best = words.groupBy("w").agg(ratio.alias("r"), c1.alias("c1")).where((F.col("c1") >= least_texts) & (F.col("r") >= least_ratio)).orderBy(F.desc("c1"), "w").limit(lexicon_words).collect()
         if best:
             h = bw.hash_of([r["w"].encode() for r in best])
             order = np.argsort(h)
@@ -176,16 +179,16 @@ def log_odds(p: Column) -> Column:
     return F.log(p / (F.lit(1.0) - p))
 
 
-def scored(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", host: str = "source", path: str = "lang", sample: int = SAMPLE) -> DataFrame:
+def scored(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", host: str = "source", path: str = "lang", **fitting: Any) -> DataFrame:
     """All rows and columns of `docs` as struct `row`, with p_good, p_toxic and kept (p_good >= 0.5 and p_toxic < 0.5).
 
     The model is fitted on `labelled_docs` (columns key, text, host, path) and `labels` (key, quality,
-    toxic). Null and empty texts have the style of no words; a host or path without labels has the prior
+    toxic); `fitting` are options of `fit`. Null and empty texts have the style of no words; a host or path without labels has the prior
     of the level above; null hosts are a host. Group tables are aggregated before the shuffle, so a host
     with most rows is no single task's; the texts themselves are not shuffled while the groups are few.
     """
-    model = fit(labelled_docs, labels, text=text, key=key, sample=sample)
-    model_b = docs.sparkSession.sparkContext.broadcast(model)
+    model = fit(labelled_docs, labels, text=text, key=key, **fitting)
+    model_b = sent(docs.sparkSession, model)
     known = labels.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), "quality", "toxic")
     seen = labelled_docs.select(F.col(key).alias("k"), F.col(host).alias("host"), F.col(path).alias("path")).join(known, "k")
     good, hosts_good, by_good = levels(seen, "quality")

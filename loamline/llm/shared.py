@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from typing import Any
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,22 +26,65 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or the checkpoint folder set by hand. Only where all runs on one machine may it be a temporary one."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    found = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not found.isEmpty():
+        return found.get()
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="loamline-")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df, computed once and written to the checkpoint folder that all executors share."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loamline-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+_scopes: list[tuple[list[str], list[Broadcast]]] = []
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Within it, operators' broadcasts and the tables that they store are noted; at its end they are destroyed and deleted. What depends on them must have been written by then."""
+    _scopes.append(([], []))
+    try:
+        yield
+    finally:
+        paths, broadcasts = _scopes.pop()
+        for b in broadcasts:
+            b.unpersist()
+        for p in paths:
+            dropped(spark, p)
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def sent(spark: SparkSession, value: Any) -> Broadcast:
+    out = spark.sparkContext.broadcast(value)
+    if _scopes:
+        _scopes[-1][1].append(out)
+    return out
+
+
+def table_path(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows of df as a table written to the shared checkpoint folder; Spark knows the size of what it reads there."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = tempfile.mkdtemp(prefix="loamline-") if found.isEmpty() else found.get()
-    path = f"{folder}/table-{uuid.uuid4().hex}"
+    path = table_path(spark)
+    if _scopes:
+        _scopes[-1][0].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -55,12 +102,17 @@ def marked(rows: DataFrame, h: str, bitmap: DataFrame, how: str = "left_semi") -
     return rows.join(b, hit, how)
 
 
+#: Bytes of an Arrow batch, where the session names no other bound. The bound by rows stays; it alone would put ten thousand texts of any length in a batch.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _shipped: set[str] = set()
 
 
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """df.mapInArrow, on executors that get this package from the driver if they lack it."""
+    """df.mapInArrow in batches bounded by bytes, on executors that get this package from the driver if they lack it."""
     sc = df.sparkSession.sparkContext
+    if _BATCH not in df.sparkSession.conf.getAll:
+        df.sparkSession.conf.set(_BATCH, str(BATCH_BYTES))
     if sc.applicationId not in _shipped:
         top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
         path = os.path.join(tempfile.mkdtemp(prefix="loamline-"), "loamline.zip")
@@ -90,14 +142,18 @@ def lower_ascii(text: Column) -> Column:
 def with_text(docs: DataFrame, text: str, run: Callable[[pa.Array], dict[str, pa.Array]], more: str) -> DataFrame:
     """All rows and columns of docs as struct column `row`, with what `run` makes of the batch's texts.
 
-    The struct keeps columns of docs apart from the new ones, whatever their names.
+    The struct keeps columns of docs apart from the new ones, whatever their names. Texts are read out of
+    it, so they go to Python once; only a column that is no string is sent a second time, cast.
     """
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text].cast("string").alias("text"))
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    at = docs.columns.index(text)
+    if docs.schema[at].dataType != T.StringType():
+        packed = packed.withColumn("text", docs[text].cast("string"))
     schema = T.StructType([packed.schema["row"], *T._parse_datatype_string(more).fields])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            new = run(b.column(1))
+            new = run(b.column(1) if b.num_columns > 1 else b.column(0).field(at))
             yield pa.RecordBatch.from_arrays([b.column(0), *new.values()], names=["row", *new])
 
     return mapped(packed, each, schema)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import mapped
+from .shared import mapped, sent
 
 #: Remembered strings in a Python worker; beyond it the memory starts anew, counts stay right.
 REMEMBERED = 400_000
@@ -129,7 +129,7 @@ def token_counts(docs: DataFrame, path: str, *, text: str = "text", key: str = "
     Null or empty text: 0 bytes, 0 tokens. Repeated rows stay repeated; a null key stays null; other
     columns are ignored. No shuffle: the vocabulary (bounded by its file) is sent once, texts are read once.
     """
-    whole = docs.sparkSession.sparkContext.broadcast(proved_whole(path))
+    whole = sent(docs.sparkSession, proved_whole(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = counts_here(path, whole.value)
