@@ -1,94 +1,106 @@
 """Main text of web pages by equivalence-class template deduction.
 
-Every page is read as tokens: element paths and the texts of blocks. For each host the occurrence vector
-of a token (how often it occurs in which pages) is summed into a digest, so tokens with equal vectors
-meet by aggregation. Classes of two tokens and more on enough pages are valid; by their paths they nest
-into the host's template, whose root class holds what every page has. Content slots are the article or main
-elements of the valid classes; where there are none, the smallest element around all block texts that vary
-is the slot. A block text that stands in nearly all pages of a valid class, under one of its elements, is
-template, and the slots' other blocks are extracted. Pages that no valid class covers are read by their own
-article or main element; pages without blocks don't count.
+A page is read as a sequence of tokens: element paths and block texts. The occurrence vector of an element
+path (how often it occurs in which pages of its host) is summed into a digest, so those with equal vectors
+meet by aggregation and form a class. A class is valid if its tokens come in one order on every page and
+nest alike in the other classes; a class that crosses one of more pages is cut there, and its parts nest. The
+valid classes, each inside a gap of the one around it, are the host's template; the gaps are its slots. A text that
+stands in nearly all pages of its slot is template too, a slot that holds mostly links is a menu. What is
+left of the slots is extracted, of those inside article or main elements where the page has such.
+
+What HTML itself marks as something else than the article (nav, footer, form, hidden elements and so on)
+is left out before that, and so are containers and inline elements whose whole name says so.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
-from urllib.parse import urlsplit
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, mapped
+from .shared import cut, mapped, stored
 
-#: Pages of a host from which its classes are valid, and of a class from which repeated block texts are its template.
-SUPPORT, TEXT_SUPPORT = 3, 10
-#: Hosts up to this number go to every executor; more are joined by shuffle.
-BROADCAST_HOSTS = 200_000
+#: Bytes of templates that are sent to every executor; more are met by a join on the host.
+BROADCAST_BYTES = 48 << 20
 
-_OUT = "nav footer aside form menu dialog button select option textarea head noscript template iframe object svg canvas audio video script style title".split()
-_SKIP_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu sidebar side comment comments reply replies respond disqus notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription footer breadcrumb breadcrumbs share sharing social related recommended widget widgets form search login signup pagination pager copyright legal disclaimer skip toolbar contentinfo complementary"
-    .split()
-)
-_BODY_NAMES = frozenset(("article", "post", "entry", "content", "main"))
+_OUT = frozenset("nav footer aside form menu dialog button select option textarea head noscript template iframe object svg canvas audio video script style title".split())
+#: What containers and inline elements may be called by class, id or role if they are no part of an article, and words that only lay out.
+_ROLES = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo nav navbar navigation menu sidebar comment comments disqus notice cookie cookies consent gdpr popup modal newsletter subscribe subscription footer breadcrumb breadcrumbs share sharing social related recommended login signup search pagination pager contentinfo complementary".split())
+_HEADERS = frozenset(("header", "masthead"))
+_LAYOUT = frozenset("box block list section area wrap wrapper container inner outer top bottom left right main side slot unit bar widget item items group panel site page the links nav".split())
+_NAMED_BY = frozenset("div section ul ol dl table td center header span a em strong b i small ins font label figure details".split())
 _BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul title head".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _ENDS_P = _BLOCKS - {"html", "body", "head", "title"}
 _RAW = "script|style|noscript|template|iframe|textarea|svg|title"
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(" + _RAW + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
-_NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_HOLDERS = ("article", "body", "center", "div", "html", "main", "section", "td")
-#: The tag of a path's last element.
-TAG = r"/([a-z0-9:-]+)[^/]*$"
+_NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _WORDS = re.compile(r"[a-z]+")
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
-def _named(attributes: str) -> tuple[str, bool]:
-    """What class, id and role call an element (digits left out), and whether they say it is no content."""
-    if "=" not in attributes and "hidden" not in attributes:
-        return "", False
+def _named(tag: str, attributes: str, own: bool = True) -> tuple[str, bool]:
+    """What class, id and role call an element (digits left out), and whether it is hidden or called something else than an article's part; outside of articles that is a header too."""
     names, out = [], False
     for kind, a, b, c in _NAMED.findall(attributes):
         kind, value = kind.lower(), (a or b or c).lower()
-        if kind == "hidden" or kind == "aria-hidden" and value == "true":
+        if kind == "hidden" or kind == "aria-hidden" and value == "true" or kind == "style" and _UNSEEN.search(value):
             out = True
-        elif kind != "aria-hidden":
+        elif kind in ("class", "id", "role"):
             for token in value.split():
                 words = _WORDS.findall(token)
                 names += words
-                ends = {*words[:1], *words[-1:]}
-                if words and (words[-1] in _SKIP_NAMES or (ends & _SKIP_NAMES or "header" in ends) and not _BODY_NAMES & set(words)):
+                said = [w for w in words if w not in _LAYOUT] or words
+                if tag in _NAMED_BY and said and all(w in _ROLES or not own and w in _HEADERS for w in said):
                     out = True
-            if kind == "role" and value == "banner":
-                out = True
     return ".".join(names[:6]), out
 
 
-def blocks_of(page: str) -> tuple[list[tuple[str, str, bool]], dict[str, int], dict[str, int]]:
-    """Blocks outside of menus and the like, in order: (path, text, whether in an article or main element); how often every element path occurs; characters of text inside each."""
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, path, left out, in an article
-    found: list[tuple[str, str, bool]] = []
-    seen: dict[str, int] = {}
-    chars: dict[str, int] = {}
+def items_of(page: str) -> list[tuple[str, str | None, bool, int]]:
+    """The page in order: (path, None, ..) where an element starts, (path/, None, ..) where it ends, (path, text, whether in an article or main element, characters of links) for blocks.
+
+    Blocks of elements that are no content are left out. A form is content if it holds half of all text.
+    """
+    stack: list[tuple[str, str, bool, bool, int]] = []  # tag, path, left out, in an article, number of its form
+    items: list[tuple[str, str | None, bool, int, int]] = []
     text: list[str] = []
+    links = forms = linked = 0
+    skipped, depth = "", 0  # an inline element that is left out
 
     def flush() -> None:
+        nonlocal links
         if text:
             joined = " ".join("".join(text).split())
             text.clear()
             if joined and not (stack and stack[-1][2]):
-                path = stack[-1][1] if stack else ""
-                found.append((path, joined, bool(stack) and stack[-1][3]))
-                for _, p, _, _ in {e[1]: e for e in stack}.values():
-                    chars[p] = chars.get(p, 0) + len(joined)
+                _, path, _, own, form = stack[-1] if stack else ("", "", False, False, 0)
+                items.append((path, joined, own, min(links, len(joined)), form))
+        links = 0
+
+    def said(piece: str) -> None:
+        nonlocal links
+        if not skipped:
+            piece = html.unescape(piece)
+            text.append(piece)
+            if linked:
+                links += len(piece)
+
+    def closed() -> str:
+        tag, path, *_ = stack.pop()
+        items.append((path + "/", None, False, 0, 0))
+        return tag
 
     at = 0
     for m in _TOKEN.finditer(page):
         if m.start() > at:
-            text.append(html.unescape(page[at : m.start()]))
+            said(page[at : m.start()])
         at = m.end()
         tag = m[3]
         if tag is None:
@@ -98,149 +110,287 @@ def blocks_of(page: str) -> tuple[list[tuple[str, str, bool]], dict[str, int], d
             text.append(" ")
             continue
         if tag not in _BLOCKS and tag not in _OUT:
+            if m[2]:
+                if tag == "a":
+                    linked = 0
+                if tag == skipped:
+                    depth -= 1
+                    if not depth:
+                        skipped = ""
+            else:
+                if tag == "a":
+                    linked = 1
+                if skipped:
+                    depth += tag == skipped
+                elif tag not in _VOID and m[4] and _named(tag, m[4])[1]:
+                    skipped, depth = tag, 1
             continue
         flush()
+        skipped, linked = "", 0
         if m[2]:
             if any(e[0] == tag for e in stack):
-                while stack.pop()[0] != tag:
+                while closed() != tag:
                     pass
             continue
         if tag in _VOID:
             continue
         if tag in _ENDS_P and stack and stack[-1][0] == "p":
-            stack.pop()
+            closed()
         if tag in ("li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] == tag:
-            stack.pop()
-        names, out = _named(m[4])
-        out = out and tag not in ("html", "body", "main")
-        up = stack[-1] if stack else ("", "", False, False)
-        out = up[2] or out or tag in _OUT or tag == "header" and not up[3]
-        path = f"{up[1]}/{tag}" + (f".{names}" if names else "")
-        seen[path] = seen.get(path, 0) + 1
-        stack.append((tag, path, out, up[3] or not out and tag in ("article", "main") or not out and names.split(".")[0] == "main"))
+            closed()
+        _, above, up_out, up_own, form = stack[-1] if stack else ("", "", False, False, 0)
+        names, out = _named(tag, m[4], up_own) if m[4] else ("", False)
+        if tag == "form":
+            forms += 1
+            form = form or forms
+        out = up_out or out or tag in _OUT and tag != "form" or tag == "header" and not up_own
+        path = f"{above}/{tag}" + (f".{names}" if names else "")
+        items.append((path, None, False, 0, 0))
+        stack.append((tag, path, out, up_own or not out and tag in ("article", "main") or not out and names.split(".")[0] == "main", form))
     if at < len(page):
-        text.append(html.unescape(page[at:]))
+        said(page[at:])
     flush()
-    return found, seen, chars
+    kept = {0}
+    if forms:
+        sizes = Counter()
+        for _, t, _, _, form in items:
+            if t:
+                sizes[form] += len(t)
+        kept |= {form for form, n in sizes.items() if 2 * n >= sizes.total()}
+    return [x[:4] for x in items if x[1] is None or x[4] in kept]
+
+
+def token_of(path: str, text: str | None) -> int:
+    """Texts and elements have separate tokens."""
+    return xxhash.xxh64_intdigest(path if text is None else f"{path}\0{text}") - (1 << 63)
 
 
-def host_of(url: str | None) -> str:
-    try:
-        return (urlsplit(url or "").hostname or "").removeprefix("www.")
-    except ValueError:
-        return ""
+def host_of(url: Column) -> Column:
+    """A url's host without www; empty if there is none."""
+    return F.coalesce(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(?:www\.)?([^/?#:]+)", 1), F.lit(""))
 
 
-def text_hash(path: str, text: str) -> int:
-    import xxhash
+def sequences(pages: DataFrame) -> DataFrame:
+    """From (k, u, host, p): (host, pid, tokens, chars, links, own) of every page with blocks; chars is -1 for elements, links -1 for headings."""
 
-    return xxhash.xxh64_intdigest(f"{path}\0{text}") - (1 << 63)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = (pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.bool_()))
+        for b in batches:
+            rows = []
+            for k, u, host, p in zip(*b.columns, strict=True):
+                items = items_of(p.as_py() or "")
+                if any(t for _, t, _, _ in items):
+                    tokens, chars, links, own = zip(*[(token_of(x, t), -1 if t is None else len(t), -1 if t and _is_heading(x) else n, o) for x, t, o, n in items], strict=True)
+                    rows.append((host.as_py(), xxhash.xxh64_intdigest(f"{k}\0{u}") - (1 << 63), tokens, chars, links, own))
+            host, pid, *arrays = zip(*rows, strict=True) if rows else ((),) * 6
+            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(pid, pa.int64()), *[pa.array(a, t) for a, t in zip(arrays, lists, strict=True)]], names=["host", "pid", "tokens", "chars", "links", "own"])
 
+    return mapped(pages.select("k", "u", "host", "p"), run, "host string, pid long, tokens array<long>, chars array<int>, links array<int>, own array<boolean>")
 
-def token_rows(ids: list, urls: list, pages: list) -> list[tuple]:
-    """(host, kind, token, path, pages, vector digests, chars) summed over the pages of a batch. Kinds: page with blocks, element, block text, whole text of a page."""
-    import xxhash
 
-    sums: dict[tuple, list[int]] = {}
-    for i, url, page in zip(ids, urls, pages, strict=True):
-        host = host_of(url)
-        found, seen, chars = blocks_of(page or "")
-        tokens = [("element", text_hash(p, ""), p, n, chars.get(p, 0)) for p, n in seen.items()]
-        texts: dict[tuple[str, int], int] = {}
-        for p, t, _ in found:
-            texts[p, text_hash(p, t)] = texts.get((p, text_hash(p, t)), 0) + 1
-        tokens += [("text", h, p, n, 0) for (p, h), n in texts.items()]
-        if found:
-            tokens += [("page", 0, "", 1, 0), ("whole", text_hash("", "\0".join(t for _, t, _ in found)), "", 1, 0)]
-        for kind, h, p, n, c in tokens:
-            v = xxhash.xxh64_intdigest(f"{i}\0{url}\0{n}")
-            s = sums.setdefault((host, kind, h, p), [0, 0, 0, 0])
-            s[0] += 1
-            s[1] += v & 0x7FFFFFFF
-            s[2] += v >> 33
-            s[3] += c
-    return [(*k, *s) for k, s in sums.items()]
+def _is_heading(path: str) -> bool:
+    return path.rpartition("/")[2].partition(".")[0] in _HEADINGS
 
 
-_ROWS = "host string, kind string, token long, path string, n long, v1 long, v2 long, chars long"
-_ARROW = pa.schema([("host", pa.string()), ("kind", pa.string()), ("token", pa.int64()), ("path", pa.string()), ("n", pa.int64()), ("v1", pa.int64()), ("v2", pa.int64()), ("chars", pa.int64())])
+def occurrences(seqs: DataFrame) -> DataFrame:
+    """(host, token, n, v1, v2): pages that hold an element and the digest of its occurrence vector. Summed in tasks before the shuffle."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sums: dict[tuple, list[int]] = {}
+            for host, pid, tokens, chars in zip(*(b.column(c).to_pylist() for c in ("host", "pid", "tokens", "chars")), strict=True):
+                for token, n in Counter(t for t, x in zip(tokens, chars, strict=True) if x < 0).items():
+                    v = xxhash.xxh64_intdigest(f"{pid}\0{n}")
+                    s = sums.setdefault((host, token), [0, 0, 0])
+                    s[0] += 1
+                    s[1] += v & 0x7FFFFFFF
+                    s[2] += v >> 33
+            yield _columns([(*k, *s) for k, s in sums.items()], [pa.string(), *[pa.int64()] * 4], ["host", "token", "n", "v1", "v2"])
 
-def common(low: Column, high: Column) -> Column:
-    """The path of the smallest element around all paths from `low` to `high` in their order (each ended by a slash); blocks such as p and li count as part of what they stand in."""
-    a, b = (F.split(F.substr(end, F.lit(2)), "/") for end in (low, high))
-    n = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y) & (x != "")), False) - 1
-    path = F.when(n > 0, F.concat(F.lit("/"), F.array_join(F.slice(a, 1, n.cast("int")), "/"))).otherwise("")
-    return F.when(F.regexp_extract(path, TAG, 1).isin(*_HOLDERS), path).otherwise(F.regexp_replace(path, r"/[^/]*$", ""))
+    return mapped(seqs.select("host", "pid", "tokens", "chars"), run, "host string, token long, n long, v1 long, v2 long").groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("n", "v1", "v2")])
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """From (page_id, url, html): for each host with valid classes its `slots` (element paths) and `fixed` (hashes of block texts in four fifths of the pages of a class whose texts else differ; for each class no more than a page has blocks, and a quarter)."""
+def _columns(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else ((),) * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+
+def equivalence_classes(counted: DataFrame, hosts: DataFrame, *, support: int, share: float) -> DataFrame:
+    """(host, token, cid, n): tokens of classes of two and more, on at least `support` pages and `share` of the host's."""
+    vector = ["host", "n", "v1", "v2"]
+    often = counted.join(hosts, "host").where((F.col("n") >= support) & (F.col("n") >= share * F.col("pages"))).drop("pages")
+    large = often.groupBy(*vector).agg(F.count(F.lit(1)).alias("size")).where("size > 1").select(*vector)
+    return often.join(large, vector, "left_semi").select("host", "token", F.xxhash64(*vector).alias("cid"), "n")
+
+
+def walk(tokens: list[int], class_of: dict[int, tuple[int, int]]) -> tuple[list[tuple], dict[tuple[int, int], int], set[tuple[int, int]]]:
+    """A page's sequence through classes, which are (pages, id): each token's slot (class, gap) as it is met, each class's form as a hash, and classes that are out of order.
+
+    The first round of a class sets its order, and every further round must follow it. A class is open from
+    the first to the last of its tokens, and what stands between is in one of its gaps. Where two classes
+    cross, that of fewer pages is cut there and goes on inside the other's next gap; a class's form is its
+    order and the places where it is cut. What stands outside of all is in the gap of no class.
+    """
+    met: dict[tuple[int, int], dict[int, int]] = {}
+    for t in tokens:
+        if (c := class_of.get(t)) is not None:
+            met.setdefault(c, {}).setdefault(t, len(met[c]))
+    cuts: dict[tuple[int, int], set[int]] = {c: set() for c in met}
+    bad: set[tuple[int, int]] = set()
+    stack: list[list] = []  # class, next place
+    slots: list[tuple] = []
+    expected: dict[tuple[int, int], int] = {}
+    for t in tokens:
+        c = class_of.get(t)
+        if c is not None:
+            i, size = met[c][t], len(met[c])
+            if i != expected.get(c, 0):
+                bad.add(c)
+            expected[c] = (i + 1) % size
+            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == c), None)
+            if at is not None:
+                for open_class, place in stack[at + 1 :]:
+                    if open_class[0] > c[0]:
+                        cuts[c].add(i)
+                        del stack[at]
+                        at = None
+                        break
+                    cuts[open_class].add(place)
+                else:
+                    del stack[at + 1 :]
+            if at is None:
+                stack.append([c, i + 1])
+            else:
+                stack[at][1] = i + 1
+            if i == size - 1:
+                stack.pop()
+        slots.append((stack[-1][0], stack[-1][1]) if stack else ((0, 0), 0))
+    forms = {c: xxhash.xxh64_intdigest(repr((list(m), sorted(cuts[c]))).encode()) - (1 << 63) for c, m in met.items()}
+    return slots, forms, bad
+
+
+def valid_classes(seqs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of `classes` that have one form on every page: an order that all rounds follow, cut by other classes at the same places. Pages that are all copies of one show no template."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = token_rows(*(c.to_pylist() for c in b.columns))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(_ARROW), _ARROW, strict=True)], schema=_ARROW)
-
-    tokens = cut(mapped(pages, run, _ROWS).groupBy("host", "kind", "token", "path").agg(*[F.sum(c).alias(c) for c in ("n", "v1", "v2", "chars")]))
-    hosts = tokens.where("kind = 'page'").select("host", F.col("n").alias("pages")).where(F.col("pages") >= SUPPORT)
-    wholes = tokens.where("kind = 'whole'").groupBy("host").agg(F.count(F.lit(1)).alias("wholes"))
-    elements = tokens.where("kind = 'element'")
-    valid = elements.groupBy("host", "n", "v1", "v2").agg(F.count(F.lit(1)).alias("size")).where((F.col("size") >= 2) & (F.col("n") >= SUPPORT)).select("host", "n", "v1", "v2")
-    tag = F.regexp_extract("path", TAG, 1)
-    inside = elements.join(valid, ["host", "n", "v1", "v2"], "left_semi").join(hosts, "host").where("chars > 0 and n * 5 >= pages * 4")
-    named = inside.groupBy("host").agg(F.collect_set(F.when(tag == "article", F.col("path"))).alias("articles"), F.collect_set(F.when(tag == "main", F.col("path"))).alias("mains"))
-    at = F.concat("path", F.lit("/"))
-    ends = tokens.where("kind = 'text'").groupBy("host", "n").agg(F.min(at).alias("low"), F.max(at).alias("high"))  # before the join, so a host's texts don't meet in a task
-    around = ends.join(hosts, "host").where("n * 5 < pages * 4").groupBy("host").agg(common(F.min("low"), F.max("high")).alias("around"))
-    known = hosts.join(valid.select("host").distinct(), "host", "left_semi").join(named, "host", "left").join(around, "host", "left")
-    best = known.select("host", F.when(F.size("articles") > 0, F.col("articles")).when(F.size("mains") > 0, F.col("mains")).when(F.col("around").isNotNull(), F.array("around")).alias("slots"))
-    # texts repeated in a class, whose pages are those with its element; not where the host's or the class's pages are mostly copies
-    ups = F.expr("explode(transform(sequence(1, size(split(path, '/'))), i -> substring_index(path, '/', i))) AS up")
-    classes = elements.join(valid, ["host", "n", "v1", "v2"], "left_semi").where(F.col("n") >= TEXT_SUPPORT).select("host", F.col("path").alias("up"), F.col("n").alias("within"))
-    classes = classes.join(hosts.join(wholes, "host").where("wholes * 2 >= pages"), "host", "left_semi")
-    texts = tokens.where("kind = 'text'")
-    counted = texts.groupBy("host", "path", "n").agg(F.count(F.lit(1)).alias("texts")).select("host", "n", "texts", ups)
-    differ = counted.join(classes, ["host", "up"]).where("n * 2 <= within").groupBy("host", "up", "within").agg(F.sum("texts").alias("own")).where("own * 2 >= within")
-    fixed = texts.where(F.col("n") >= TEXT_SUPPORT).select("host", "token", "n", ups).join(differ, ["host", "up"]).where("n * 5 >= within * 4")
-    return best.join(fixed.groupBy("host").agg(F.collect_set("token").alias("fixed")), "host", "left")
-
-
-def extracted(pages: DataFrame, *, page: str = "html", url: str = "url", key: str = "page_id") -> DataFrame:
+            sums: dict[tuple, list] = {}
+            for host, tokens, chars, known, pages, cids in zip(*(b.column(c).to_pylist() for c in ("host", "tokens", "chars", "known", "pages", "cids")), strict=True):
+                whole = xxhash.xxh64_intdigest(repr([t for t, x in zip(tokens, chars, strict=True) if x >= 0]).encode()) - (1 << 63)
+                _, forms, bad = walk(tokens, classes_of(known, pages, cids))
+                for c, o in forms.items():
+                    s = sums.setdefault((host, c[1]), [o, o, whole, whole, False])
+                    s[:] = min(s[0], o), max(s[1], o), min(s[2], whole), max(s[3], whole), s[4] or c in bad
+            yield _columns([(*k, *s) for k, s in sums.items()], [pa.string(), *[pa.int64()] * 5, pa.bool_()], ["host", "cid", "low", "high", "least", "most", "bad"])
+
+    rows = mapped(_with_host(seqs.select("host", "tokens", "chars"), _listed(classes)).where("known is not null"), run, "host string, cid long, low long, high long, least long, most long, bad boolean")
+    lows, highs = [F.min(c).alias(c) for c in ("low", "least")], [F.max(c).alias(c) for c in ("high", "most", "bad")]
+    good = rows.groupBy("host", "cid").agg(*lows, *highs).where("low = high and least <> most and not bad")
+    return classes.join(good, ["host", "cid"], "left_semi")
+
+
+def _listed(classes: DataFrame) -> DataFrame:
+    """One row a host; as a class stands on a share of the pages, the lists are bounded by what pages hold."""
+    both = classes.groupBy("host").agg(F.collect_list(F.struct("token", "n", "cid")).alias("x"))
+    return cut(both.select("host", F.col("x.token").alias("known"), F.col("x.n").alias("pages"), F.col("x.cid").alias("cids")))
+
+
+def classes_of(known: list[int], pages: list[int], cids: list[int]) -> dict[int, tuple[int, int]]:
+    return dict(zip(known, zip(pages, cids, strict=True), strict=True))
+
+
+def _with_host(rows: DataFrame, by_host: DataFrame) -> DataFrame:
+    """Rows with what is known of their host. That is broadcast only if its bytes have been added up to be few; else Spark splits a hot host's rows."""
+    lists = [c for c in by_host.columns if c != "host"]
+    size = by_host.agg(F.sum(sum((F.coalesce(F.size(c), F.lit(0)) * 8 for c in lists), F.lit(64)).cast("long"))).first()[0] or 0
+    return rows.join(F.broadcast(by_host) if size <= BROADCAST_BYTES else by_host, "host", "left")
+
+
+def slot_key(slot: tuple) -> int:
+    return xxhash.xxh64_intdigest(repr(slot)) - (1 << 63)
+
+
+def slot_texts(seqs: DataFrame, by_host: DataFrame) -> DataFrame:
+    """(host, slot, token, n, chars, links): for each slot (token 0) and each text in it the pages; characters and those of links outside of articles and headings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sums: dict[tuple, list[int]] = {}
+            for host, tokens, chars, links, own, known, pages, cids in zip(*(b.column(c).to_pylist() for c in ("host", "tokens", "chars", "links", "own", "known", "pages", "cids")), strict=True):
+                slots, _, _ = walk(tokens, classes_of(known, pages, cids))
+                here: dict[tuple, list[int]] = {}
+                for t, n, k, o, slot in zip(tokens, chars, links, own, slots, strict=True):
+                    if n >= 0:
+                        where = here.setdefault((slot_key(slot), 0), [0, 0])
+                        if not o and k >= 0:
+                            where[0] += n
+                            where[1] += k
+                        here.setdefault((slot_key(slot), t), [0, 0])
+                for (slot, t), (n, k) in here.items():
+                    s = sums.setdefault((host, slot, t), [0, 0, 0])
+                    s[0], s[1], s[2] = s[0] + 1, s[1] + n, s[2] + k
+            yield _columns([(*k, *s) for k, s in sums.items()], [pa.string(), *[pa.int64()] * 5], ["host", "slot", "token", "n", "chars", "links"])
+
+    rows = mapped(_with_host(seqs.drop("pid"), by_host).where("known is not null"), run, "host string, slot long, token long, n long, chars long, links long")
+    return rows.groupBy("host", "slot", "token").agg(*[F.sum(c).alias(c) for c in ("n", "chars", "links")])
+
+
+def templates(pages: DataFrame, *, support: int = 3, share: float = 0.05, fixed: float = 0.8) -> DataFrame:
+    """From (k, u, host, p): one row for each host with valid classes: their tokens (known, cids), texts that are template (`fixed`, `often`: hashes of slot and text, pages) and slots that are menus."""
+    seqs = stored(sequences(pages.where("host <> ''")))
+    hosts = seqs.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    classes = cut(equivalence_classes(occurrences(seqs), hosts, support=support, share=share))
+    by_host = _listed(valid_classes(seqs, classes))
+    found = cut(slot_texts(seqs, by_host))
+    slots = found.where("token = 0").select("host", "slot", F.col("n").alias("within"), (F.col("links") * 2 > F.col("chars")).alias("menu"))
+    often = found.where((F.col("token") != 0) & (F.col("n") >= support)).drop("chars", "links").join(slots.where(F.col("within") >= support), ["host", "slot"]).where(F.col("n") >= fixed * F.col("within"))
+    texts = often.groupBy("host").agg(F.collect_list(F.struct("slot", "token", "n")).alias("x")).select("host", F.col("x.slot").alias("fixed_slots"), F.col("x.token").alias("fixed_texts"), F.col("x.n").alias("often"))
+    menus = slots.where("menu").join(hosts, "host").where((F.col("within") >= support) & (F.col("within") >= share * F.col("pages"))).groupBy("host").agg(F.collect_list("slot").alias("menus"))
+    return by_host.join(texts, "host", "left").join(menus, "host", "left")
+
+
+def main_text(page: str, class_of: dict[int, tuple[int, int]], fixed: dict[tuple[int, int], int], menus: set[int]) -> str:
+    """The page's blocks in slots, without template texts and menus.
+
+    If nothing but template texts is left, the page is one of very many copies on its host; then only those
+    that stand on the most pages are template.
+    """
+    items = items_of(page)
+    tokens = [token_of(p, t) for p, t, _, _ in items]
+    slots, _, _ = walk(tokens, class_of) if class_of else ([((0, 0), 0)] * len(items), {}, set())
+    blocks = [(t, own, token, slot_key(slot) if class_of else 0) for (_, t, own, _), token, slot in zip(items, tokens, slots, strict=True) if t is not None]
+    own = [b for b in blocks if b[1]] or [b for b in blocks if b[3] not in menus] or blocks
+    kept = [b for b in own if (b[3], b[2]) not in fixed]
+    if not kept:
+        most = max((fixed[b[3], b[2]] for b in own), default=0)
+        kept = [b for b in own if fixed[b[3], b[2]] < most] or own
+    return " ".join(b[0] for b in kept)
+
+
+def extracted(pages: DataFrame, *, page: str = "html", url: str = "url", key: str = "page_id", support: int = 3, share: float = 0.05, fixed: float = 0.8) -> DataFrame:
     """(key, url, text, n_chars), one row for each row of `pages`.
 
-    text: the blocks of the page's content slots in order, each with its white space turned into single
-    spaces and its character references decoded, joined by one space; empty if there are none. Null pages
-    are empty; a null or odd url is of the host "". Repeated rows stay repeated. Broken markup is read to
-    its end. Token counts are summed in tasks before the shuffle, so a host with most pages is no single
-    task's; pages themselves are not shuffled while the hosts are few enough to be sent to all.
+    text: the blocks of the page's slots in order, each with its white space turned into single spaces and
+    its character references decoded, joined by one space; empty if there are none. A class needs
+    `support` pages and `share` of its host's, a text `fixed` of its slot's pages to be template; a host of
+    fewer pages has no template, and a page with no (or an odd) url no host: they are read by their own
+    elements. Null pages are empty. Repeated rows stay repeated. Broken markup is read to its end. Counts
+    are summed in tasks before the shuffle, so a host with most pages is no single task's; pages
+    themselves are not shuffled while the templates are few enough to be sent to all.
     """
-    slim = pages.select(F.col(key).alias("k"), F.col(url).cast("string").alias("u"), F.col(page).cast("string").alias("p"))
-    by_host = cut(templates(slim))
-    few = by_host.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
+    slim = pages.select(F.col(key).alias("k"), F.col(url).cast("string").alias("u"), host_of(F.col(url).cast("string")).alias("host"), F.col(page).cast("string").alias("p"))
+    met = _with_host(slim, cut(templates(slim, support=support, share=share, fixed=fixed))).select("k", "u", "host", "p", "known", "pages", "cids", "fixed_slots", "fixed_texts", "often", "menus")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string()), ("own", pa.bool_()), ("h", pa.int64())]))
         for b in batches:
-            urls = b.column(1).to_pylist()
-            found = []
-            for p in b.column(2):
-                blocks, _, _ = blocks_of(p.as_py() or "")
-                some = any(own for _, _, own in blocks)
-                found.append([{"path": x, "text": t, "own": own or not some, "h": text_hash(x, t)} for x, t, own in blocks])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([host_of(u) for u in urls], pa.string()), pa.array(found, kind)], names=["k", "u", "host", "blocks"])
-
-    read = mapped(slim, run, f"k {slim.schema['k'].dataType.simpleString()}, u string, host string, blocks array<struct<path: string, text: string, own: boolean, h: bigint>>")
-    met = read.join(F.broadcast(by_host) if few else by_host, "host", "left")
-
-    def within(slots: Column, b: Column) -> Column:
-        return F.coalesce(F.exists(slots, lambda s: (b["path"] == s) | F.startswith(b["path"], F.concat(s, F.lit("/")))), F.lit(False))
-
-    def chosen(slots: Column, blocks: Column) -> Column:
-        inside = F.filter(blocks, lambda b: within(slots, b))
-        own = F.filter(blocks, lambda b: b["own"])
-        return F.when(F.exists(blocks, lambda b: within(slots, b)), inside).otherwise(own)
-
-    kept = F.filter(chosen(F.col("slots"), F.col("blocks")), lambda b: ~F.coalesce(F.array_contains("fixed", b["h"]), F.lit(False)))
-    out = met.select(F.col("k").alias(key), F.col("u").alias(url), F.array_join(F.transform(kept, lambda b: b["text"]), " ").alias("text"))
-    return out.withColumn("n_chars", F.char_length("text").cast("long"))
+            known: dict[str, tuple] = {}
+            texts = []
+            for i, (host, p) in enumerate(zip(b.column("host").to_pylist(), b.column("p"), strict=True)):
+                if host not in known:
+                    tokens, counts, cids, slots, fixed_texts, often, menus = (b.column(c)[i].as_py() or [] for c in ("known", "pages", "cids", "fixed_slots", "fixed_texts", "often", "menus"))
+                    known[host] = classes_of(tokens, counts, cids), dict(zip(zip(slots, fixed_texts, strict=True), often, strict=True)), set(menus)
+                texts.append(main_text(p.as_py() or "", *known[host]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["k", "u", "text"])
+
+    out = mapped(met, run, f"k {slim.schema['k'].dataType.simpleString()}, u string, text string")
+    return out.select(F.col("k").alias(key), F.col("u").alias(url), "text", F.char_length("text").cast("long").alias("n_chars"))
