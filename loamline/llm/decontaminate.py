@@ -2,14 +2,16 @@
 
 Test strings are windows of words. For each length of window, a table gives for every block of the
 last words how far the search may jump: blocks that end no window let it skip to the next place where
-one could end. Where the jump is zero, the block's hash names a bucket of windows; what follows are a
-prefix hash and the comparison of the very bytes. Many places of a text jump at once, as numpy lanes.
+one could end. Where the jump is zero, the block's hash names a bucket of windows; what follows are the
+whole window's hash and the comparison of the very bytes. Many places of a text jump at once, as numpy
+lanes. Tables have two slots and more for each block of a window, so they don't fill up as a benchmark grows.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,6 @@ WINDOW = 13
 BLOCK = 3
 #: Bytes of benchmark text in one search index. Larger benchmarks are searched for in as many passes.
 INDEX_BYTES = 8 << 20
-_TABLE_BITS = 20
 _LANE = 256
 _ODD = 0x9E3779B97F4A7C15
 _MIX = np.uint64(_ODD)
@@ -45,27 +46,24 @@ def rolled(h: np.ndarray, size: int) -> np.ndarray:
 
 
 class Patterns:
-    """Windows of one length."""
-
-    def __init__(self, windows: dict[tuple[bytes, ...], set[str | None]], size: int):
-        self.size, self.block = size, min(BLOCK, size)
-        self.jump = np.full(1 << _TABLE_BITS, size - self.block + 1, dtype=np.int64)
-        self.bucket: dict[int, list[tuple[bytes, tuple]]] = {}
-        firsts = []
-        for words, items in windows.items():
-            h = bw.hash_of(list(words))
-            ends = rolled(h, self.block)
-            for at in range(self.block - 1, size):
-                slot = int(ends[at] >> np.uint64(64 - _TABLE_BITS))
-                self.jump[slot] = min(self.jump[slot], size - 1 - at)
-            self.bucket.setdefault(int(ends[-1]), []).append((b" ".join(words), tuple(items)))
-            firsts.append(h[0])
-        self.firsts = np.unique(np.array(firsts, dtype=np.uint64))
-
-    def places(self, h: np.ndarray, row_start: np.ndarray) -> np.ndarray:
-        """Places where a window may end, in ascending order. row_start: for each word, the index of its row's first word."""
+    """Windows of one length, as arrays: nothing is held for each window but its last block, its whole hash and where its words stand."""
+
+    def __init__(self, words: Words, ends: np.ndarray, size: int):
+        """`ends`: the last words of the windows, as places in `words`."""
+        self.size, self.block, self.words = size, min(BLOCK, size), words
+        blocks, wholes = rolled(words.h, self.block), rolled(words.h, size)
+        bits = min(max(int(len(ends) * size).bit_length() + 1, 12), 25)  # two slots and more for each block
+        self.shift = np.uint64(64 - bits)
+        self.jump = np.full(1 << bits, size - self.block + 1, dtype=np.uint8)
+        for back in range(size - self.block, -1, -1):  # nearer ends last, so the shortest jump stays
+            self.jump[(blocks[ends - back] >> self.shift).astype(np.int64)] = back
+        order = np.argsort(blocks[ends], kind="stable")
+        self.ends, self.blocks, self.wholes = ends[order].astype(np.int32), blocks[ends][order], wholes[ends][order]
+
+    def places(self, h: np.ndarray, row_start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (place where a window ends, window), by equal blocks and hashes. row_start: for each word, the index of its row's first word."""
         blocks = rolled(h, self.block)
-        jump = self.jump[(blocks >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)]
+        jump = self.jump[(blocks >> self.shift).astype(np.int64)]
         at = np.arange(self.size - 1, len(h), _LANE, dtype=np.int64)
         end = np.minimum(at + _LANE, len(h))
         found = []
@@ -78,52 +76,74 @@ class Patterns:
             live = at < end
             at, end = at[live], end[live]
         if not found:
-            return np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         e = np.sort(np.concatenate(found))
-        s = e - self.size + 1
-        e = e[(s >= row_start[e]) & (self.firsts[np.minimum(np.searchsorted(self.firsts, h[s]), len(self.firsts) - 1)] == h[s])]
-        return e[np.isin(blocks[e], np.fromiter(self.bucket, np.uint64, len(self.bucket)))]
+        e = e[e - self.size + 1 >= row_start[e]]
+        first, last = np.searchsorted(self.blocks, blocks[e]), np.searchsorted(self.blocks, blocks[e], "right")
+        n = last - first
+        e, bucket = np.repeat(e, n), np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        if not len(e):
+            return e, bucket
+        same = self.wholes[bucket] == rolled(h, self.size)[e]
+        return e[same], bucket[same]
 
-    def confirmed(self, e: int, block_hash: int, words: list[bytes]) -> set:
-        whole = b" ".join(words)
-        return {i for text, items in self.bucket.get(block_hash, ()) if text == whole for i in items}
+
+@dataclass
+class Words:
+    """Words of many texts: bytes, where each starts and ends, the first word of each text (one more than texts), hashes."""
+
+    data: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    rows: np.ndarray
+    h: np.ndarray
+
+    @classmethod
+    def of(cls, data: np.ndarray, offsets: np.ndarray) -> Words:
+        low = bw.LOWER[data]
+        starts, ends, rows = bw.spans(low, offsets, bw.ALNUM)
+        return cls(low, starts.astype(np.int32), ends.astype(np.int32), rows, bw.hashes(low, starts, ends))
 
 
 class Index:
     """What to search for: windows of WINDOW words of every item, or the whole of a shorter one."""
 
     def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW):
-        by_size: dict[int, dict[tuple[bytes, ...], set]] = {}
-        for item, text in items:
-            ws = item_words(text)
-            size = min(window, len(ws))
-            for i in range(len(ws) - size + 1 if size else 0):
-                by_size.setdefault(size, {}).setdefault(tuple(ws[i : i + size]), set()).add(item)
-        self.patterns = [Patterns(w, size) for size, w in sorted(by_size.items())]
+        self.names = [i for i, _ in items]
+        raw = [t.encode() for _, t in items]
+        self.words = w = Words.of(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        counts = np.diff(w.rows)
+        size_of = np.repeat(np.minimum(counts, window), counts)
+        place = np.arange(len(w.h)) - np.repeat(w.rows[:-1], counts)
+        self.item_of = np.repeat(np.arange(len(items), dtype=np.int32), counts)
+        self.patterns = [Patterns(w, np.flatnonzero((size_of == size) & (place >= size - 1)), int(size)) for size in np.unique(size_of)]
 
     def search(self, texts: pa.Array) -> Iterator[tuple[int, list[tuple[int, int]], set]]:
         """For each text: its number of words, the (first, last) words of all occurrences, and their items."""
         data, offsets = bw.utf8(texts)
         for a, b in bw.blocks(offsets):
-            part, at = bw.LOWER[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a]
-            starts, ends, rows = bw.spans(part, at, bw.ALNUM)
+            w = Words.of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             spans: list[list[tuple[int, int]]] = [[] for _ in range(b - a)]
             items: list[set] = [set() for _ in range(b - a)]
-            if len(starts):
-                h = bw.hashes(part, starts, ends)
-                n = np.diff(rows)
-                row_of = np.repeat(np.arange(b - a), n)
-                row_start = np.repeat(rows[:-1], n)
-                raw = part.tobytes()
-                for p in self.patterns:
-                    blocks = rolled(h, p.block)
-                    for e in p.places(h, row_start):
-                        s = e - p.size + 1
-                        if hit := p.confirmed(e, int(blocks[e]), [raw[x:y] for x, y in zip(starts[s : e + 1], ends[s : e + 1], strict=True)]):
-                            r = row_of[e]
-                            spans[r].append((int(s - rows[r]), int(e - rows[r])))
-                            items[r] |= hit
-            yield from zip(np.diff(rows).tolist(), spans, items, strict=True)
+            n = np.diff(w.rows)
+            row_of, row_start = np.repeat(np.arange(b - a), n), np.repeat(w.rows[:-1], n)
+            for p in self.patterns if len(w.h) else ():
+                before, text = -1, []
+                for e, bucket in zip(*(x.tolist() for x in p.places(w.h, row_start)), strict=True):
+                    end = int(p.ends[bucket])
+                    if e != before:
+                        before, text = e, _written(w, e, p.size)
+                    if text == _written(self.words, end, p.size):
+                        r = row_of[e]
+                        last = int(e - w.rows[r])
+                        spans[r].append((last - p.size + 1, last))
+                        items[r].add(self.names[self.item_of[end]])
+            yield from zip(n.tolist(), spans, items, strict=True)
+
+
+def _written(w: Words, end: int, size: int) -> list[bytes]:
+    """The very bytes of `size` words up to the one at `end`."""
+    return [w.data[a:b].tobytes() for a, b in zip(w.starts[end - size + 1 : end + 1], w.ends[end - size + 1 : end + 1], strict=True)]
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -154,6 +174,9 @@ def annotated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", perc
     """
     per = 100 // percent
     out = None
+    held = "found"
+    while held in (c.lower() for c in docs.columns):
+        held += "_"
     for index in indexes(benchmark):
         shared = sent(docs.sparkSession, index)
 
@@ -168,8 +191,11 @@ def annotated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", perc
         if out is None:
             out = with_text(docs, text, run, "n_words long, spans array<int>, items array<string>")
         else:
-            more = with_text(out.withColumn("t", F.col(f"row.`{text}`")), "t", run, "n_words long, spans array<int>, items array<string>")
-            out = more.select("row.row", "n_words", F.concat("row.spans", "spans").alias("spans"), F.array_union("row.items", "items").alias("items"))
+            columns = [F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+            flat = out.select(*columns, F.struct("spans", "items").alias(held))
+            more = with_text(flat, text, run, "n_words long, spans array<int>, items array<string>")
+            row = F.struct(*[F.col(f"row.`{c}`") for c in docs.columns]).alias("row")
+            out = more.select(row, "n_words", F.concat(f"row.`{held}`.spans", "spans").alias("spans"), F.array_union(f"row.`{held}`.items", "items").alias("items"))
     pairs = F.sort_array(F.transform(F.sequence(F.lit(0), (F.size("spans") / 2).cast("int") - 1), lambda i: F.struct(F.get("spans", (2 * i).cast("int")).alias("a"), F.get("spans", (2 * i + 1).cast("int")).alias("b"))))
     start = F.struct(F.lit(-1).alias("end"), F.lit(0).cast("long").alias("n"))
     union = F.aggregate(pairs, start, lambda x, s: F.struct(F.greatest(x["end"], s["b"]).alias("end"), (x["n"] + F.greatest(F.lit(0), s["b"] - F.greatest(x["end"], s["a"] - 1))).alias("n")))["n"]
