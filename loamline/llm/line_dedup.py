@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .shared import cut, let, marked, marks, stored, words
 
-#: Shorter lines are compared exactly: one word of five is a similarity of 0.8.
+#: By default shorter lines are compared exactly: one word of five is a similarity of 0.8.
 LEAST_WORDS = 5
 
 
@@ -33,7 +33,7 @@ def _line_hash(ws: Column) -> tuple[Column, Column]:
     return F.xxhash64(ws), F.xxhash64(F.lit("line"), F.size(ws), ws)
 
 
-def half_keys(ws: Column) -> Column:
+def half_keys(ws: Column, least_words: int = LEAST_WORDS) -> Column:
     """Hashes of the first and the last half, as long as the shorter of two near lines has them: once as that line, once as one a word longer."""
 
     def of(n: Column) -> list[Column]:
@@ -41,7 +41,7 @@ def half_keys(ws: Column) -> Column:
         return [F.xxhash64(F.lit("first"), n, F.slice(ws, 1, half)), F.xxhash64(F.lit("last"), n, F.slice(ws, F.size(ws) - half + 1, half))]
 
     n = F.size(ws)
-    return F.when(n == LEAST_WORDS, F.array(*of(n))).when(n > LEAST_WORDS, F.array(*of(n), *of(n - 1)))
+    return F.when(n == least_words, F.array(*of(n))).when(n > least_words, F.array(*of(n), *of(n - 1)))
 
 
 def variants(ws: Column) -> Column:
@@ -93,12 +93,12 @@ def near_lines(lines: DataFrame, hashed: DataFrame) -> DataFrame:
     return one.join(a, "later").join(b, "sooner").where(near).select("h1", "h2").distinct()
 
 
-def repeated_lines(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
+def repeated_lines(docs: DataFrame, *, text: str = "text", key: str = "doc_id", least_words: int = LEAST_WORDS) -> DataFrame:
     """(id, th, gone): for each document with lines that go, their numbers."""
     lines = _lines(docs, text, key)
     def keyed(w: Column) -> Column:
         h1, h2 = _line_hash(w)
-        return F.struct(h1.alias("h1"), h2.alias("h2"), half_keys(w).alias("halves"), F.size(w).alias("n"))
+        return F.struct(h1.alias("h1"), h2.alias("h2"), half_keys(w, least_words).alias("halves"), F.size(w).alias("n"))
 
     hashed = stored(lines.select("ord", let(words(F.col("line")), keyed).alias("x")).where("x.n > 0").select("x.h1", "x.h2", "x.halves", "ord"))
     near = stored(near_lines(lines, hashed))
@@ -109,10 +109,10 @@ def repeated_lines(docs: DataFrame, *, text: str = "text", key: str = "doc_id")
     return gone.groupBy("ord.id", "ord.th").agg(F.collect_set("ord.pos").alias("gone"))
 
 
-def without_repeats(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
+def without_repeats(docs: DataFrame, *, text: str = "text", key: str = "doc_id", least_words: int = LEAST_WORDS) -> DataFrame:
     """All rows and columns of `docs` as struct `row`, with `kept_text`, `n_lines` (with a word), `n_gone`.
 
-    A line goes if an equal line, or for lines of LEAST_WORDS words and more a near one, stands earlier:
+    A line goes if an equal line, or for lines of `least_words` words and more a near one, stands earlier:
     in a document of smaller key (null keys first; equal keys by a hash of the text) or before it in its
     own. White space within a line counts as one space; lines without a word stay. A text that loses
     nothing stays as it is, null and empty texts too; rows repeated in full have the same lines and are
@@ -120,7 +120,7 @@ def without_repeats(docs: DataFrame, *, text: str = "text", key: str = "doc_id")
     and of documents that lose lines. Minima are aggregated before the shuffle, so a line that a third of all
     documents share is no single task's.
     """
-    gone = stored(repeated_lines(docs, text=text, key=key))
+    gone = stored(repeated_lines(docs, text=text, key=key, least_words=least_words))
     d = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[key].alias("id"), docs[text].cast("string").alias("t"))
     d = d.withColumn("th", F.xxhash64("t")).withColumn("dh", F.xxhash64("id", "th"))
     losers = marks(gone.select(F.xxhash64("id", "th").alias("h")))

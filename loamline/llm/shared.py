@@ -9,7 +9,7 @@ import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from typing import Any
+from typing import Any, NamedTuple
 
 import pyarrow as pa
 from pyspark import Broadcast
@@ -89,16 +89,31 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def marks(hashes: DataFrame) -> DataFrame:
-    """A bitmap of 2**26 bits over a column `h` of 64-bit hashes, as at most 2**20 rows (slot, bits), whatever the number of hashes."""
+#: Hashes up to which a bitmap pays: at four bits for each of so many, three quarters of the others are kept out.
+MOST_MARKS = 1 << 24
+
+
+class Marks(NamedTuple):
+    bitmap: DataFrame
+    shift: int
+
+
+def marks(hashes: DataFrame) -> Marks | None:
+    """A bitmap over a column `h` of 64-bit hashes as rows (slot, bits), of eight bits and more for each, of 2**26 bits at most; none if there are over MOST_MARKS, as it would pass too much."""
+    n = hashes.count()
+    if n > MOST_MARKS:
+        return None
+    shift = 64 - min(max((n // 8).bit_length() + 1, 8), 20)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
-    return stored(hashes.groupBy(F.shiftrightunsigned("h", 44).alias("slot")).agg(F.bit_or(bit).alias("bits")))
+    return Marks(stored(hashes.groupBy(F.shiftrightunsigned("h", shift).alias("slot")).agg(F.bit_or(bit).alias("bits"))), shift)
 
 
-def marked(rows: DataFrame, h: str, bitmap: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Rows whose hash is marked (or, with left_anti, is not): all that were marked and by chance some more. The bitmap's bound is fixed, so it goes to every executor."""
-    b = F.broadcast(bitmap)
-    hit = (F.shiftrightunsigned(rows[h], 44) == b["slot"]) & (F.getbit(b["bits"], rows[h].bitwiseAND(F.lit(63)).cast("int")) == 1)
+def marked(rows: DataFrame, h: str, by: Marks | None, how: str = "left_semi") -> DataFrame:
+    """Rows whose hash is marked, and by chance some more (with left_anti: the others). The bitmap's bound is fixed, so it goes to every executor; without one all rows may be marked."""
+    if by is None:
+        return rows if how == "left_semi" else rows.limit(0)
+    b = F.broadcast(by.bitmap)
+    hit = (F.shiftrightunsigned(rows[h], by.shift) == b["slot"]) & (F.getbit(b["bits"], rows[h].bitwiseAND(F.lit(63)).cast("int")) == 1)
     return rows.join(b, hit, how)
 
 

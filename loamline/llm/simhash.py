@@ -158,7 +158,7 @@ def near_links(fps: DataFrame) -> DataFrame:
 
 
 def classes(found: DataFrame) -> DataFrame:
-    """From (fp, id) rows: for each distinct fp its component as `root` (a fingerprint), `component_id` (its smallest id)."""
+    """From (fp, id) rows: for each distinct fp its component as `root` (a fingerprint), `component_id` (its smallest id). Store it before a join with all rows: then that is a step in which Spark splits the copies of one text."""
     own = cut(found.groupBy("fp").agg(F.min("id").alias("id")))
     roots = components(near_links(own.select("fp")))
     rooted = own.join(roots, own["fp"] == roots["node"], "left").select("fp", "id", F.coalesce("root", "fp").alias("root"))
@@ -174,7 +174,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id")
     all are). Work grows with distinct fingerprints, not with the square of a group of copies.
     """
     marked = with_text(docs, text, fingerprints, "fp long").select("row", "fp")
-    groups = classes(cut(marked.select("fp", F.col(f"row.`{key}`").alias("id"))))
+    groups = stored(classes(cut(marked.select("fp", F.col(f"row.`{key}`").alias("id")))))
     return marked.join(groups, "fp").select("row", "fp", "root", "component_id")
 
 
@@ -198,4 +198,4 @@ def one_of_each(docs: DataFrame, *, text: str = "text", key: str = "doc_id") ->
 def document_classes(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, fingerprint as 16 hex digits, component_id), one row for each row of `docs`; see near_duplicates. Texts are read once and never shuffled."""
     marked = cut(with_text(docs.select(key, text), text, fingerprints, "fp long").select(F.col(f"row.`{key}`").alias("id"), "fp"))
-    return marked.join(classes(marked), "fp").select(F.col("id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return marked.join(stored(classes(marked)), "fp").select(F.col("id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

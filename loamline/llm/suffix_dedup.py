@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
-from .shared import cut, mapped
+from .shared import cut, mapped, stored
 
 SIZE, K = 200, 64
 #: Different contexts of one anchor that are compared in one task; more are counted by hash over all tasks.
@@ -147,6 +147,7 @@ def repeats(docs: DataFrame, *, size: int = SIZE, k: int = K, run: int = RUN) ->
     """From (id, th, t): (id, th, spans) for documents with repeated strings; spans: (first, last) start of repeated strings, in bytes, at most `size` apart, so that all between is covered."""
     found = _anchored(docs, size, k)
     anchors = found.groupBy("g").agg(F.count(F.lit(1)).alias("times"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("times > 1").select("g", (F.col("c1") != F.col("c2")).alias("mixed"))
+    anchors = stored(anchors)  # so that the join is a step of its own, in which Spark splits the rows of a hot anchor
     again = cut(found.join(anchors, "g"))
     distinct = again.where("mixed").groupBy("g", "c").agg(F.min(F.struct("id", "th", "lo", "n", "off")).alias("x"), F.count(F.lit(1)).alias("times"))
     mixed = cut(distinct.select("g", "c", "times", "x.*"))

@@ -226,3 +226,14 @@ def test_repeated_strings_match_brute_force(spark, documents, odd, run):
 
 def test_repeated_strings_of_nothing(empty):
     assert suffix_dedup.deduplicated(empty).count() == 0
+
+
+def test_line_dedup_without_bitmaps_and_with_shorter_lines(spark, documents, monkeypatch):
+    docs = documents.limit(60)
+    want = rows(line_dedup.deduplicated(docs))
+    monkeypatch.setattr("loamline.llm.shared.MOST_MARKS", 0)
+    assert rows(line_dedup.deduplicated(docs)) == want
+    few = spark.createDataFrame([(1, "one two three\none two four\nplain"), (2, "one three")], "doc_id long, text string")
+    assert [r.n_gone for r in line_dedup.without_repeats(few).collect()] == [0, 0]
+    gone = {r.row.doc_id: r.kept_text for r in line_dedup.without_repeats(few, least_words=2).collect()}
+    assert gone == {1: "one two three\nplain", 2: ""}
