@@ -173,7 +173,7 @@ def repeats(docs: DataFrame, *, size: int = SIZE, k: int = K, run: int = RUN) ->
     twice = each.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
     many = each.join(twice, "key", "left_semi").groupBy("g", "c").agg(F.min("s").alias("p"), F.max("s").alias("q"))
     part = few.unionByName(many)
-    verdict = mixed.select("g", "c", "times", "n").join(part, ["g", "c"], "left").select("g", "c", F.when(F.col("times") > 1, F.lit(0)).otherwise(F.col("p")).alias("p"), F.when(F.col("times") > 1, F.col("n") - 1).otherwise(F.col("q")).alias("q")).where("p is not null")
+    verdict = stored(mixed.select("g", "c", "times", "n").join(part, ["g", "c"], "left").select("g", "c", F.when(F.col("times") > 1, F.lit(0)).otherwise(F.col("p")).alias("p"), F.when(F.col("times") > 1, F.col("n") - 1).otherwise(F.col("q")).alias("q")).where("p is not null"))  # a step of its own, as for anchors
     pure = again.where("not mixed").select("id", "th", F.col("lo").alias("first"), (F.col("lo") + F.col("n") - 1).alias("last"))
     met = again.where("mixed").join(verdict, ["g", "c"]).select("id", "th", (F.col("lo") + F.col("p")).alias("first"), (F.col("lo") + F.col("q")).alias("last"))
     return pure.unionByName(met).groupBy("id", "th").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
