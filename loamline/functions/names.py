@@ -60,10 +60,14 @@ def deep_link(remote: Column, path: Column, first: Column, last: Column) -> Colu
 # Words of technical layers, and extensions that give a file name away.
 TECHNICAL_WORDS = "data display view render layout page navigation routing state management error handling validation utility helper component hook service store config loading fetching caching storage styling theming animation setup init".split()
 EXTENSIONS = ".ts .tsx .js .jsx .mjs .cjs .py .rb .go .rs .java .kt .css .scss .less .html .vue .svelte .json .yaml .yml .toml .md .txt".split()
+MARKETING = ("book-meeting", "subscribe-to-newsletter", "apply-to-", "view-go-page", "view-pricing", "sign-up-for-", "contact-sales")
 TYPE_KINDS = ("type", "enum", "reexport")
 VERBS = ("GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS")
 # Roles of symbols by name, the first match wins.
 ROLES = (
+    ("loading-state", r"(?:^|[a-zA-Z_])(?:is|has)?(?:Loading|Pending|Fetching|Submitting|Saving|Refetching)(?:$|[A-Z_])"),
+    ("error-state", r"(?:^|[a-zA-Z_])(?:is|has)?(?:Error|Errors|ErrorMessage|ErrorState|Failure|Failed)(?:$|[A-Z_])"),
+    ("validator", r"^(?:validate|isValid|check|assert|ensure)[A-Z_]|^[a-z][A-Za-z]*Schema$|^[A-Z][A-Za-z]*Schema$|.+Validator$"),
     ("data-fetching", r"^use[A-Z][A-Za-z]*(?:Mutation|Query|InfiniteQuery|SuspenseQuery|Subscription)$|^(?:fetch|get|list|load|create|update|delete)[A-Z][A-Za-z]*(?:Async|Promise)?$"),
     ("side-effect", r"^use[A-Z][A-Za-z]*Effect$|^on[A-Z][A-Za-z]+$|^(?:before|after)[A-Z][A-Za-z]+Hook$"),
     ("state", r"^(?:set|use)[A-Z][A-Za-z]*(?:State|Store|Atom|Signal|Reducer|Context)?$|.+(?:Atom|Signal|Store|Slice|Reducer|Context)$"),
@@ -95,6 +99,10 @@ def is_technical_flow(flow: Column) -> Column:
     return (F.size(words) > 0) & (F.size(F.array_except(words, F.array(*map(F.lit, TECHNICAL_WORDS)))) == 0)
 
 
+def is_marketing_flow(flow: Column) -> Column:
+    return F.lower(flow).rlike("|".join(MARKETING))
+
+
 def entry_trail(text: Column) -> dict[str, Column]:
     """Description without its closing (entry: file:line), and the two."""
     return {

@@ -89,14 +89,28 @@ def bug_fix_prs(touched: DataFrame, commits: DataFrame, key: str) -> DataFrame:
     return own.withColumn("i", first).where("i = 1").select(key, "pr_number", "sha", F.left(F.substring_index("message", "\n", 1), F.lit(120)).alias("title"))
 
 
-def merge_small(feature_files: DataFrame, least: int = 3) -> DataFrame:
-    """(feature, target): features with fewer than `least` files and the one that absorbs them: the owner of the nearest directory above (most files, then the shortest name)."""
+def merge_small(feature_files: DataFrame, least: int = 3, gate: int = 15) -> DataFrame:
+    """(feature, target): features with fewer than `least` files and the one that absorbs them: the owner of the nearest directory above (most files, then the shortest name). Where there are no more than `gate` features, all stay."""
     sizes = feature_files.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
     parts = F.split("path", "/")
     depth = F.explode(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))))
     dirs = feature_files.where(F.col("path").contains("/")).select("feature", "path", depth.alias("depth")).select("feature", "depth", F.array_join(F.slice(F.split("path", "/"), F.lit(1), F.col("depth")), "/").alias("dir")).distinct()
+    many = sizes.agg((F.count(F.lit(1)) > gate).alias("many"))  # one row
+    sizes = sizes.join(F.broadcast(many), F.col("many"), "left_semi") if gate else sizes
     big = sizes.where(F.col("n") >= least)
     owner = dirs.join(big, "feature").select(F.col("feature").alias("target"), "dir", "depth", F.col("n").alias("size"))
     small = dirs.join(sizes.where(F.col("n") < least), "feature").select("feature", "dir")
     best = F.max_by("target", F.struct("depth", "size", -F.length("target"), "target"))
     return small.join(owner, "dir").groupBy("feature").agg(best.alias("target"))
+
+
+def walked(commits: DataFrame, clock: DataFrame, order: list[str | Column], *, days: int = 365, most: int = 5000) -> DataFrame:
+    """Commits in the order of the walk (from the largest of `order` down) up to the first that is older than `days` (it and all behind it are left out), `most` of them. clock: one row with as_of.
+
+    Where the walk stops is found by one aggregation over the order's columns; only the `most` commits before it are sorted.
+    """
+    key = F.struct(*order)
+    c = commits.join(F.broadcast(clock), how="cross").withColumn("walk", key).withColumn("young", F.col("ts") >= F.col("as_of") - F.make_dt_interval(days=F.lit(days)))
+    stop = c.agg(F.max(F.when(~F.col("young"), F.col("walk"))).alias("stop"))  # one row
+    before = c.join(F.broadcast(stop), how="cross").where(F.col("stop").isNull() | (F.col("walk") > F.col("stop")))
+    return before.orderBy(F.desc("walk")).limit(most).drop("walk", "young", "as_of", "stop")

@@ -136,9 +136,13 @@ def client_calls(sources: DataFrame) -> DataFrame:
 
 
 def http_edges(calls: DataFrame, served: DataFrame) -> DataFrame:
-    """(src, dst, symbol): client files to the server files that their calls reach; symbol is `@http`. Both sides meet on the number of segments, so no call is held against every route."""
-    r = served.select(F.col("path").alias("dst"), F.col("method").alias("verb"), F.col("pattern").alias("route"))
-    same = F.size(F.split(calls["pattern"], "/")) == F.size(F.split(r["route"], "/"))
+    """(src, dst, symbol): client files to the server files that their calls reach; symbol is `@http`. Both sides meet on the number of segments and on all of them before the route's first parameter, so no call is held against every route."""
+    segments = lambda c: F.split(c, "/")
+    r = served.select(F.col("path").alias("dst"), F.col("method").alias("verb"), F.col("pattern").alias("route"), F.size(segments("pattern")).alias("n"), F.substring_index("pattern", ":*", 1).alias("fixed"))
+    r = r.withColumn("fixed", F.when(F.col("fixed") == F.col("route"), F.col("fixed")).otherwise(F.regexp_replace("fixed", "/[^/]*$", "")))
+    starts = F.transform(F.sequence(F.lit(1), F.size(segments("pattern"))), lambda i: F.array_join(F.slice(segments("pattern"), F.lit(1), i), "/"))
+    calls = calls.withColumn("n", F.size(segments("pattern"))).withColumn("fixed", F.explode(F.array_distinct(starts)))
+    same = (calls["n"] == r["n"]) & (calls["fixed"] == r["fixed"])
     quoted = F.regexp_replace(F.col("route"), r"([.\\+*?\[^\]$(){}=!<>|:#-])", r"\\$1")
     pattern = F.concat(F.lit("^"), F.replace(quoted, F.lit(r"\:\*"), F.lit("[^/]+")), F.lit("$"))
     met = calls.join(r, same).where((F.col("method") == F.col("verb")) | (F.col("method") == "*") | (F.col("verb") == "*"))

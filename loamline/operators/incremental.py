@@ -24,6 +24,24 @@ def feature_plan(feature_files: DataFrame, diff: DataFrame) -> DataFrame:
     return n.withColumn("plan", F.when(F.col("removed") == F.col("files"), "deleted").when(F.col("changed") + F.col("removed") > 0, "stale").otherwise("clean"))
 
 
+def symbol_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(path, name, status): symbols added, removed or modified between two snapshots (path, name, hash)."""
+    a, b = old.select("path", "name", F.col("hash").alias("was"), F.lit(True).alias("before")), new.select("path", "name", F.col("hash").alias("now"), F.lit(True).alias("after"))
+    status = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").when(~F.col("was").eqNullSafe(F.col("now")), "modified")
+    return a.join(b, ["path", "name"], "full").select("path", "name", status.alias("status")).where("status is not null")
+
+
+def symbol_delta(changes: DataFrame) -> DataFrame:
+    """(path, added, removed, modified, structural): what changed in each file that changed; structural if symbols came or went, so that they have to be attributed anew."""
+    n = changes.groupBy("path").agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("added", "removed", "modified")])
+    return n.withColumn("structural", F.col("added") + F.col("removed") > 0)
+
+
+def kept_attributions(attributions: DataFrame, changes: DataFrame) -> DataFrame:
+    """Attributions (path, name, ...) without those of symbols that are gone."""
+    return attributions.join(changes.where("status = 'removed'").select("path", "name"), ["path", "name"], "left_anti")
+
+
 def fresh_files(diff: DataFrame, feature_files: DataFrame) -> DataFrame:
     """Added files that no feature has yet."""
     return diff.where("status = 'added'").join(feature_files.select("path"), "path", "left_anti").select("path")

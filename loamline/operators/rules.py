@@ -154,3 +154,35 @@ def inherited(children: DataFrame, parents: DataFrame, values: list[str], least:
     p = parents.select(F.col("parent"), *[F.col(v).alias(f"p_{v}") for v in values])
     met = children.join(p, "parent", "left")
     return met.select("parent", "child", "files", *[F.when(F.col("files") >= least, F.col(v)).otherwise(F.col(f"p_{v}")).alias(v) for v in values])
+
+
+def disjoint_pairs(sets: DataFrame) -> DataFrame:
+    """(group, f1, f2): pairs of a group's sets without a common item. sets: (group, name, item). Sets are paired within their group by name only; overlaps are found on equal items."""
+    names = sets.select("group", "name").distinct()
+    pairs = names.select("group", F.col("name").alias("f1")).join(names.select("group", F.col("name").alias("f2")), "group").where("f1 < f2")
+    items = sets.distinct()
+    both = items.select("group", "item", F.col("name").alias("f1")).join(items.select("group", "item", F.col("name").alias("f2")), ["group", "item"]).where("f1 < f2").select("group", "f1", "f2").distinct()
+    return pairs.join(both, ["group", "f1", "f2"], "left_anti")
+
+
+def disjoint_names(sets: DataFrame) -> DataFrame:
+    """(part, renamed): parts that have one name but no common path get it with the first directory in which the parts' paths differ; others keep it. sets: (name, part, path)."""
+    own = sets.distinct()
+    shared = own.groupBy("name", "path").agg(F.countDistinct("part").alias("parts")).where("parts > 1").select("name").distinct().withColumn("shared", F.lit(True))
+    split = F.split("path", "/")
+    ends = own.groupBy("name").agg(F.min(split).alias("low"), F.max(split).alias("high"), F.countDistinct("part").alias("parts"))
+    at = F.array_position(F.zip_with("low", "high", lambda a, b: a.eqNullSafe(b)), False) - 1
+    first = own.groupBy("name", "part").agg(F.min(split).alias("first"))
+    met = first.join(ends.select("name", at.cast("int").alias("at"), "parts"), "name").join(shared, "name", "left")
+    told = F.col("shared").isNull() & (F.col("parts") > 1) & (F.col("at") >= 0)
+    return met.select("part", F.when(told, F.concat_ws("-", "name", F.get("first", F.col("at")))).otherwise(F.col("name")).alias("renamed"))
+
+
+def split_symbols(symbols: DataFrame) -> DataFrame:
+    """(path, flow_symbols, feature_symbols, roles, lines): names that may be part of a flow, those of types, roles and line ranges, in order of lines. symbols: (path, name, kind, start, stop, has_routes)."""
+    role = N.symbol_role(F.col("name"), F.col("kind"), F.col("path"), F.col("has_routes"))
+    rows = F.array_sort(F.collect_list(F.struct("start", "name", "kind", "stop", role.alias("role"))))
+    named = lambda keep: F.array_join(F.transform(F.filter("rows", keep), lambda x: x["name"]), "|")
+    is_type = lambda x: x["kind"].isin(*N.TYPE_KINDS)
+    shown = lambda v: F.array_join(F.transform("rows", lambda x: F.concat(x["name"], F.lit("="), v(x))), "|")
+    return symbols.groupBy("path").agg(rows.alias("rows")).select("path", named(lambda x: ~is_type(x)).alias("flow_symbols"), named(is_type).alias("feature_symbols"), shown(lambda x: x["role"]).alias("roles"), shown(lambda x: F.concat_ws("-", x["start"].cast("string"), x["stop"].cast("string"))).alias("lines"))

@@ -8,6 +8,7 @@ from ..functions import commits as C
 from ..functions import names as N
 from ..functions import paths as P
 from ..functions import scores as S
+from ..operators import attribution as A
 from ..sources import bridge as B
 from .registry import query
 
@@ -196,10 +197,11 @@ def tx12(spark, d):
     return w.groupBy("author", "word").agg(F.count(F.lit(1)).alias("n")).withColumn("place", place).where("place <= 5")
 
 
-@query("sc1_commit_window", "SELECT sha, ts, author FROM commits, clock WHERE ts >= as_of - INTERVAL 365 DAY ORDER BY ts DESC, sha DESC LIMIT 5000", "commits clock")
+@query("sc1_commit_window", "WITH w AS (SELECT sha, ts, author, ts >= as_of - INTERVAL 365 DAY AS young, row_number() OVER (ORDER BY date_trunc('month', ts) DESC, sha DESC) AS ord FROM commits, clock) SELECT sha, ts, author FROM w WHERE ord < coalesce((SELECT min(ord) FROM w WHERE NOT young), 1 << 60) AND ord <= 5000", "commits clock")
 def sc1(spark, d):
+    """The walk goes from month to month, within a month by sha, and stops at the first commit that is too old, whatever comes behind it."""
     c = B.commits(spark, d)
-    return c.crossJoin(F.broadcast(B.as_of(c))).where(F.expr("ts >= as_of - interval 365 days")).orderBy(F.desc("ts"), F.desc("sha")).limit(5000).select("sha", "ts", "author")
+    return A.walked(c, B.as_of(c), [F.date_trunc("month", "ts"), F.col("sha")], days=365, most=5000).select("sha", "ts", "author")
 
 
 @query("sc4_file_blame", "SELECT path, array_to_string(list_sort(list(DISTINCT author)), '|') AS authors, max(ts) AS last_modified, count(*) AS hunks FROM blame_lines JOIN commits USING (sha) GROUP BY 1", "blame_lines commits")

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..functions import paths as P
 from ..operators import evaluation as E
+from ..operators import lines as L
 from ..operators import rules as R
 from ..sources import bridge as B
-from .functions import SHAPED_SQL, shaped
+from .functions import SHAPED_SQL, listed, shaped
 from .registry import query
 
 CONTENTS = "CASE part % 6 WHEN 0 THEN 'model Post {' WHEN 1 THEN 'app.get(''/x'', f)' WHEN 2 THEN 'const s = createSlice(x)' WHEN 3 THEN 'useQuery(k)' WHEN 4 THEN 'import R from ''react''; <Panel a=1>' ELSE 'plain' END"
@@ -23,12 +24,24 @@ def fn11(spark, d):
     return B.files(spark, d).select("path", P.file_layer(F.col("path"), text).alias("layer"))
 
 
-@query("fn12_symbol_roles", "SELECT part AS k, ['data-fetching', 'side-effect', 'state', 'handler', 'entry', 'ui-component', 'type', 'helper'][CAST(part % 8 AS INTEGER) + 1] AS role FROM files", "files")
+#: Names, kinds and what the rules say of them, in files a/b.tsx with routes.
+ROLE_CASES = (
+    ("isLoading", "const", "loading-state"), ("hasPending", "const", "loading-state"), ("cartSubmitting", "const", "loading-state"), ("Refetching_all", "const", "loading-state"), ("isLoadingError", "const", "loading-state"), ("loading", "function", "helper"),
+    ("formErrors", "const", "error-state"), ("ErrorMessage", "function", "error-state"), ("hasFailed", "const", "error-state"), ("terror", "function", "helper"), ("LoadFailure", "class", "error-state"), ("onError", "function", "error-state"),
+    ("validateEmail", "function", "validator"), ("isValidCard", "function", "validator"), ("checkAccess", "function", "validator"), ("UserSchema", "const", "validator"), ("orderSchema", "const", "validator"), ("EmailValidator", "class", "validator"), ("ensure_open", "function", "validator"), ("checkout", "function", "helper"),
+    ("useUserQuery", "function", "data-fetching"), ("fetchOrders", "function", "data-fetching"), ("deleteItemAsync", "function", "data-fetching"), ("getName", "function", "data-fetching"),
+    ("useScrollEffect", "function", "side-effect"), ("onClose", "function", "side-effect"), ("beforeSaveHook", "function", "side-effect"),
+    ("cartAtom", "const", "state"), ("useCart", "function", "state"), ("setOpen", "function", "state"), ("AuthContext", "const", "state"),
+    ("handleSubmit", "function", "handler"), ("UserController", "class", "handler"), ("loginAction", "function", "handler"),
+    ("POST", "function", "entry"), ("UserCard", "function", "ui-component"), ("MAX", "const", "helper"), ("Row", "type", "type"), ("isLoadingType", "type", "type"), ("misc", "function", "helper"), ("", "function", "helper"),
+)
+
+
+@query("fn12_symbol_roles", f"SELECT part AS k, {listed([r for _, _, r in ROLE_CASES])}[CAST(part % {len(ROLE_CASES)} AS INTEGER) + 1] AS role FROM files", "files")
 def fn12(spark, d):
-    names = F.array(*map(F.lit, ("useUserQuery", "useScrollEffect", "cartAtom", "handleSubmit", "POST", "UserCard", "Row", "misc")))
-    i = (F.col("part") % 8).cast("int")
-    kind = F.when(i == 6, "type").otherwise("function")
-    return B.files(spark, d).select(F.col("part").alias("k"), N.symbol_role(F.get(names, i), kind, F.lit("a/b.tsx"), F.lit(True)).alias("role"))
+    i = (F.col("part") % len(ROLE_CASES)).cast("int")
+    name, kind = (F.get(F.array(*[F.lit(c[j]) for c in ROLE_CASES]), i) for j in (0, 1))
+    return B.files(spark, d).select(F.col("part").alias("k"), N.symbol_role(name, kind, F.lit("a/b.tsx"), F.lit(True)).alias("role"))
 
 
 @query("fn14_stems", "SELECT part AS k, ['chat', 'messages', 'user', 'page'][CAST(part % 4 AS INTEGER) + 1] AS stem FROM files", "files")
@@ -47,11 +60,11 @@ def fn19(spark, d):
     return shaped(spark, d).select("path", F.explode(P.word_runs(P.file_name(F.col("path")))).alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("files")).where("files >= 5")
 
 
-@query("fn20_flow_filters", "SELECT part AS k, part % 4 = 0 AS by_file, part % 4 = 1 AS technical FROM files", "files")
+@query("fn20_flow_filters", "SELECT part AS k, part % 7 = 0 AS by_file, part % 7 = 1 AS technical, part % 7 IN (4, 5, 6) AS marketing FROM files", "files")
 def fn20(spark, d):
-    names = F.array(*map(F.lit, ("default-config.ts-flow", "data-loading-flow", "login-flow", "password-reset-flow")))
-    name = F.get(names, (F.col("part") % 4).cast("int"))
-    return B.files(spark, d).select(F.col("part").alias("k"), N.is_filename_flow(name).alias("by_file"), N.is_technical_flow(name).alias("technical"))
+    names = F.array(*map(F.lit, ("default-config.ts-flow", "data-loading-flow", "login-flow", "password-reset-flow", "View-Pricing-flow", "apply-to-job-flow", "review-pricing-flow")))
+    name = F.get(names, (F.col("part") % 7).cast("int"))
+    return B.files(spark, d).select(F.col("part").alias("k"), N.is_filename_flow(name).alias("by_file"), N.is_technical_flow(name).alias("technical"), N.is_marketing_flow(name).alias("marketing"))
 
 
 @query("fn22_e2e_anchors", "WITH e AS (SELECT part, CASE WHEN part % 2 = 0 THEN 'e2e/' || feature || '_Login.spec.ts' ELSE 'src/' || feature || '.cy.ts' END AS path, CASE WHEN part % 2 = 0 THEN feature || '-login-flow' ELSE feature || '-flow' END AS flow FROM files) SELECT flow, count(DISTINCT path) AS files FROM e GROUP BY 1", "files")
@@ -149,45 +162,38 @@ def rp21(spark, d):
     return B.files(spark, d).select(F.col("part").alias("k"), N.is_better_name(F.lit("billing"), F.get(names, (F.col("part") % 3).cast("int")), ["core", "app", "main"]).alias("better"))
 
 
-@query("ag17_route_merge", "WITH e AS (SELECT '/u/' || user_id % 20 AS route, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) AS i, value FROM events WHERE event_type = 'view' AND event_id % 50 = 0), s AS (SELECT route, count(*) AS n, list(value ORDER BY i) AS vs FROM e GROUP BY 1) SELECT route, n AS views, round(list_reduce(vs, lambda a, b: (a + b) / 2), 6) AS duration FROM s")
+@query("ag17_route_merge", "WITH e AS (SELECT '/u/' || user_id % 20 AS route, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) AS i, value FROM events WHERE event_type = 'view'), s AS (SELECT route, count(*) AS n, list(value ORDER BY i) AS vs FROM e GROUP BY 1) SELECT route, n AS views, round(list_reduce(vs, lambda a, b: (a + b) / 2), 6) AS duration FROM s")
 def ag17(spark, d):
-    """The running mean of each new value with what came before depends on the order, which is that of event_id; a route's list holds every fiftieth event."""
-    e = B.table(spark, d, "events").where("event_type = 'view' and event_id % 50 = 0").select(F.concat(F.lit("/u/"), (F.col("user_id") % 20).cast("string")).alias("route"), "event_id", "value")
-    vs = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"])
-    mean = F.aggregate(F.slice(vs, F.lit(2), F.greatest(F.size(vs), F.lit(1))), F.element_at(vs, 1), lambda a, x: (a + x) / 2)
-    return e.groupBy("route").agg(F.count(F.lit(1)).alias("views"), F.round(mean, 6).alias("duration"))
+    """The running mean of each new value with what came before depends on the order, which is that of event_id. Written out it halves a value's weight with each later one, so it is a sum and no list is gathered."""
+    e = B.table(spark, d, "events").where("event_type = 'view'").select(F.concat(F.lit("/u/"), (F.col("user_id") % 20).cast("string")).alias("route"), "event_id", "value")
+    later = F.row_number().over(W.partitionBy("route").orderBy(F.desc("event_id")))
+    n = F.count(F.lit(1)).over(W.partitionBy("route"))
+    weighted = e.withColumn("later", later).withColumn("n", n).withColumn("w", F.pow(F.lit(0.5), F.when(F.col("later") == F.col("n"), F.col("n") - 1).otherwise(F.col("later"))))
+    return weighted.groupBy("route").agg(F.count(F.lit(1)).alias("views"), F.round(F.sum(F.col("value") * F.col("w")), 6).alias("duration"))
 
 
-@query("tk7_name_matches", "WITH s AS (SELECT flow, path, 2 * CAST(contains(split_part(path, '/', -1), split_part(flow, '-', 2)) AS INTEGER) + CAST(contains(path, '/' || split_part(flow, '-', 2) || '/') AS INTEGER) AS score FROM (SELECT DISTINCT flow FROM files WHERE feature = 'brand1') JOIN (SELECT path FROM files WHERE feature = 'brand2') ON true) SELECT flow, path, score::BIGINT AS score FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY flow ORDER BY score DESC, path) <= 8", "files")
-def tk7(spark, d):
-    f = B.files(spark, d)
-    flows = f.where("feature = 'brand1'").select("flow", F.split("flow", "-")[1].alias("word")).distinct()
-    own = f.where("feature = 'brand2'").select("path", F.explode(F.array_distinct(F.split("path", "/"))).alias("word"))
-    met = flows.join(own, "word").select("flow", "path", F.lit(1).cast("long").alias("score")).distinct()
-    return met.withColumn("i", F.row_number().over(W.partitionBy("flow").orderBy(F.desc("score"), "path"))).where("i <= 8").drop("i")
-
-
-@query("so2_disjoint_pairs", "WITH p AS (SELECT DISTINCT feature, split_part(path, '/', 3) AS dir FROM files WHERE part % 3 = 0) SELECT a.feature AS f1, b.feature AS f2 FROM (SELECT DISTINCT feature FROM p) a JOIN (SELECT DISTINCT feature FROM p) b ON a.feature < b.feature WHERE NOT EXISTS (SELECT 1 FROM p x JOIN p y ON x.dir = y.dir WHERE x.feature = a.feature AND y.feature = b.feature)", "files")
+@query("so2_disjoint_pairs", "WITH p AS (SELECT DISTINCT feature, flow, regexp_extract(path, '([a-z]+)_[^/]*$', 1) AS word FROM files), f AS (SELECT DISTINCT feature, flow FROM p) SELECT a.feature, a.flow AS f1, b.flow AS f2 FROM f a JOIN f b ON a.feature = b.feature AND a.flow < b.flow WHERE NOT EXISTS (SELECT 1 FROM p x JOIN p y ON x.word = y.word WHERE x.feature = a.feature AND x.flow = a.flow AND y.feature = b.feature AND y.flow = b.flow)", "files")
 def so2(spark, d):
-    p = B.files(spark, d).where("part % 3 = 0").select("feature", F.split("path", "/")[2].alias("dir")).distinct()
-    dirs = p.groupBy("feature").agg(F.collect_set("dir").alias("dirs"))  # 25 features of at most 6 directories
-    a, b = dirs.select(F.col("feature").alias("f1"), F.col("dirs").alias("d1")), dirs.select(F.col("feature").alias("f2"), F.col("dirs").alias("d2"))
-    return a.join(F.broadcast(b), F.col("f1") < F.col("f2")).where(~F.arrays_overlap("d1", "d2")).select("f1", "f2")
+    """Pairs of a feature's flows whose files share no word."""
+    p = B.files(spark, d).select("feature", "flow", F.regexp_extract("path", "([a-z]+)_[^/]*$", 1).alias("word")).distinct()
+    return R.disjoint_pairs(p.select(F.col("feature").alias("group"), F.col("flow").alias("name"), F.col("word").alias("item"))).select(F.col("group").alias("feature"), "f1", "f2")
 
 
-@query("tx10_symbol_split", "SELECT path, count(*) FILTER (name IN ('fn0', 'fn1')) AS flow_symbols, count(*) FILTER (name NOT IN ('fn0', 'fn1')) AS other_symbols FROM symbols GROUP BY 1", "symbols")
-def tx10(spark, d):
-    kind = F.when(F.col("name").isin("fn0", "fn1"), "function").otherwise("type")
-    role = N.symbol_role(F.col("name"), kind, F.col("path"), F.lit(False))
-    return B.symbols(spark, d).withColumn("role", role).groupBy("path").agg(F.count_if(F.col("role") != "type").alias("flow_symbols"), F.count_if(F.col("role") == "type").alias("other_symbols"))
+@query("so2_disjoint_names", "WITH s AS (SELECT flow, 'same' AS name, path FROM files), r AS (SELECT flow, name, min(path) AS lo, max(path) AS hi FROM s GROUP BY 1, 2) SELECT flow AS part, name || '-' || string_split(lo, '/')[2] AS renamed FROM r", "files")
+def so2_names(spark, d):
+    """Sets of one name without common files are told apart by the first directory in which their paths differ: here that of the brand."""
+    return R.disjoint_names(B.files(spark, d).select(F.lit("same").alias("name"), F.col("flow").alias("part"), "path"))
 
 
-@query("tk2_features_by_size", "SELECT feature, count(*) AS files FROM files GROUP BY 1 ORDER BY files DESC, feature LIMIT 10", "files")
-def tk2(spark, d):
-    return B.files(spark, d).groupBy("feature").agg(F.count(F.lit(1)).alias("files")).orderBy(F.desc("files"), "feature").limit(10)
+@query("tx10_symbol_split", "WITH k AS (SELECT path, name, start, stop, CASE WHEN (part + CAST(substr(name, 3) AS INTEGER)) % 5 < 2 THEN 'type' ELSE 'function' END AS kind FROM ranges JOIN files USING (path)) SELECT path, coalesce(string_agg(name, '|' ORDER BY start) FILTER (kind <> 'type'), '') AS flow_symbols, coalesce(string_agg(name, '|' ORDER BY start) FILTER (kind = 'type'), '') AS feature_symbols, string_agg(name || '=' || start || '-' || stop, '|' ORDER BY start) AS lines FROM k GROUP BY 1", "ranges")
+def tx10(spark, d):
+    """Symbols that may be part of a flow and those that only a feature has, with their lines."""
+    s = L.symbol_ranges(B.symbols(spark, d)).join(B.files(spark, d).select("path", "part"), "path")
+    kind = F.when((F.col("part") + F.substr("name", F.lit(3)).cast("int")) % 5 < 2, "type").otherwise("function")
+    return R.split_symbols(s.withColumn("kind", kind).withColumn("has_routes", F.lit(False))).select("path", "flow_symbols", "feature_symbols", "lines")
 
 
-@query("st2_throttle")
+@query("st2_throttle", "WITH RECURSIVE e AS (SELECT DISTINCT user_id, ts FROM events), r(user_id, ts) AS (SELECT user_id, min(ts) FROM e GROUP BY 1 UNION ALL SELECT r.user_id, (SELECT min(e.ts) FROM e WHERE e.user_id = r.user_id AND e.ts >= r.ts + INTERVAL 3600 SECOND) FROM r WHERE r.ts IS NOT NULL) SELECT user_id, ts FROM r WHERE ts IS NOT NULL")
 def st2(spark, d):
     """Requests of each user accepted at least an hour after the last accepted one."""
     from ..streaming.watch import throttle_batch

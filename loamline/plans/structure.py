@@ -84,7 +84,7 @@ def jn6(spark, d):
     return L.innermost(B.blame_lines(spark, d), L.symbol_ranges(B.symbols(spark, d)))
 
 
-@query("so7_merged_ranges", """WITH x AS (SELECT l_partkey AS part, CAST(l_quantity AS INTEGER) AS start, CAST(l_quantity AS INTEGER) + l_linenumber AS stop FROM lineitem WHERE l_partkey % 3 = 0), m AS (SELECT *, max(stop) OVER (PARTITION BY part ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM x),
+@query("so7_merged_ranges", """WITH x AS (SELECT l_partkey AS part, CAST(l_quantity AS INTEGER) AS start, CAST(l_quantity AS INTEGER) + l_linenumber AS stop FROM lineitem), m AS (SELECT *, max(stop) OVER (PARTITION BY part ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM x),
 i AS (SELECT *, sum(CASE WHEN p IS NULL OR start > p + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY part ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS g FROM m), r AS (SELECT part, g, min(start) AS start, max(stop) AS stop FROM i GROUP BY 1, 2) SELECT part, count(*) AS ranges, sum(stop - start + 1)::BIGINT AS lines FROM r GROUP BY 1""")
 def so7(spark, d):
     x = B.table(spark, d, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_quantity").cast("int").alias("start"), (F.col("l_quantity").cast("int") + F.col("l_linenumber")).alias("stop"))
@@ -106,11 +106,12 @@ REACH = """r(seed, node, depth) AS (SELECT path, path, 0 FROM files WHERE part %
 
 @query("gr5_flow_reach", f"WITH {REACH} SELECT seed, node, min(depth) AS depth FROM r GROUP BY 1, 2", "edges", recursive=True)
 def gr5(spark, d):
+    """Reach from seeds: every 97th file stands for a flow's entry."""
     seeds = B.files(spark, d).where("part % 97 = 0").select(F.col("path").alias("seed"), F.col("path").alias("node"))
     return G.reach(B.edges(spark, d), seeds)
 
 
-@query("gr7_feature_participants", f"WITH r(seed, node, depth) AS (SELECT feature, path, 0 FROM files WHERE part % 10 = 0 UNION SELECT seed, dst, depth + 1 FROM r JOIN edges ON src = node WHERE depth < 2), m AS (SELECT seed, node, min(depth) AS depth FROM r GROUP BY 1, 2) SELECT seed AS feature, depth, count(*) AS files FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY depth, node) AS i FROM m) WHERE i <= 500 GROUP BY 1, 2", "edges", recursive=True)
+@query("gr7_feature_participants", f"WITH r(seed, node, depth) AS (SELECT feature, path, 0 FROM files UNION SELECT seed, dst, depth + 1 FROM r JOIN edges ON src = node WHERE depth < 2), m AS (SELECT seed, node, min(depth) AS depth FROM r GROUP BY 1, 2) SELECT seed AS feature, depth, count(*) AS files FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY depth, node) AS i FROM m) WHERE i <= 500 GROUP BY 1, 2", "edges", recursive=True)
 def gr7(spark, d):
     seeds = B.files(spark, d).select(F.col("feature").alias("seed"), F.col("path").alias("node"))
     return G.reach(B.edges(spark, d), seeds, depth=2, most=500).groupBy(F.col("seed").alias("feature"), "depth").agg(F.count(F.lit(1)).alias("files"))
@@ -154,12 +155,14 @@ def ag15(spark, d):
     return I.regression_probability(I.affected(ff, ff.where("part % 29 = 0")).join(feature_metrics(spark, d), "feature"))
 
 
-@query("rp18_change_risk", f"WITH {HIT} SELECT count(*) FILTER (health < 30) AS critical_health, count(*) FILTER (health >= 30 AND health < 77) AS at_risk, count(*) FILTER (length(feature) < 7) AS uncovered, count(*) FILTER (length(authors) < 12) AS single_owner, 0::BIGINT AS missing, CASE WHEN count(*) FILTER (health >= 30 AND health < 77) + count(*) FILTER (length(feature) < 7) >= 3 THEN 'high' ELSE 'medium' END AS level FROM hit", BASE)
+@query("rp18_change_risk", f"WITH {HIT}, {MISSING}, x AS (SELECT count(*) FILTER (health < 30) AS critical_health, count(*) FILTER (health >= 30 AND health < 77) AS at_risk, count(*) FILTER (length(feature) < 7) AS uncovered, count(*) FILTER (length(authors) < 12) AS single_owner FROM hit), y AS (SELECT *, CAST((SELECT count(*) FROM best WHERE score >= 0.05) > 0 AS BIGINT) AS missing FROM x), z AS (SELECT *, critical_health + single_owner + missing AS heavy FROM y) SELECT critical_health, at_risk, uncovered, single_owner, missing, CASE WHEN heavy >= 2 THEN 'critical' WHEN heavy = 1 OR heavy + at_risk + uncovered >= 3 THEN 'high' WHEN heavy + at_risk + uncovered > 0 THEN 'medium' ELSE 'low' END AS level FROM z", BASE)
 def rp18(spark, d):
+    """Signals of a change: sick, uncovered and single-handed features, and files that usually change with it but are missing."""
     ff = B.feature_files(spark, d)
     hit = I.affected(ff, ff.where("part % 29 = 0")).join(feature_metrics(spark, d), "feature")
     hit = hit.select("feature", "health", F.when(F.length("feature") < 7, 10).otherwise(80).alias("coverage"), F.when(F.length("authors") < 12, 1).otherwise(3).alias("bus_factor"))
-    return I.risk_level(hit, False, at_risk_health=77)
+    missing = CC.missing_partners(file_pairs(spark, d), B.files(spark, d).where("part % 29 = 0"), least_score=0.02)
+    return I.risk_level(hit, missing.select((F.col("score") >= 0.05).alias("high")), at_risk_health=77)
 
 
 SNAPS = "was AS (SELECT doc_id AS path, sha256(text) AS h FROM documents WHERE doc_id % 10 <> 0), now AS (SELECT doc_id AS path, sha256(CASE WHEN doc_id % 13 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 10 <> 1), diff AS (SELECT coalesce(w.path, n.path) AS path, CASE WHEN w.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' WHEN w.h IS NOT DISTINCT FROM n.h THEN 'unchanged' ELSE 'modified' END AS status FROM was w FULL JOIN now n ON w.path = n.path)"
@@ -325,15 +328,14 @@ def jn13(spark, d):
     return above.join(base.unionByName(more), "prefix").groupBy("path").agg(F.max_by("prefix", F.length("prefix")).alias("package"))
 
 
-@query("jn8_calls_to_routes", "WITH r AS (SELECT p_partkey AS file, '/u/' || p_partkey % 40 || '/:*' AS pattern, CASE p_partkey % 3 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' ELSE '*' END AS method FROM part WHERE p_partkey < 200), c AS (SELECT DISTINCT '/u/' || user_id % 60 || '/' || event_type AS pattern, CASE WHEN user_id % 2 = 0 THEN 'GET' ELSE 'POST' END AS method FROM events) SELECT c.pattern AS call, c.method, file FROM c JOIN r ON (r.method = c.method OR r.method = '*') AND regexp_matches(c.pattern, '^' || replace(r.pattern, ':*', '[^/]+') || '$')")
+@query("jn8_calls_to_routes", "WITH r AS (SELECT 'f' || p_partkey AS dst, '/u/' || p_partkey % 40 || CASE WHEN p_partkey % 5 = 0 THEN '' ELSE '/:*' END AS pattern, CASE p_partkey % 3 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' ELSE '*' END AS method FROM part), c AS (SELECT DISTINCT '/u/' || user_id % 60 || CASE WHEN user_id % 7 = 0 THEN '' ELSE '/' || event_type END AS pattern, CASE WHEN user_id % 2 = 0 THEN 'GET' ELSE 'POST' END AS method FROM events) SELECT DISTINCT c.method || ' ' || c.pattern AS src, dst, '@http' AS symbol FROM c JOIN r ON (r.method = c.method OR r.method = '*') AND regexp_matches(c.pattern, '^' || replace(r.pattern, ':*', '[^/]+') || '$')")
 def jn8(spark, d):
-    r = B.table(spark, d, "part").where("p_partkey < 200").select(F.col("p_partkey").alias("file"), F.concat(F.lit("/u/"), (F.col("p_partkey") % 40).cast("string"), F.lit("/:*")).alias("route"), F.when(F.col("p_partkey") % 3 == 0, "GET").when(F.col("p_partkey") % 3 == 1, "POST").otherwise("*").alias("verb"))
-    c = B.table(spark, d, "events").select(F.concat(F.lit("/u/"), (F.col("user_id") % 60).cast("string"), F.lit("/"), "event_type").alias("call"), F.when(F.col("user_id") % 2 == 0, "GET").otherwise("POST").alias("method")).distinct()
-    # patterns and calls meet on their number of segments and their fixed start, then by pattern
-    seg = lambda x: F.size(F.split(x, "/"))
-    fixed = lambda x: F.substring_index(x, "/", 3)
-    met = c.join(r, (seg(c["call"]) == seg(r["route"])) & (fixed(c["call"]) == fixed(r["route"])))
-    return met.where(((F.col("verb") == F.col("method")) | (F.col("verb") == "*")) & F.rlike("call", F.concat(F.lit("^"), F.replace(F.col("route"), F.lit(":*"), F.lit("[^/]+")), F.lit("$")))).select("call", "method", "file")
+    from ..operators import extract as X
+
+    p, u = F.col("p_partkey"), F.col("user_id")
+    served = B.table(spark, d, "part").select(F.concat(F.lit("f"), p.cast("string")).alias("path"), F.when(p % 3 == 0, "GET").when(p % 3 == 1, "POST").otherwise("*").alias("method"), F.concat(F.lit("/u/"), (p % 40).cast("string"), F.when(p % 5 == 0, "").otherwise("/:*")).alias("pattern"))
+    calls = B.table(spark, d, "events").select(F.when(u % 2 == 0, "GET").otherwise("POST").alias("method"), F.concat(F.lit("/u/"), (u % 60).cast("string"), F.when(u % 7 == 0, "").otherwise(F.concat(F.lit("/"), "event_type"))).alias("pattern")).distinct()
+    return X.http_edges(calls.withColumn("path", F.concat_ws(" ", "method", "pattern")), served)
 
 
 @query("st6_freshness", f"WITH {SNAPS}, f AS (SELECT path % 40 AS feature, count(*) FILTER (status <> 'unchanged') AS changed, count(*) AS files FROM diff GROUP BY 1) SELECT feature, changed, changed > 0 AS stale FROM f")
@@ -347,18 +349,18 @@ def sk4(spark, d):
     return B.files(spark, d).groupBy("feature").agg(F.sha2(F.array_join(F.array_sort(F.collect_set("path")), ",").cast("binary"), 256).alias("key"))
 
 
-@query("so6_lookups", "SELECT path, feature, flow FROM files WHERE feature = 'brand12' AND contains(flow, 'promo')", "files")
-def so6(spark, d):
-    return B.files(spark, d).where((F.col("feature") == "brand12") & F.col("flow").contains("promo")).select("path", "feature", "flow")
-
-
-@query("tk8_directory_neighbours", "WITH n AS (SELECT a.path, b.path AS neighbour, row_number() OVER (PARTITION BY a.path ORDER BY b.path) AS place FROM files a JOIN files b ON regexp_extract(a.path, '^(.*)/[^/]*$', 1) = regexp_extract(b.path, '^(.*)/[^/]*$', 1) AND a.path <> b.path WHERE a.part % 50 = 0) SELECT * FROM n WHERE place <= 8", "files")
+@query("tk8_directory_neighbours", "WITH d AS (SELECT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM files), n AS (SELECT a.path, b.path AS neighbour, row_number() OVER (PARTITION BY a.path ORDER BY b.path) AS place FROM d a JOIN d b ON a.dir = b.dir AND a.path <> b.path) SELECT * FROM n WHERE place <= 8", "files")
 def tk8(spark, d):
+    """The first eight other files of each file's directory; a file meets the directory's first nine, not all."""
     from pyspark.sql import Window as W
 
-    f = B.files(spark, d).select("path", "part", P.parent(F.col("path")).alias("dir"))
-    n = f.where("part % 50 = 0").select("path", "dir").join(f.select(F.col("path").alias("neighbour"), "dir"), "dir").where("path <> neighbour")
-    return n.withColumn("place", F.row_number().over(W.partitionBy("path").orderBy("neighbour"))).where("place <= 8").select("path", "neighbour", "place")
+    f = B.files(spark, d).select("path", P.parent(F.col("path")).alias("dir"))
+    i = F.row_number().over(W.partitionBy("dir").orderBy("path"))
+    numbered = f.withColumn("i", i)
+    first = numbered.where("i <= 9").select("dir", F.col("path").alias("neighbour"), F.col("i").alias("j"))
+    met = numbered.join(first, "dir").where("path <> neighbour")
+    place = F.when(F.col("j") > F.col("i"), F.col("j") - 1).otherwise(F.col("j"))
+    return met.select("path", "neighbour", place.alias("place")).where("place <= 8")
 
 
 @query("sc9_covered_bits", "SELECT l_partkey AS part, bit_count(bit_or(CAST(1 AS BIGINT) << CAST(l_quantity AS INTEGER)))::BIGINT AS lines FROM lineitem WHERE l_discount > 0.05 GROUP BY 1")

@@ -105,7 +105,7 @@ SQL = {
     "symbols": "SELECT path, 'fn' || i AS name, CAST(1 + i * (p_size % 7 + 3) AS INTEGER) AS start FROM files JOIN part ON p_partkey = part, (SELECT unnest([0, 1, 2, 3, 4]) AS i)",
     "ranges": "SELECT path, name, start, greatest(start, coalesce(lead(start) OVER (PARTITION BY path ORDER BY start) - 1, 50)) AS stop FROM symbols",
     "coverage_lines": "SELECT path, line, hits FROM (SELECT l_partkey, CAST(l_quantity AS INTEGER) AS line, max(CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END) AS hits FROM lineitem GROUP BY 1, 2) JOIN files ON part = l_partkey",
-    "edges": "SELECT DISTINCT a.path AS src, b.path AS dst FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND y.l_linenumber = x.l_linenumber + 1 JOIN files a ON a.part = x.l_partkey JOIN files b ON b.part = y.l_partkey WHERE x.l_orderkey % 40 = 0 AND x.l_partkey <> y.l_partkey",
+    "edges": "SELECT DISTINCT a.path AS src, b.path AS dst FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND y.l_linenumber = x.l_linenumber + 1 JOIN files a ON a.part = x.l_partkey JOIN files b ON b.part = y.l_partkey WHERE x.l_partkey <> y.l_partkey",
     "clock": "SELECT max(ts) AS as_of FROM commits",
 }
 _NEEDS = {"feature_files": ("files",), "commit_files": ("files",), "blame_lines": ("files",), "symbols": ("files",), "ranges": ("files", "symbols"), "coverage_lines": ("files",), "edges": ("files",), "clock": ("commits",)}

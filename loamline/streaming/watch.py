@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -39,17 +40,19 @@ def throttled(requests: DataFrame, *, seconds: int = 300, key: str = "repo") ->
 
 
 def throttle_batch(requests: DataFrame, *, seconds: int = 300, key: str = "repo") -> DataFrame:
-    """The same acceptance over a finished table."""
-
-    def accept(frame: pd.DataFrame) -> pd.DataFrame:
-        kept, last = [], None
-        for t in frame["ts"].sort_values():
-            if last is None or (t - last).total_seconds() >= seconds:
-                kept.append(t)
-                last = t
-        return pd.DataFrame({key: [frame[key].iloc[0]] * len(kept), "ts": pd.to_datetime(pd.Series(kept, dtype="datetime64[ns]"))})
-
-    return requests.select(key, "ts").groupBy(key).applyInPandas(accept, requests.select(key, "ts").schema)
+    """The same acceptance over a finished table. A request after `seconds` of silence is always accepted, so a key's requests fall into bursts that are judged apart; only one burst is held at once."""
+    w = W.partitionBy(key).orderBy("ts")
+    gap = F.make_dt_interval(secs=F.lit(seconds))
+    before = F.lag("ts").over(w)
+    fresh = requests.select(key, "ts").withColumn("fresh", F.when(before.isNull() | (F.col("ts") >= before + gap), 1).otherwise(0))
+    bursts = fresh.withColumn("burst", F.sum("fresh").over(w.rowsBetween(W.unboundedPreceding, 0))).groupBy(key, "burst").agg(F.array_sort(F.collect_list("ts")).alias("ts"))
+
+    def accept(kept, t):
+        return F.when((F.size(kept) == 0) | (t >= F.element_at(kept, -1) + gap), F.array_append(kept, t)).otherwise(kept)
+
+    kind = requests.schema["ts"].dataType.simpleString()
+    kept = F.aggregate("ts", F.array().cast(f"array<{kind}>"), lambda a, t: F.when(F.size(a) == 0, F.array(t)).otherwise(accept(a, t)))
+    return bursts.select(key, F.explode(kept).alias("ts"))
 
 
 def flush_batches(events: DataFrame, send: Callable[[DataFrame, int], None], checkpoint: str, *, every: str = "60 seconds", most: int = 200, once: bool = False) -> StreamingQuery:

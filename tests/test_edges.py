@@ -1,22 +1,7 @@
-"""Queries over whole tables whose registered SQL takes every 40th order, third or tenth part only: they are held against it without those filters."""
+"""Import edges against the pairs of consecutive lines."""
 
-import pytest
-
-import compare
-from loamline import plans
 from loamline.sources import bridge
 
-plans.load()
-CUTS = {"so7_merged_ranges": [" WHERE l_partkey % 3 = 0"], "gr7_feature_participants": [" WHERE part % 10 = 0"]}
-for name, sql in plans.ORACLES.items():
-    if "x.l_orderkey % 40 = 0 AND " in sql:
-        CUTS.setdefault(name, []).append("x.l_orderkey % 40 = 0 AND ")
-
-
-@pytest.fixture(scope="module")
-def con(sf_dir):
-    return compare.connect(sf_dir)
-
 
 def test_edges_are_those_of_all_orders(spark, sf_dir):
     path = {r.part: r.path for r in bridge.files(spark, sf_dir).collect()}
@@ -26,12 +11,3 @@ def test_edges_are_those_of_all_orders(spark, sf_dir):
     want = {(path[a], path[b]) for (o, n), parts in lines.items() for a in parts for b in lines.get((o, n + 1), ()) if a != b}
     got = [(r.src, r.dst) for r in bridge.edges(spark, sf_dir).collect()]
     assert len(got) == len(set(got)) and set(got) == want
-
-
-@pytest.mark.parametrize("name", sorted(CUTS))
-def test_rows_match_sql_over_whole_tables(spark, sf_dir, con, name):
-    whole = plans.ORACLES[name]
-    for part in CUTS[name]:
-        assert part in whole
-        whole = whole.replace(part, "")
-    assert compare.difference(spark, con, plans.QUERIES[name], whole, sf_dir) == ""
