@@ -114,3 +114,16 @@ def walked(commits: DataFrame, clock: DataFrame, order: list[str | Column], *, d
     stop = c.agg(F.max(F.when(~F.col("young"), F.col("walk"))).alias("stop"))  # one row
     before = c.join(F.broadcast(stop), how="cross").where(F.col("stop").isNull() | (F.col("walk") > F.col("stop")))
     return before.orderBy(F.desc("walk")).limit(most).drop("walk", "young", "as_of", "stop")
+
+
+def freshness(scans: DataFrame, touches: DataFrame, commits: DataFrame, known: DataFrame, clock: DataFrame) -> DataFrame:
+    """(repo, stale, behind, changed, has_new, days): what has happened since each repository's scan: commits and files after it, whether any is new to the map, whole days.
+
+    scans: (repo, scanned, head); touches: (repo, sha, path), shas in order of time; commits: (sha, ts); known: (path); clock: one row with as_of.
+    """
+    after = touches.join(scans.select("repo", "scanned"), "repo").where("sha > scanned").join(known.select("path", F.lit(True).alias("known")).distinct(), "path", "left")
+    n = after.groupBy("repo").agg(F.countDistinct("sha").alias("behind"), F.countDistinct("path").alias("changed"), F.max(F.col("known").isNull()).alias("has_new"))
+    met = scans.join(commits.select(F.col("sha").alias("scanned"), "ts"), "scanned").join(F.broadcast(clock), how="cross").join(n, "repo", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    days = F.greatest(F.lit(0), S.age_days(F.col("ts"), F.col("as_of")))
+    return met.select("repo", (F.col("scanned") != F.col("head")).alias("stale"), zero("behind").alias("behind"), zero("changed").alias("changed"), F.coalesce("has_new", F.lit(False)).alias("has_new"), days.cast("long").alias("days"))

@@ -149,6 +149,26 @@ def http_edges(calls: DataFrame, served: DataFrame) -> DataFrame:
     return met.where((F.col("pattern") == F.col("route")) | F.rlike("pattern", pattern)).select(F.col("path").alias("src"), "dst", F.lit("@http").alias("symbol")).distinct()
 
 
+def symbol_graph(sources: DataFrame, files: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
+    """(src, dst, symbol): imports that resolve to a file of `files` (path), and calls of clients to the servers of their routes."""
+    return resolved(imports(sources), files, aliases).unionByName(http_edges(client_calls(sources), routes(sources))).distinct()
+
+
+def reversed_graph(graph: DataFrame) -> DataFrame:
+    """(path, callers, symbols): who depends on each file, and on which of its symbols."""
+    return graph.groupBy(F.col("dst").alias("path")).agg(F.countDistinct("src").alias("callers"), F.array_join(F.array_sort(F.collect_set("symbol")), "|").alias("symbols"))
+
+
+def signatures(sources: DataFrame) -> DataFrame:
+    """(path, exports, imports, routes): what each file declares in order of lines, the modules that it imports and the routes that it serves."""
+    gathered = lambda c: F.array_join(F.array_sort(F.collect_set(c)), "|")
+    own = declarations(sources).groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "name"))), lambda x: x["name"]), "|").alias("exports"))
+    used = imports(sources).groupBy("path").agg(gathered("module").alias("imports"))
+    served = routes(sources).groupBy("path").agg(gathered(F.concat_ws(" ", "method", "pattern")).alias("routes"))
+    met = sources.select("path").distinct().join(own, "path", "left").join(used, "path", "left").join(served, "path", "left")
+    return met.na.fill("", ["exports", "imports", "routes"])
+
+
 def test_map(edges: DataFrame, files: DataFrame) -> DataFrame:
     """(test, target, how): what each test file tests: what it imports, else the file of its own name, else null."""
     tests = files.where(P.is_test_path_regex(F.col("path"))).select(F.col("path").alias("test"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from .graph import cut
 
 
 def renamed(rows: DataFrame, names: DataFrame, key: str = "feature") -> DataFrame:
@@ -186,3 +187,56 @@ def split_symbols(symbols: DataFrame) -> DataFrame:
     is_type = lambda x: x["kind"].isin(*N.TYPE_KINDS)
     shown = lambda v: F.array_join(F.transform("rows", lambda x: F.concat(x["name"], F.lit("="), v(x))), "|")
     return symbols.groupBy("path").agg(rows.alias("rows")).select("path", named(lambda x: ~is_type(x)).alias("flow_symbols"), named(is_type).alias("feature_symbols"), shown(lambda x: x["role"]).alias("roles"), shown(lambda x: F.concat_ws("-", x["start"].cast("string"), x["stop"].cast("string"))).alias("lines"))
+
+
+# Features of no domain, places of third parties, names too vague for a very large feature.
+NOISE_NAMES = ("shared-infra", "Shared Infra", "uncategorized")
+VENDORED = ("external-crates/", "vendor/", "third_party/", "node_modules/")
+VAGUE_NAMES = "catalog common generic system root init main base misc stuff platform backend frontend api lib".split()
+
+
+def is_noise(name: Column) -> Column:
+    return name.isin(*NOISE_NAMES) | name.endswith("/uncategorized")
+
+
+def merged_sub_features(files: DataFrame, *, least: int = 3, most: int = 500) -> DataFrame:
+    """(feature, path): `a/x`, `a/y`, `a/z` become `a` where at least `least` share the prefix, hold fewer than `most` files in all and no feature is called `a` yet; `a-x` becomes `a` where that is a feature. files: (feature, path)."""
+    names = files.select("feature").distinct()
+    prefix = F.substring_index("feature", "/", 1)
+    groups = files.where(F.col("feature").contains("/")).groupBy(prefix.alias("prefix")).agg(F.countDistinct("feature").alias("fs"), F.count(F.lit(1)).alias("ps")).where((F.col("fs") >= least) & (F.col("ps") < most))
+    joined = groups.join(names, F.col("prefix") == F.col("feature"), "left_anti").select("prefix", F.lit(True).alias("merge"))
+    met = files.withColumn("prefix", prefix).join(joined, "prefix", "left")
+    once = met.select(F.when(F.col("merge") & F.col("feature").contains("/"), F.col("prefix")).otherwise(F.col("feature")).alias("feature"), "path")
+    known = names.select(F.col("feature").alias("head"), F.lit(True).alias("known"))
+    head = F.when(F.col("feature").contains("-") & ~F.col("feature").contains("/"), F.substring_index("feature", "-", 1))
+    return once.withColumn("head", head).join(known, "head", "left").select(F.when(F.col("known"), F.col("head")).otherwise(F.col("feature")).alias("feature"), "path").distinct()
+
+
+def reattributed_noise(files: DataFrame, *, votes: int = 3) -> DataFrame:
+    """(feature, path): files of noise features go to the feature with most files under their first two path parts, if it has at least `votes` there (ties to the first by name); others are gone. files: (feature, path)."""
+    pre = F.array_join(F.slice(F.split("path", "/"), 1, 2), "/")
+    own = files.withColumn("pre", pre).withColumn("noise", is_noise(F.col("feature")))
+    n = own.where("not noise").groupBy("pre", "feature").agg(F.count(F.lit(1)).alias("n"))
+    best = n.groupBy("pre").agg(F.min_by("feature", F.struct(-F.col("n"), "feature")).alias("to"), F.max("n").alias("n")).where(F.col("n") >= votes)
+    moved = own.where("noise").join(best, "pre").select(F.col("to").alias("feature"), "path")
+    return own.where("not noise").select("feature", "path").unionByName(moved)
+
+
+def cleaned_map(files: DataFrame, commits: DataFrame) -> DataFrame:
+    """(feature, path) after the chain: sub-features merged, noise given back, foreign files removed; then noise features, those of third parties only, those of at most two files and one commit, and vague ones with over a quarter of all and over 100 files are dropped, and repeated name parts made one.
+
+    files: (feature, path); commits: (feature, total_commits), none where a feature is missing.
+    """
+    own = cut(reattributed_noise(cut(merged_sub_features(files))).withColumn("dir", F.substring_index("path", "/", 1)))
+    own = cut(own.join(foreign_files(own).select("feature", "path"), ["feature", "path"], "left_anti"))
+    third = F.lit(False)
+    for v in VENDORED:
+        third = third | F.col("path").startswith(v) | F.col("path").contains("/" + v)
+    n = own.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.bool_and(third).alias("third")).join(commits, "feature", "left").na.fill(0, ["total_commits"])
+    total = own.agg(F.count(F.lit(1)).alias("total"))  # one row
+    vague = F.col("feature").isin(*VAGUE_NAMES) & (F.col("n") > 0.25 * F.col("total")) & (F.col("n") > 100)
+    dropped = is_noise(F.col("feature")) | F.col("third") | ((F.col("n") <= 2) & (F.col("total_commits") <= 1)) | vague
+    kept = n.join(F.broadcast(total), how="cross").where(~dropped).select("feature")
+    parts = F.split("feature", "/")
+    single = F.array_join(F.filter(parts, lambda x, i: (i == 0) | (x != F.get(parts, i - 1))), "/")
+    return own.join(kept, "feature", "left_semi").select(single.alias("feature"), "path")

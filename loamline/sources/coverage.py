@@ -11,41 +11,85 @@ from pyspark.sql import functions as F
 _LINES = "path string, line int, hits int"
 
 
-def lcov(spark: SparkSession, location: str) -> DataFrame:
-    """LCOV text; a line counts with its highest hits, malformed DA lines are skipped."""
-    raw = spark.read.text(location, wholetext=True).withColumn("file", F.input_file_name())
-    lines = raw.select("file", F.posexplode(F.split("value", "\r?\n")).alias("i", "l"))
+def _raw(spark: SparkSession, location: str) -> DataFrame:
+    return spark.read.text(location, wholetext=True).withColumn("file", F.input_file_name())
+
+
+def _highest(found: DataFrame, keys: list[str]) -> DataFrame:
+    """A line counts with its highest hits."""
+    return found.groupBy(*keys, "path", "line").agg(F.max("hits").alias("hits"))
+
+
+def lcov_lines(raw: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, path, line, hits) from LCOV texts (keys, value), one for each key; malformed DA lines are skipped."""
+    lines = raw.select(*keys, F.posexplode(F.split("value", "\r?\n")).alias("i", "l"))
     source = F.when(F.col("l").startswith("SF:"), F.trim(F.substr("l", F.lit(4))))
-    own = lines.withColumn("path", F.last(source, ignorenulls=True).over(W.partitionBy("file").orderBy("i").rowsBetween(W.unboundedPreceding, 0)))
+    own = lines.withColumn("path", F.last(source, ignorenulls=True).over(W.partitionBy(*keys).orderBy("i").rowsBetween(W.unboundedPreceding, 0)))
     da = r"^DA:(\d+),(\d+)"
-    hit = own.where(F.col("l").rlike(da)).select("path", F.regexp_extract("l", da, 1).cast("int").alias("line"), F.regexp_extract("l", da, 2).cast("int").alias("hits"))
-    return hit.where("path is not null").groupBy("path", "line").agg(F.max("hits").alias("hits"))
+    hit = own.where(F.col("l").rlike(da)).select(*keys, "path", F.regexp_extract("l", da, 1).cast("int").alias("line"), F.regexp_extract("l", da, 2).cast("int").alias("hits"))
+    return _highest(hit.where("path is not null"), keys)
 
 
-def coverage_json(spark: SparkSession, location: str) -> DataFrame:
-    """JSON of coverage.py: executed and missing lines of each file."""
-    raw = spark.read.text(location, wholetext=True)
+def json_lines(raw: DataFrame, keys: list[str]) -> DataFrame:
+    """The same from JSON of coverage.py: executed and missing lines of each file."""
     shape = "files map<string, struct<executed_lines: array<int>, missing_lines: array<int>>>"
-    files = raw.select(F.explode(F.from_json("value", shape)["files"]).alias("path", "f"))
-    each = lambda c, hits: files.select("path", F.explode(f"f.{c}").alias("line"), F.lit(hits).alias("hits"))
-    return each("executed_lines", 1).unionByName(each("missing_lines", 0)).groupBy("path", "line").agg(F.max("hits").alias("hits"))
+    files = raw.select(*keys, F.explode(F.from_json("value", shape)["files"]).alias("path", "f"))
+    each = lambda c, hits: files.select(*keys, "path", F.explode(f"f.{c}").alias("line"), F.lit(hits).alias("hits"))
+    return _highest(each("executed_lines", 1).unionByName(each("missing_lines", 0)), keys)
 
 
-def jest_final(spark: SparkSession, location: str) -> DataFrame:
-    """JSON of Jest: statements by id; a start line counts with its highest hits."""
-    raw = spark.read.text(location, wholetext=True)
+def jest_lines(raw: DataFrame, keys: list[str]) -> DataFrame:
+    """The same from JSON of Jest: statements by id, each at its start line."""
     shape = "map<string, struct<path: string, statementMap: map<string, struct<start: struct<line: int>>>, s: map<string, int>>>"
-    files = raw.select(F.explode(F.from_json("value", shape)).alias("k", "f"))
-    st = files.select(F.coalesce("f.path", "k").alias("path"), F.explode("f.statementMap").alias("id", "at"), F.col("f.s").alias("s"))
-    return st.select("path", F.col("at.start.line").alias("line"), F.coalesce(F.try_element_at("s", "id"), F.lit(0)).alias("hits")).where("line is not null").groupBy("path", "line").agg(F.max("hits").alias("hits"))
+    files = raw.select(*keys, F.explode(F.from_json("value", shape)).alias("k", "f"))
+    st = files.select(*keys, F.coalesce("f.path", "k").alias("path"), F.explode("f.statementMap").alias("id", "at"), F.col("f.s").alias("s"))
+    return _highest(st.select(*keys, "path", F.col("at.start.line").alias("line"), F.coalesce(F.try_element_at("s", "id"), F.lit(0)).alias("hits")).where("line is not null"), keys)
+
+
+def cobertura_lines(raw: DataFrame, keys: list[str]) -> DataFrame:
+    """The same from Cobertura XML."""
+    shape = "packages struct<package: array<struct<classes: struct<class: array<struct<_filename: string, lines: struct<line: array<struct<_number: int, _hits: int>>>>>>>>>"
+    classes = raw.select(*keys, F.explode(F.flatten(F.from_xml("value", shape)["packages"]["package"]["classes"]["class"])).alias("c"))
+    each = classes.select(*keys, F.col("c._filename").alias("path"), F.explode("c.lines.line").alias("l"))
+    return _highest(each.select(*keys, "path", F.col("l._number").alias("line"), F.col("l._hits").alias("hits")), keys)
+
+
+def lcov(spark: SparkSession, location: str) -> DataFrame:
+    """(path, line, hits) of LCOV files."""
+    return _highest(lcov_lines(_raw(spark, location), ["file"]), [])
+
+
+def coverage_json(spark: SparkSession, location: str) -> DataFrame:
+    return json_lines(_raw(spark, location), [])
+
+
+def jest_final(spark: SparkSession, location: str) -> DataFrame:
+    return jest_lines(_raw(spark, location), [])
 
 
 def cobertura(spark: SparkSession, location: str) -> DataFrame:
-    """Cobertura XML."""
+    """Cobertura XML, read class by class, so that a large report is many rows."""
     shape = "_filename string, lines struct<line: array<struct<_number: int, _hits: int>>>"
     classes = spark.read.format("xml").option("rowTag", "class").schema(shape).load(location)
     each = classes.select(F.col("_filename").alias("path"), F.explode("lines.line").alias("l"))
-    return each.select("path", F.col("l._number").alias("line"), F.col("l._hits").alias("hits")).groupBy("path", "line").agg(F.max("hits").alias("hits"))
+    return _highest(each.select("path", F.col("l._number").alias("line"), F.col("l._hits").alias("hits")), [])
+
+
+#: Where reports are looked for in a repository, in this order, and how they are read.
+CANDIDATES = (
+    ("coverage.json", json_lines), ("coverage/coverage-final.json", jest_lines), ("coverage.xml", cobertura_lines), ("coverage/cobertura-coverage.xml", cobertura_lines),
+    ("coverage/lcov.info", lcov_lines), ("lcov.info", lcov_lines), ("coverage.lcov", lcov_lines),
+)
+
+
+def detected(reports: DataFrame) -> DataFrame:
+    """(repo, path, line, hits) of the first report of each repository that holds any line. reports: (repo, name, value), name below the repository's top. (The SQLite form is binary: coverage_sqlite.)"""
+    every = None
+    for rank, (name, read) in enumerate(CANDIDATES):
+        own = read(reports.where(F.col("name") == name).select("repo", "value"), ["repo"]).withColumn("rank", F.lit(rank))
+        every = own if every is None else every.unionByName(own)
+    first = every.groupBy("repo").agg(F.min("rank").alias("rank"))
+    return every.join(first, ["repo", "rank"]).drop("rank")
 
 
 def numbits(blob: Column) -> Column:
@@ -65,9 +109,9 @@ def coverage_sqlite(spark: SparkSession, file: str) -> DataFrame:
     return blobs.select("path", F.explode(numbits(F.col("b"))).alias("line")).distinct().withColumn("hits", F.lit(1))
 
 
-def file_coverage(lines: DataFrame) -> DataFrame:
-    """(path, pct): share of instrumented lines that are hit, to one place."""
-    return lines.groupBy("path").agg(F.round(F.count_if(F.col("hits") > 0) * 100.0 / F.count(F.lit(1)), 1).alias("pct"))
+def file_coverage(lines: DataFrame, keys: list[str] | tuple[str, ...] = ("path",)) -> DataFrame:
+    """(keys, pct): share of instrumented lines that are hit, to one place."""
+    return lines.groupBy(*keys).agg(F.round(F.count_if(F.col("hits") > 0) * 100.0 / F.count(F.lit(1)), 1).alias("pct"))
 
 
 def matched(coverage: DataFrame, files: DataFrame) -> DataFrame:

@@ -51,3 +51,11 @@ def assignments(old: DataFrame, now: DataFrame) -> DataFrame:
 def locked_names(feature_files: DataFrame, least: int = 10) -> DataFrame:
     """Features with at least `least` files, whose names are kept from now on."""
     return feature_files.groupBy("feature").agg(F.count(F.lit(1)).alias("files")).where(F.col("files") >= least)
+
+
+def report_lines(features: DataFrame, *, at_risk: float = 50, watch: float = 77) -> DataFrame:
+    """(place, line): the report's row of each feature, the riskiest first. features: (feature, files, total_commits, bug_fixes, bug_fix_ratio, health)."""
+    note = F.when(F.col("health") < at_risk, " (at risk)").when(F.col("health") < watch, " (watch)").otherwise("")
+    line = F.concat("feature", F.lit(": "), F.col("files").cast("string"), F.lit(" files, "), F.col("total_commits").cast("string"), F.lit(" commits, "), F.col("bug_fixes").cast("string"), F.lit(" fixes, health "), F.round("health").cast("long").cast("string"), note)
+    place = F.row_number().over(W.orderBy(F.desc("bug_fix_ratio"), "feature"))  # one row for each feature
+    return features.select(place.alias("place"), line.alias("line"))
