@@ -95,12 +95,11 @@ def near_lines(lines: DataFrame, hashed: DataFrame) -> DataFrame:
 
 def repeated_lines(docs: DataFrame, *, text: str = "text", key: str = "doc_id", least_words: int = LEAST_WORDS) -> DataFrame:
     """(id, th, gone): for each document with lines that go, their numbers."""
-    lines = _lines(docs, text, key)
-    def keyed(w: Column) -> Column:
-        h1, h2 = _line_hash(w)
-        return F.struct(h1.alias("h1"), h2.alias("h2"), half_keys(w, least_words).alias("halves"), F.size(w).alias("n"))
-
-    hashed = stored(lines.select("ord", let(words(F.col("line")), keyed).alias("x")).where("x.n > 0").select("x.h1", "x.h2", "x.halves", "ord"))
+    lines = _lines(docs, text, key).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    ws = F.col("ws")
+    h1, h2 = _line_hash(ws)
+    # words are a column of their own, so that all hashes of them are compiled code and they are found once
+    hashed = stored(lines.select("ord", words(F.col("line")).alias("ws")).select(h1.alias("h1"), h2.alias("h2"), half_keys(ws, least_words).alias("halves"), "ord"))
     near = stored(near_lines(lines, hashed))
     repeated = hashed.groupBy("h1", "h2").agg(F.min("ord").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "first")
     at_issue = stored(repeated.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "full"))
