@@ -111,5 +111,5 @@ def test_names_told_apart_by_the_first_difference(spark):
 
 
 def test_teams_and_owners(spark):
-    rows = spark.createDataFrame([(x,) for x in ("@documenso/billing-team", "@auth", "@o/core-eng", "plain")], "o string")
+    rows = spark.createDataFrame([(x,) for x in ("@acme/billing-team", "@auth", "@o/core-eng", "plain")], "o string")
     assert [r[0] for r in rows.select(D.team_name(F.col("o"))).collect()] == ["billing", "auth", "core", "plain"]
