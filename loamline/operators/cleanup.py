@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import domains as D
+from ..functions import names as N
 from ..functions import paths as P
 from .graph import components, cut
 from .rules import disjoint_names
@@ -226,3 +227,64 @@ def queued(events: DataFrame, *, every: str = "60 seconds", most: int = 5000, ba
     flush = F.window(F.col(ts), every)["start"]
     i = F.row_number().over(W.partitionBy("flush").orderBy(ts, key)) - 1
     return events.withColumn("flush", flush).withColumn("place", i).where(F.col("place") < most).withColumn("batch", F.floor(F.col("place") / batch)).drop("place")
+
+
+def configured(files: DataFrame, renames: DataFrame, features: DataFrame) -> DataFrame:
+    """Rows (feature, path), distinct, as a repository's rules (see sources.config.rules) want them: forced merges, variants, automatic variants, features below a configured one folded into it, the token match, and skips last.
+
+    Each kind of rename takes one step; of several for a name the first by name counts. A feature that is not
+    configured takes a configured name under the same parent if the words of one are all among the other's
+    and no feature has that name; the first configured name that matches decides, and of several features
+    that match it the first by name takes it.
+    """
+    for rank in (1, 2, 3):
+        step = renames.where((F.col("rank") == rank) & F.col("new").isNotNull()).groupBy(F.col("old").alias("feature")).agg(F.min("new").alias("target"))
+        files = _moved(files, step)
+    known = features.select("feature").distinct()
+    top = known.where(~F.contains("feature", F.lit("/"))).select(F.col("feature").alias("top"))
+    child = files.select("feature").distinct().where(F.contains("feature", F.lit("/"))).withColumn("top", F.substring_index("feature", "/", 1))
+    files = cut(_moved(files, child.join(top, "top").select("feature", F.col("top").alias("target"))).distinct())
+
+    def worded(names: DataFrame, name: str, words: str) -> DataFrame:
+        split = F.contains("feature", F.lit("/"))
+        tail = F.when(split, F.regexp_replace("feature", "^[^/]*/", "")).otherwise(F.col("feature"))
+        rows = names.select(F.col("feature").alias(name), F.when(split, F.concat(F.lit("/"), F.substring_index("feature", "/", 1))).otherwise("").alias("parent"), N.name_tokens(tail).alias(words))
+        return rows.withColumn("w", F.explode(words))
+
+    names = files.select("feature").distinct()
+    met = worded(names.join(known, "feature", "left_anti"), "variant", "vw").join(worded(known, "name", "nw"), ["parent", "w"])
+    close = met.where((F.size(F.array_except("vw", "nw")) == 0) | (F.size(F.array_except("nw", "vw")) == 0)).groupBy("variant").agg(F.min("name").alias("name"))
+    free = close.join(names.select(F.col("feature").alias("name")), "name", "left_anti").groupBy(F.col("name").alias("target")).agg(F.min("variant").alias("feature"))
+    skipped = renames.where("new is null").select(F.col("old").alias("feature")).distinct()
+    return _moved(files, free).join(skipped, "feature", "left_anti")
+
+
+CRUD_VERBS = ["create", "add", "new", "update", "edit", "patch", "modify", "delete", "remove", "destroy"]
+
+
+def clean_flows(flows: DataFrame, files: DataFrame, *, most_domains: int = 2, least_files: int = 3) -> DataFrame:
+    """Rows (feature, flow, path) without flows named for techniques or files, without flows of one verb over more than `most_domains` domains, and each flow at one feature only: that which has most of its files, the smaller of equals, then the first by name."""
+    own = flows.select("feature", "flow", "path").distinct().where(~N.is_technical_flow(F.col("flow")) & ~N.is_filename_flow(F.col("flow")))
+    words = F.split(F.regexp_replace(F.replace(F.lower("flow"), F.lit("-flow"), F.lit("")), "^-+|-+$", ""), "-")
+    verb = (F.size(words) > 1) & F.get(words, F.lit(0)).isin(*CRUD_VERBS)
+    domain = F.nullif(D.path_domain(F.col("path")), F.lit(""))
+    wide = own.where(verb).groupBy("feature", "flow").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(domain).alias("domains")).where((F.col("n") >= least_files) & (F.col("domains") > most_domains))
+    left = own.join(wide.select("feature", "flow"), ["feature", "flow"], "left_anti")
+    has = files.select("feature", "path").distinct().withColumn("has", F.lit(1))
+    overlap = left.join(has, ["feature", "path"], "left").groupBy("flow", "feature").agg(F.count("has").alias("overlap"))
+    ranked = overlap.join(_sizes(files.select("feature", "path").distinct()), "feature", "left")
+    won = ranked.groupBy("flow").agg(F.min_by("feature", F.struct(-F.col("overlap"), F.coalesce("size", F.lit(0)), "feature")).alias("feature"))
+    return left.join(won, ["flow", "feature"], "left_semi").select("feature", "flow", "path")
+
+
+def without_singletons(files: DataFrame, flows: DataFrame) -> DataFrame:
+    """General names become shared-infra, and features of one file without a flow go there."""
+    own = files.select(P.canonical_bucket(F.col("feature")).alias("feature"), "path")
+    single = _sizes(own).where("size = 1 and feature <> 'shared-infra'").select("feature").join(flows.select("feature").distinct(), "feature", "left_anti")
+    return _moved(own, single.withColumn("target", F.lit("shared-infra")))
+
+
+def applied_delta(files: DataFrame, matched: DataFrame, deleted: DataFrame) -> DataFrame:
+    """A map after a change: files matched to a feature (feature, path) are put in where the feature exists, deleted ones (path) are left out."""
+    new = matched.select("feature", "path").join(files.select("feature").distinct(), "feature", "left_semi")
+    return files.select("feature", "path").unionByName(new).join(deleted.select("path").distinct(), "path", "left_anti").select("feature", "path")

@@ -113,3 +113,41 @@ def gr3_finalised(spark, d):
 def st4_queue(spark, d):
     e = B.table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
     return U.queued(e, every="1 day", most=250, batch=20).groupBy("flush", "batch").agg(F.count(F.lit(1)).alias("n"))
+
+
+RULES = {
+    "force_merges": [{"into": "brand1", "from": ["brand2", "brand3"]}],
+    "features": {"brand4": {"variants": ["brand5"]}, "accounts-brand6": {}, "brand7/promo-codes": {}, "top": {}},
+    "auto_aliases": {"brand8": {"variants": ["brand9"]}},
+    "skip_features": ["brand10"],
+}
+
+
+@query("rp6_configured", f"WITH o AS (SELECT CASE WHEN feature IN ('brand2', 'brand3') THEN 'brand1' WHEN feature = 'brand5' THEN 'brand4' WHEN feature = 'brand6' THEN 'accounts-brand6' WHEN feature = 'brand7' AND {KIND} = 'promo' THEN 'brand7/promo-codes' WHEN feature = 'brand7' THEN 'brand7/' || {KIND} WHEN feature = 'brand9' THEN 'brand8' WHEN feature = 'brand11' THEN 'top' ELSE feature END AS feature FROM files WHERE feature <> 'brand10') {COUNTED}", "files")
+def rp6_configured(spark, d):
+    from ..sources import config as C
+
+    rules = C.rules(spark, RULES)
+    m = mapped(spark, d, "case feature when 'brand7' then concat('brand7/', substr(flow, 8)) when 'brand11' then concat('top/', substr(flow, 9)) else feature end")
+    return counted(U.configured(m, rules["renames"], rules["features"]))
+
+
+@query("rp11_clean_flows", f"WITH g AS (SELECT feature, CASE WHEN part % 4 = 0 THEN 'delete-all' ELSE {KIND} END || '-flow' AS flow, path, {LAST_DIR} AS domain FROM files WHERE part % 4 <> 1), x AS (SELECT feature, flow FROM g WHERE flow LIKE 'delete-%' GROUP BY 1, 2 HAVING count(*) >= 3 AND count(DISTINCT domain) > 2), l AS (SELECT * FROM g ANTI JOIN x USING (feature, flow)), s AS (SELECT feature, count(*) AS size FROM files GROUP BY 1), n AS (SELECT flow, feature, count(*) AS overlap FROM l GROUP BY 1, 2), w AS (SELECT flow, min_by(feature, (-overlap, size, feature)) AS feature FROM n JOIN s USING (feature) GROUP BY 1) SELECT feature, flow, count(*) AS files FROM l JOIN w USING (feature, flow) GROUP BY 1, 2", "files")
+def rp11_clean(spark, d):
+    kind = "substr(flow, length(feature) + 2)"
+    name = f"case when part % 4 = 0 then 'delete-all-flow' when part % 4 = 1 and part % 3 = 0 then 'index.ts-flow' when part % 4 = 1 then 'state-management-flow' else concat({kind}, '-flow') end"
+    own = B.files(spark, d)
+    return U.clean_flows(own.select("feature", F.expr(name).alias("flow"), "path"), own.select("feature", "path")).groupBy("feature", "flow").agg(F.count(F.lit(1)).alias("files"))
+
+
+@query("rp11_singletons", f"WITH m AS (SELECT CASE WHEN part % 20 = 0 THEN 'one' || part WHEN part % 9 = 0 THEN 'shared-infra' ELSE feature END AS feature, part FROM files), o AS (SELECT CASE WHEN part % 20 = 0 AND part % 40 <> 0 THEN 'shared-infra' ELSE feature END AS feature FROM m) {COUNTED}", "files")
+def rp11_singletons(spark, d):
+    m = mapped(spark, d, "case when part % 20 = 0 then concat('one', part) when part % 9 = 0 then '/Utils/' else feature end")
+    return counted(U.without_singletons(m, B.files(spark, d).select(F.expr("if(part % 20 = 0, concat('one', part), feature)").alias("feature"), "part").where("part % 40 = 0 or part % 20 <> 0")))
+
+
+@query("rp16_applied_delta", f"WITH o AS (SELECT feature FROM files WHERE part % 6 <> 0 UNION ALL SELECT feature FROM files WHERE part % 6 = 1) {COUNTED}", "files")
+def rp16_delta(spark, d):
+    own = B.files(spark, d)
+    new = own.where("part % 6 = 1").select("feature", F.concat(F.lit("new/"), "path").alias("path"))
+    return counted(U.applied_delta(own, new.unionByName(new.select(F.concat(F.lit("no-"), "feature").alias("feature"), "path")), own.where("part % 6 = 0")))
