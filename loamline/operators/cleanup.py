@@ -288,3 +288,100 @@ def applied_delta(files: DataFrame, matched: DataFrame, deleted: DataFrame) -> D
     """A map after a change: files matched to a feature (feature, path) are put in where the feature exists, deleted ones (path) are left out."""
     new = matched.select("feature", "path").join(files.select("feature").distinct(), "feature", "left_semi")
     return files.select("feature", "path").unionByName(new).join(deleted.select("path").distinct(), "path", "left_anti").select("feature", "path")
+
+
+# Words of file names that tell nothing of a domain.
+NOISE_ENDINGS = ["dto", "dtos", "type", "types", "schema", "schemas", "interface", "interfaces", "model", "models", "contract", "contracts", "request", "response", "config", "constants", "props", "spec", "test", "stories", "fixture", "fixtures", "mock", "mocks", "index", "main", "init", "common", "util", "utils", "helper", "helpers"]
+NOISE_WORDS = ["the", "a", "an", "of", "to", "for", "with", "from", "and", "or", "is", "in", "on", "by"]
+DEVELOPER_BUCKET = "developer-infrastructure"
+# Names of features that are test infrastructure.
+TEST_FEATURES = ["test", "tests", "__tests__", "testing", "testutils", "e2e", "e2e-tests", "integration-tests", "unit-tests", "spec", "specs", "fixtures", "__fixtures__", "mocks", "__mocks__", "__snapshots__", "vitest-mocks", "jest-mocks", "cypress", "playwright"]
+
+
+def file_words(path: Column) -> Column:
+    """Words of a file's name and its directory, of three letters and more, without those that tell nothing."""
+    stem = F.regexp_replace(P.file_name(path), r"(?<=.)\.[^.]*$", "")
+    end = F.lower(F.regexp_extract(stem, r"\.([^.]*)$", 1))
+    stem = F.when(end.isin(*NOISE_ENDINGS), F.regexp_replace(stem, r"\.[^.]*$", "")).otherwise(stem)
+    parts = F.split(F.regexp_replace(stem, "(?<=[a-z])(?=[A-Z])", " "), r"[\s\-_/]+")
+    parent = F.regexp_extract(path, "(?:^|/)([^/]+)/[^/]*$", 1)
+    words = F.transform(F.concat(parts, F.array(parent)), lambda w: F.regexp_replace(F.lower(w), "[^a-z0-9]", ""))
+    return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(*NOISE_ENDINGS, *NOISE_WORDS)))
+
+
+def _pieces(word: Column, least: Column) -> Column:
+    """All distinct parts of a word that have `least` letters and more."""
+    n = F.length(word)
+    starts = F.sequence(F.lit(1), n)
+    return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(F.filter(F.sequence(F.lit(1), n), lambda k: (k >= least) & (i + k <= n + 1)), lambda k: F.substring(word, i, k)))))
+
+
+def consumers(files: DataFrame, edges: DataFrame, shared: str) -> DataFrame:
+    """(path, consumer, how): for each file of the feature `shared` the features whose files import it; where none does, those whose name holds a word of four letters and more of the file's name, or lies in one.
+
+    Words and names meet by their parts as equal keys, so no word is held against every name. files: (feature, path).
+    """
+    own = files.where(F.col("feature") == shared).select("path").distinct()
+    src = files.where(F.col("feature") != shared).select(F.col("path").alias("src"), F.col("feature").alias("consumer"))
+    told = edges.join(own.select(F.col("path").alias("dst")), "dst").join(src, "src").select(F.col("dst").alias("path"), "consumer").distinct()
+    words = own.join(told.select("path").distinct(), "path", "left_anti").select("path", F.explode(file_words(F.col("path"))).alias("word")).where(F.length("word") >= 4)
+    names = files.select(F.col("feature").alias("consumer")).distinct().where(F.col("consumer") != shared).withColumn("name", F.regexp_replace(F.lower("consumer"), "[^a-z0-9]", "")).where("name <> ''")
+    inside = words.join(names.select("consumer", F.explode(_pieces(F.col("name"), F.lit(4))).alias("word")), "word").select("path", "consumer")
+    around = words.select("path", F.explode(_pieces(F.col("word"), F.lit(1))).alias("name")).join(names, "name").select("path", "consumer")
+    return told.withColumn("how", F.lit("import")).unionByName(inside.unionByName(around).distinct().withColumn("how", F.lit("name")))
+
+
+def classified(files: DataFrame, verdicts: DataFrame, used: DataFrame, commits: DataFrame, *, least_confidence: int = 4, most_files: int = 50, most_commits: int = 200, locked_from: int = 30) -> DataFrame:
+    """Rows (feature, path, origin) after verdicts (feature, kind, confidence, proposed) on what features are.
+
+    Files of a shared-aggregator go to all their consumers (used: path, consumer), with their former feature as
+    origin, or to shared-infra without any. A developer-internal feature takes its proposed name if that
+    is sure and free, or else goes to developer infrastructure; tooling-infra goes to shared-infra; both
+    only up to `most_files` files and `most_commits` commits (commits: feature, commits). A product-feature takes its
+    proposed name. The largest feature, if it has `locked_from` files, is never folded. Of several features for a name the first takes it.
+    """
+    own = files.select("feature", "path").distinct()
+    size = _sizes(own)
+    largest = size.agg(F.min_by(F.struct("feature", "size"), F.struct(-F.col("size"), "feature")).alias("b")).select("b.*").where(F.col("size") >= locked_from).select("feature", F.lit(True).alias("locked"))
+    v = verdicts.groupBy("feature").agg(F.max_by(F.struct("kind", "confidence", "proposed"), F.struct("confidence", "kind")).alias("v")).select("feature", "v.*")
+    judged = v.join(size, "feature").join(F.broadcast(largest), "feature", "left").join(commits.select("feature", "commits"), "feature", "left")  # `largest` is one row
+    sure, open_ = F.col("confidence") >= least_confidence, F.col("locked").isNull()
+    small = open_ & (F.col("size") <= most_files) & (F.coalesce("commits", F.lit(0)) <= most_commits)
+    step = F.when((F.col("kind") == "shared-aggregator") & sure & open_, "spread").when((F.col("kind") == "developer-internal") & small, "developer").when((F.col("kind") == "tooling-infra") & sure & small, "tooling").when((F.col("kind") == "product-feature") & sure, "rename")
+    judged = judged.select("feature", step.alias("step"), F.when(sure & (F.col("proposed") != F.col("feature")), F.col("proposed")).alias("proposed")).where("step is not null")
+    wish = judged.where("proposed is not null and step in ('developer', 'rename')").join(size.select(F.col("feature").alias("proposed")), "proposed", "left_anti")
+    named = wish.groupBy(F.col("proposed").alias("target")).agg(F.min(F.struct(F.col("step") != "developer", "feature")).alias("f")).select(F.col("f.feature").alias("feature"), "target")
+    met = own.join(judged.select("feature", "step"), "feature", "left").join(named, "feature", "left")
+    to = F.coalesce("target", F.when(F.col("step") == "developer", DEVELOPER_BUCKET).when(F.col("step") == "tooling", "shared-infra").otherwise(F.col("feature")))
+    kept = met.where("step is null or step <> 'spread'").select(to.alias("feature"), "path", F.lit(None).cast("string").alias("origin"))
+    spread = met.where("step = 'spread'").join(used.select("path", "consumer").distinct(), "path", "left")
+    return kept.unionByName(spread.select(F.coalesce("consumer", F.lit("shared-infra")).alias("feature"), "path", F.when(F.col("consumer").isNotNull(), F.col("feature")).alias("origin"))).distinct()
+
+
+def with_orphans(files: DataFrame, source: DataFrame) -> DataFrame:
+    """files and, under shared-infra, those of `source` (path) that no feature has."""
+    rest = source.select("path").distinct().join(files.select("path").distinct(), "path", "left_anti")
+    return files.select("feature", "path").unionByName(rest.select(F.lit("shared-infra").alias("feature"), "path"))
+
+
+def unattached(entries: DataFrame, attributed: DataFrame) -> DataFrame:
+    """Entry points (file, symbol, ..) that are in no flow; attributed: (file, symbol)."""
+    return entries.join(attributed.select("file", "symbol").distinct(), ["file", "symbol"], "left_anti")
+
+
+def without_ghosts(flows: DataFrame, touched: DataFrame) -> DataFrame:
+    """flows (flow, ..) that a commit touched; touched: (flow, ..)."""
+    return flows.join(touched.select("flow").distinct(), "flow", "left_semi")
+
+
+def clean_inputs(files: DataFrame) -> DataFrame:
+    """Rows (feature, path) without test files and test features, with documentation in one feature."""
+    doc = P.is_documentation(F.col("path"))
+    kept = files.where(~F.lower(F.trim("feature")).isin(*TEST_FEATURES) & ~doc & ~P.is_test_path_segments(F.col("path"))).select("feature", "path")
+    return kept.unionByName(files.where(doc).select(F.lit("documentation").alias("feature"), "path").distinct())
+
+
+def promoted_roots(files: DataFrame) -> DataFrame:
+    """Files of root and init, which catch all of a library, under a feature for each stem."""
+    stem = F.coalesce(F.nullif(D.library_stem(F.col("path")), F.lit("")), F.col("feature"))
+    return files.select(F.when(F.col("feature").isin("root", "init"), stem).otherwise(F.col("feature")).alias("feature"), "path")
