@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import scores as S
+from .graph import cut
 
 
 def assigned(commit_files: DataFrame, feature_files: DataFrame) -> DataFrame:
@@ -89,6 +90,20 @@ def bug_fix_prs(touched: DataFrame, commits: DataFrame, key: str) -> DataFrame:
     return own.withColumn("i", first).where("i = 1").select(key, "pr_number", "sha", F.left(F.substring_index("message", "\n", 1), F.lit(120)).alias("title"))
 
 
+def flow_details(files: DataFrame, commit_files: DataFrame, commits: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(flow, trend, hotspots, prs, coverage) for each flow with commits: the trend of its weeks, its hottest files in order, its pull requests that fix bugs, and the mean coverage of its ranges outside of tests.
+
+    files: (flow, path); ranges: (path, .., pct).
+    """
+    t = cut(commit_files.join(files.select("path", "flow"), "path").select("sha", "path", "flow"))
+    trend = health_trend(weekly(t, commits, "flow"), "flow")
+    hot = hotspots(t, commits, "flow").groupBy("flow").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "path"))), lambda x: x["path"]), "|").alias("hotspots"))
+    prs = bug_fix_prs(t, commits, "flow").groupBy("flow").agg(F.count(F.lit(1)).alias("prs"))
+    covered = ranges.where(~P.is_test_path_regex(F.col("path"))).join(files.select("path", "flow"), "path").groupBy("flow").agg(F.avg("pct").alias("coverage"))
+    met = trend.join(hot, "flow", "left").join(prs, "flow", "left").join(covered, "flow", "left")
+    return met.select("flow", "trend", F.coalesce("hotspots", F.lit("")).alias("hotspots"), F.coalesce("prs", F.lit(0)).alias("prs"), "coverage")
+
+
 def merge_small(feature_files: DataFrame, least: int = 3, gate: int = 15) -> DataFrame:
     """(feature, target): features with fewer than `least` files and the one that absorbs them: the owner of the nearest directory above (most files, then the shortest name). Where there are no more than `gate` features, all stay."""
     sizes = feature_files.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))

@@ -146,3 +146,13 @@ def ag13(spark, d):
     size = f.groupBy(F.col("feature").alias("parent"), F.col("flow").alias("child")).agg(F.count_if(F.col("part") % 9 == 0).alias("files"))
     parents = t.groupBy(F.col("feature").alias("parent")).agg(F.countDistinct("sha").alias("commits"))
     return R.inherited(own.join(size, ["parent", "child"]), parents, ["commits"])
+
+
+@query("ag5_flow_details", r"""WITH t AS (SELECT DISTINCT sha, path, flow FROM commit_files JOIN files USING (path)), once AS (SELECT DISTINCT sha, flow FROM t), weekly AS (SELECT flow, isoyear(ts) || '-W' || lpad(CAST(week(ts) AS VARCHAR), 2, '0') AS week, count(*) AS total, count(*) FILTER (is_bug_fix) AS bug FROM once JOIN commits USING (sha) GROUP BY 1, 2), p AS (SELECT *, count(*) OVER (PARTITION BY flow) AS n, row_number() OVER (PARTITION BY flow ORDER BY week) AS i FROM weekly),
+tr AS (SELECT flow, CASE WHEN max(n) >= 4 THEN round(coalesce(sum(bug) FILTER (i <= n // 2) / sum(total) FILTER (i <= n // 2), 0.0) - coalesce(sum(bug) FILTER (i > n // 2) / sum(total) FILTER (i > n // 2), 0.0), 3) END AS trend FROM p GROUP BY 1),
+f AS (SELECT flow, path, count(DISTINCT sha) AS c, count(DISTINCT sha) FILTER (is_bug_fix) / count(DISTINCT sha) AS s FROM t JOIN commits USING (sha) WHERE NOT contains(path, '/tests/') GROUP BY 1, 2), h AS (SELECT flow, path, row_number() OVER (PARTITION BY flow ORDER BY s DESC, path) AS place FROM f WHERE c >= 3 AND s > 0.4 QUALIFY place <= 5), hs AS (SELECT flow, string_agg(path, '|' ORDER BY place) AS hotspots FROM h GROUP BY 1),
+pr AS (SELECT flow, count(DISTINCT pr_number) AS prs FROM once JOIN commits USING (sha) WHERE is_bug_fix AND pr_number IS NOT NULL GROUP BY 1), r AS (SELECT r.path, name, round(100.0 * count(*) FILTER (hits > 0) / nullif(count(line), 0), 1) AS pct FROM ranges r LEFT JOIN coverage_lines c ON c.path = r.path AND line BETWEEN start AND stop WHERE r.path NOT LIKE '%/tests/%' GROUP BY 1, 2), cv AS (SELECT flow, round(avg(pct), 8) AS coverage FROM r JOIN files USING (path) GROUP BY 1)
+SELECT flow, trend, coalesce(hotspots, '') AS hotspots, coalesce(prs, 0) AS prs, coverage FROM tr LEFT JOIN hs USING (flow) LEFT JOIN pr USING (flow) LEFT JOIN cv USING (flow)""", "commits commit_files ranges coverage_lines")
+def ag5_details(spark, d):
+    ranges = L.range_coverage(L.symbol_ranges(B.symbols(spark, d)), B.coverage_lines(spark, d))
+    return A.flow_details(B.files(spark, d), B.commit_files(spark, d), B.commits(spark, d), ranges).withColumn("coverage", F.round("coverage", 8))
