@@ -385,3 +385,37 @@ def promoted_roots(files: DataFrame) -> DataFrame:
     """Files of root and init, which catch all of a library, under a feature for each stem."""
     stem = F.coalesce(F.nullif(D.library_stem(F.col("path")), F.lit("")), F.col("feature"))
     return files.select(F.when(F.col("feature").isin("root", "init"), stem).otherwise(F.col("feature")).alias("feature"), "path")
+
+
+#: For each verb in order: words of file names, methods of routes, starts of exported names, and parts of flow names that cover it.
+CRUD = {
+    "delete": (["delete", "remove", "destroy"], r"(?i)\bDELETE\b", "^(?:delete|remove|destroy)[A-Z_]|^use(?:Delete|Remove|Destroy)", "delete|remove|destroy"),
+    "create": (["create", "add", "new"], r"(?i)\bPOST\b", "^(?:create|add)[A-Z_]|^use(?:Create|Add)", "create|add|new"),
+    "update": (["edit", "update", "patch"], r"(?i)\b(?:PUT|PATCH)\b", "^(?:edit|update|patch)[A-Z_]|^use(?:Edit|Update|Patch)", "edit|update|modify"),
+}
+
+
+def crud_gaps(files: DataFrame, flows: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Rows (feature, flow, path) of flows for delete, create and update that a feature lacks, from the names, routes and exports of files that no flow has; a file goes to the first verb that fits.
+
+    A verb is not lacking if a flow of the feature, also one just put in, has one of its words in its name.
+    files: (feature, path); flows: (feature, flow, path); signatures: (path, routes, exports), arrays of texts.
+    """
+    stem = F.regexp_replace(P.file_name(F.col("path")), r"(?<=.)\.[^.]*$", "")
+    words = F.split(F.lower(F.regexp_replace(stem, "(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "-")), r"[._\-\s]+")
+    base = F.regexp_replace(F.lower(F.trim("feature")), "[_ ]", "-")
+    ies, plural = base.endswith("ies") & (F.length(base) > 3), base.endswith("s") & ~base.endswith("ss") & (F.length(base) > 2)
+    noun = F.when(F.contains(base, F.lit("-")), base).when(ies, F.regexp_replace(base, "ies$", "y")).when(plural, F.regexp_replace(base, "s$", "")).otherwise(base)
+    signed = signatures.groupBy("path").agg(F.array_join(F.flatten(F.collect_list("routes")), " ").alias("routes"), F.flatten(F.collect_list("exports")).alias("exports"))
+    known = flows.select("feature", "flow", "path")
+    free = files.select("feature", "path").distinct().join(known.select("feature", "path").distinct(), ["feature", "path"], "left_anti").join(signed, "path", "left")
+    free = cut(free.select("feature", "path", noun.alias("noun"), words.alias("words"), F.coalesce("routes", F.lit("")).alias("routes"), F.coalesce("exports", F.array().cast("array<string>")).alias("exports")))
+    names, found = known.select("feature", "flow").distinct(), None
+    for verb, (own, method, start, hints) in CRUD.items():
+        fits = F.arrays_overlap("words", F.array(*map(F.lit, own))) | F.col("routes").rlike(method) | F.array_join("exports", "\n").rlike(f"(?m){start}")
+        covered = names.where(F.lower("flow").rlike(hints)).select("feature").distinct()
+        new = cut(free.where(fits).join(covered, "feature", "left_anti").select("feature", F.concat(F.lit(f"{verb}-"), "noun", F.lit("-flow")).alias("flow"), "path"))
+        names = names.unionByName(new.select("feature", "flow").distinct())
+        free = free.join(new.select("feature", "path"), ["feature", "path"], "left_anti")
+        found = new if found is None else found.unionByName(new)
+    return found

@@ -200,3 +200,13 @@ def rp14_inputs(spark, d):
 @query("rp14_library_roots", f"WITH o AS (SELECT CASE WHEN part % 3 = 2 THEN feature WHEN part % 4 = 3 THEN 'auth' ELSE 'context' END AS feature FROM files) {COUNTED}", "files")
 def rp14_roots(spark, d):
     return counted(U.promoted_roots(mapped(spark, d, "case part % 3 when 0 then 'root' when 1 then 'init' else feature end", "concat('p', part, '/', case part % 4 when 0 then 'context.go' when 1 then 'context_test.go' when 2 then 'context_appengine.go' else 'Auth.go' end)")))
+
+
+@query("rp12_crud_gaps", "WITH m AS (SELECT feature || 's' AS feature, part, CASE part % 6 WHEN 0 THEN 'delete' WHEN 1 THEN 'create' WHEN 2 THEN 'update' WHEN 3 THEN 'delete' END AS verb FROM files WHERE part % 7 <> 0) SELECT feature, verb || '-' || left(feature, -1) || '-flow' AS flow, count(*) AS files FROM m WHERE verb IS NOT NULL AND NOT (verb = 'create' AND feature = 'brand2s') GROUP BY 1, 2", "files")
+def rp12_gaps(spark, d):
+    k = "concat('src/x/', case part % 6 when 0 then 'DeleteTagButton' when 1 then 'api' when 2 then 'hooks' when 3 then 'add.remove_item' else 'renew' end, '.', part, '.ts')"
+    own = B.files(spark, d).select(F.concat("feature", F.lit("s")).alias("feature"), "part", F.expr(k).alias("path"))
+    routes = F.expr("case when part % 6 = 1 then array('GET /a', 'post /b') else array('GET /posts') end")
+    exports = F.expr("case when part % 6 = 2 then array('x', 'usePatchItem') else array('deleted', 'renew') end")
+    flows = own.where("part % 7 = 0").select("feature", F.lit("main-flow").alias("flow"), "path").unionByName(own.where("feature = 'brand2s'").select("feature", F.lit("Renew-plan-flow").alias("flow"), F.lit("none").alias("path")).distinct())
+    return U.crud_gaps(own.select("feature", "path"), flows, own.select("path", routes.alias("routes"), exports.alias("exports"))).groupBy("feature", "flow").agg(F.count(F.lit(1)).alias("files"))
