@@ -70,6 +70,12 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import coded
+
+    return coded(table(spark, sf_dir, "embeddings"))
+
+
 def op12_id_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -78,11 +84,17 @@ def op12_id_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), table_path(spark))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from .oracles import OP7, OP10
+    from .oracles import OP7, OP10, OP11, OP13
 
-    return {"op7_decontamination": OP7, "op10_line_dedup": OP10}
+    return {"op7_decontamination": OP7, "op10_line_dedup": OP10, "op11_vector_codes": OP11, "op13_prefix_trie": OP13}

@@ -79,14 +79,19 @@ def table_path(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows of df as a table written to the shared checkpoint folder; Spark knows the size of what it reads there."""
+def stored_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """The rows of df as a table written to the shared checkpoint folder, and its path; Spark knows the size of what it reads there."""
     spark = df.sparkSession
     path = table_path(spark)
     if _scopes:
         _scopes[-1][0].append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """As stored_at, the rows alone."""
+    return stored_at(df)[0]
 
 
 #: Hashes up to which a bitmap pays: at four bits for each of so many, three quarters of the others are kept out.
