@@ -15,7 +15,10 @@ SQUASH_PR = r"\(#(\d+)\)\s*(?:\n|$)"
 SCOPE = r"(?i)^[a-z]+\(([a-z][a-z0-9_/-]+)\):"
 BARE = r"^([a-z][a-z0-9_/-]+):"
 #: Prefixes that name the kind of a commit, not a domain.
-KINDS = ("feat", "fix", "chore", "docs", "refactor", "test", "tests", "style", "perf", "build", "ci", "revert", "merge", "release", "wip", "hotfix", "bump", "deps")
+KINDS = (
+    "fix", "feat", "chore", "docs", "doc", "refactor", "test", "tests", "build", "ci", "perf", "style", "revert", "wip", "deps", "dep", "security", "release", "merge", "bump",
+    "update", "rename", "remove", "feature", "ref", "hotfix", "patch", "minor", "major", "tick", "readme", "license", "changelog", "deps-dev",
+)
 
 
 def is_bug_fix(message: Column) -> Column:

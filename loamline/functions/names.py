@@ -10,7 +10,20 @@ ACRONYMS = "api sdk ui ux url uri uuid http https ssl tls tcp udp ip dns cdn cli
 BRANDS = {"oauth": "OAuth", "graphql": "GraphQL", "trpc": "tRPC", "javascript": "JavaScript", "typescript": "TypeScript", "nodejs": "Node.js", "github": "GitHub", "gitlab": "GitLab"}
 SMALL_WORDS = "of the a an in on at for to by with as or vs".split()
 #: Domains of flows by what their names contain, in this order.
-DOMAINS = {"auth": ("auth", "login", "signin", "sign-in", "signup", "sign-up", "logout", "password", "session"), "billing": ("billing", "payment", "invoice", "subscription", "checkout"), "notifications": ("notification", "email", "webhook", "alert")}
+DOMAINS = {
+    "auth": (
+        "auth", "authenticate", "signin", "sign-in", "signup", "sign-up", "login", "logout", "password", "oauth", "sso", "saml", "oidc", "register", "verify-email",
+        "email-verification", "reset-password", "forgot-password", "two-factor", "2fa", "mfa", "magic-link", "activate-invited", "activate-account", "session",
+    ),
+    "billing": ("billing", "subscription", "invoice", "payment", "checkout", "pricing", "stripe", "refund", "plan-upgrade", "downgrade-plan", "manage-plan"),
+    "notifications": ("notification", "alert-rule", "push-notification"),
+}
+#: What else the name of a domain's feature may contain.
+DOMAIN_HINTS = {
+    "auth": ("account", "identity", "access control", "access-control", "user management", "user-management", "session"),
+    "billing": ("subscription", "payment", "plan", "checkout"),
+    "notifications": ("alert", "alerting"),
+}
 
 
 def humanize(name: Column) -> Column:
@@ -29,15 +42,21 @@ def humanize(name: Column) -> Column:
     return F.when(F.length(last) == 0, name).when(plain | (F.size(tokens) == 0), last).otherwise(label)
 
 
-def flow_domain(name: Column) -> Column:
+def in_domain(name: Column, domain: str) -> Column:
+    """The name or path contains a word of the domain."""
     norm = F.regexp_replace(F.lower(name), r"[\s_/]+", "-")
-    out = F.when(F.lit(False), None)
-    for domain, tokens in DOMAINS.items():
-        hit = F.lit(False)
-        for t in tokens:
-            hit = hit | norm.contains(t)
-        out = out.when(hit, F.lit(domain))
-    return out.cast("string")
+    return norm.rlike("|".join(DOMAINS[domain]))
+
+
+def flow_domain(name: Column) -> Column:
+    """The first domain that the name is in, or null."""
+    return F.coalesce(*[F.when(in_domain(name, d), F.lit(d)) for d in DOMAINS])
+
+
+def covered_domains(feature: Column) -> Column:
+    """The domains that a feature of this name stands for."""
+    low = F.lower(feature)
+    return F.array_compact(F.array(*[F.when(low.rlike("|".join((d, *DOMAIN_HINTS[d]))), F.lit(d)) for d in DOMAINS]))
 
 
 def name_tokens(name: Column) -> Column:
@@ -68,11 +87,12 @@ ROLES = (
     ("loading-state", r"(?:^|[a-zA-Z_])(?:is|has)?(?:Loading|Pending|Fetching|Submitting|Saving|Refetching)(?:$|[A-Z_])"),
     ("error-state", r"(?:^|[a-zA-Z_])(?:is|has)?(?:Error|Errors|ErrorMessage|ErrorState|Failure|Failed)(?:$|[A-Z_])"),
     ("validator", r"^(?:validate|isValid|check|assert|ensure)[A-Z_]|^[a-z][A-Za-z]*Schema$|^[A-Z][A-Za-z]*Schema$|.+Validator$"),
-    ("data-fetching", r"^use[A-Z][A-Za-z]*(?:Mutation|Query|InfiniteQuery|SuspenseQuery|Subscription)$|^(?:fetch|get|list|load|create|update|delete)[A-Z][A-Za-z]*(?:Async|Promise)?$"),
+    ("data-fetch", r"^use[A-Z][A-Za-z]*(?:Mutation|Query|InfiniteQuery|SuspenseQuery|Subscription)$|^(?:fetch|get|list|load|create|update|delete)[A-Z][A-Za-z]*(?:Async|Promise)?$"),
     ("side-effect", r"^use[A-Z][A-Za-z]*Effect$|^on[A-Z][A-Za-z]+$|^(?:before|after)[A-Z][A-Za-z]+Hook$"),
     ("state", r"^(?:set|use)[A-Z][A-Za-z]*(?:State|Store|Atom|Signal|Reducer|Context)?$|.+(?:Atom|Signal|Store|Slice|Reducer|Context)$"),
     ("handler", r"^handle[A-Z][A-Za-z]*$|^[A-Za-z]+Handler$|^[A-Za-z]+Controller$|^[A-Za-z]+Action$"),
 )
+# Fixed value: how a description names its entry.
 ENTRY = r"\(entry:\s*([^:)]+):(\d+)\)\s*$"
 
 

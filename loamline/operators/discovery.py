@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import domains as D
 from ..functions import paths as P
+from .rules import PROTECTED
 
 # Names of entry points.
 HANDLERS = r"^(?:GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)$|^handle[A-Z]|Handler$|Controller$|Subscriber$|^(?:create|update|delete|fetch|list|get|set|sync)[A-Z]"
@@ -17,9 +18,7 @@ ASIDE_DIRS = "examples example demo demos playground playgrounds sandbox sandbox
 PY_STARTS = "main.py app.py manage.py asgi.py wsgi.py __main__.py run.py server.py".split()
 DEV_SERVERS = r"^(?:next |vite|remix dev|nuxt dev|astro dev)| (?:next |vite|remix dev|nuxt dev|astro dev)"
 #: Top directories that are layers.
-LAYER_DIRS = "server client backend frontend web mobile lib libs utils utilities helpers common shared core internal runtime vendor bundled compiled types typings models schemas interfaces config configs configuration constants middleware interceptors guards decorators providers adapters drivers connectors scripts tools tooling build dist out generated codegen proto protos".split()
-#: Names that no alias rule may take.
-PROTECTED = ("shared-infra", "documentation", "examples", "developer-infrastructure")
+LAYER_DIRS = "server client backend frontend web mobile lib libs utils utilities helpers common shared core internal runtime vendor bundled compiled types typings models schemas interfaces config configs configuration constants middleware interceptors guards decorators providers adapters drivers connectors scripts tools tooling build dist out generated codegen proto protos test tests __tests__ testing testutils fixtures mocks __mocks__ assets static public media images fonts styles docs documentation examples samples".split()
 # Directories and stems that don't split a large feature, and directories that hold no sources.
 UNSPLIT_DIRS = "tests test __tests__ migrations templates static".split()
 SOURCELESS_DIRS = "tests test __tests__ migrations templates static management templatetags locale".split()

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from ..functions import paths as P
 from .graph import cut
 
+# Names that no alias rule may take, and owners whose paths stay with them.
+PROTECTED = ("shared-infra", "documentation", "examples", "developer-infrastructure")
+
 
 def renamed(rows: DataFrame, names: DataFrame, key: str = "feature") -> DataFrame:
     """rows with `key` replaced where `names` (old, new; new null drops the row) says so; the last of several by new name counts."""
@@ -32,11 +38,28 @@ def secondaries(verdicts: DataFrame, features: DataFrame) -> DataFrame:
     return named.groupBy("flow").agg(F.array_join(F.array_sort(F.collect_set("feature")), "|").alias("features"))
 
 
-def promoted_domains(flows: DataFrame, least: int = 3) -> DataFrame:
-    """(domain, owner, flow): flows of a domain that at least `least` flows belong to, to be moved to a feature of that name."""
-    own = flows.select("owner", "flow", N.flow_domain(F.col("flow")).alias("domain")).where("domain is not null and owner <> domain")
-    many = own.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("domain")
-    return own.join(F.broadcast(many), "domain").select("domain", "owner", "flow")  # one row for each domain
+def promoted_domains(flows: DataFrame, features: DataFrame, least: int = 3, most_paths: int = 15) -> DataFrame:
+    """(domain, target, backfill, kind, owner, item): flows and paths that a feature of their domain takes from their owners.
+
+    A domain of at least `least` flows gets a feature of its name. If a feature covers it already (the first
+    by name), that one takes them instead, but only while it has under `most_paths` paths and `least` of the
+    flows are elsewhere. Paths come from the owners of the domain's flows, not from protected ones; a domain
+    without any such path is left alone. flows: (owner, flow); features: (feature, path).
+    """
+    own = flows.select("owner", "flow").distinct().withColumn("domain", N.flow_domain(F.col("flow"))).where("domain is not null")
+    held = features.select("feature", "path").distinct()
+    covering = held.groupBy("feature").agg(F.count("path").alias("paths")).select("feature", "paths", F.explode(N.covered_domains(F.col("feature"))).alias("domain"))
+    existing = covering.groupBy("domain").agg(F.min(F.struct("feature", "paths")).alias("e")).select("domain", F.col("e.feature").alias("existing"), "e.paths")
+    met = own.join(F.broadcast(existing), "domain", "left")  # one row for each domain
+    many = met.groupBy("domain", "existing", "paths").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("existing").isNull() | (F.col("owner") != F.col("existing"))).alias("stranded"))
+    due = many.where((F.col("n") >= least) & (F.col("existing").isNull() | ((F.col("paths") < most_paths) & (F.col("stranded") >= least))))
+    plan = due.select("domain", F.coalesce("existing", "domain").alias("target"), F.col("existing").isNotNull().alias("backfill"))
+    planned = own.join(F.broadcast(plan), "domain").where("not backfill or owner <> target")
+    from_ = planned.select("domain", "target", "backfill", "owner").distinct().where(~F.col("owner").isin(*PROTECTED))
+    inside = functools.reduce(Column.__or__, [(F.col("domain") == d) & N.in_domain(F.col("path"), d) for d in N.DOMAINS])
+    paths = cut(from_.join(held.withColumnRenamed("feature", "owner"), "owner").where(inside).select("domain", "target", "backfill", F.lit("path").alias("kind"), "owner", F.col("path").alias("item")))
+    moved = planned.join(F.broadcast(paths.select("domain").distinct()), "domain", "left_semi")
+    return paths.unionByName(moved.select("domain", "target", "backfill", F.lit("flow").alias("kind"), "owner", F.col("flow").alias("item")))
 
 
 def majority(votes: DataFrame, key: str, value: str, share: float = 0.6) -> DataFrame:
@@ -47,10 +70,20 @@ def majority(votes: DataFrame, key: str, value: str, share: float = 0.6) -> Data
 
 
 def capped_flows(flows: DataFrame, most: int = 12) -> DataFrame:
-    """(owner, flow, kept_as): the `most` largest flows of an owner stay, others join its largest. flows: (owner, flow, size)."""
-    w = W.partitionBy("owner").orderBy(F.desc("size"), "flow")
-    first = F.first("flow").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    return flows.select("owner", "flow", F.when(F.row_number().over(w) <= most, F.col("flow")).otherwise(first).alias("kept_as"))
+    """(owner, flow, kept_as): the `most` largest flows of an owner stay (equal ones by name). Others join the kept flow that has most of their files in its directories, the larger on ties; a directory belongs to the largest kept flow that has a file there. Those without a directory in common join the largest.
+
+    flows: (owner, flow, path). Directories meet as keys, so no flow is held against all others.
+    """
+    files = flows.select("owner", "flow", P.parent(F.col("path")).alias("dir"), "path").distinct()
+    size = files.groupBy("owner", "flow").agg(F.count(F.lit(1)).alias("size"))
+    place = size.withColumn("place", F.row_number().over(W.partitionBy("owner").orderBy(F.desc("size"), "flow"))).select("owner", "flow", "place")
+    placed = cut(files.join(place, ["owner", "flow"]))
+    of_dir = placed.where(F.col("place") <= most).groupBy("owner", "dir").agg(F.min("place").alias("to"))
+    scores = placed.where(F.col("place") > most).join(of_dir, ["owner", "dir"]).groupBy("owner", "flow", "to").agg(F.count(F.lit(1)).alias("n"))
+    best = scores.groupBy("owner", "flow").agg(F.min_by("to", F.struct(-F.col("n"), "to")).alias("to"))
+    to = F.when(F.col("place") <= most, F.col("place")).otherwise(F.coalesce("to", F.lit(1)))
+    aim = place.join(best, ["owner", "flow"], "left").select("owner", "flow", to.alias("place"))
+    return aim.join(place.withColumnRenamed("flow", "kept_as"), ["owner", "place"]).select("owner", "flow", "kept_as")
 
 
 def exact_cover(parts: DataFrame, whole: DataFrame, most: int = 8) -> DataFrame:

@@ -153,21 +153,23 @@ def rp16_delta(spark, d):
     return counted(U.applied_delta(own, new.unionByName(new.select(F.concat(F.lit("no-"), "feature").alias("feature"), "path")), own.where("part % 6 = 0")))
 
 
-@query("jn15_named_consumers", f"WITH m AS (SELECT part, CASE WHEN feature = 'brand1' THEN feature ELSE feature || '-' || {KIND} END AS feature, path FROM files), told AS (SELECT DISTINCT b.path, a.feature AS consumer FROM edges JOIN m a ON a.path = src JOIN m b ON b.path = dst WHERE b.feature = 'brand1' AND a.feature <> 'brand1' AND a.part % 40 = 0), n AS (SELECT DISTINCT feature, replace(feature, '-', '') AS name FROM m WHERE feature <> 'brand1'), w AS (SELECT path, unnest([split_part(split_part(path, '/', -1), '_', 1), split_part(path, '/', -2)]) AS w FROM m WHERE feature = 'brand1' AND path NOT IN (SELECT path FROM told)) SELECT path, consumer, 'import' AS how FROM told UNION ALL SELECT DISTINCT path, feature, 'name' FROM w JOIN n ON contains(name, w) OR contains(w, name) WHERE length(w) >= 4", "edges")
+@query("jn15_named_consumers", f"WITH m AS (SELECT part, CASE WHEN feature = 'brand1' THEN feature ELSE feature || '-' || {KIND} END AS feature, path FROM files), told AS (SELECT DISTINCT b.path, a.feature AS consumer FROM edges JOIN m a ON a.path = src JOIN m b ON b.path = dst WHERE b.feature = 'brand1' AND a.feature <> 'brand1' AND b.part % 9 <> 0), n AS (SELECT DISTINCT feature, replace(feature, '-', '') AS name FROM m WHERE feature <> 'brand1'), w AS (SELECT path, unnest([split_part(split_part(path, '/', -1), '_', 1), split_part(path, '/', -2)]) AS w FROM m WHERE feature = 'brand1' AND path NOT IN (SELECT path FROM told)) SELECT path, consumer, 'import' AS how FROM told UNION ALL SELECT DISTINCT path, feature, 'name' FROM w JOIN n ON contains(name, w) OR contains(w, name) WHERE length(w) >= 4", "edges")
 def jn15_named(spark, d):
+    """Nothing imports files of every ninth part here, so that some are left to their names."""
     m = B.files(spark, d).withColumn("feature", F.expr("if(feature = 'brand1', feature, flow)"))
-    few = B.edges(spark, d).join(m.where("part % 40 = 0").select(F.col("path").alias("src")), "src")
-    return U.consumers(m.select("feature", "path"), few, "brand1")
+    told = B.edges(spark, d).join(m.where("part % 9 <> 0").select(F.col("path").alias("dst")), "dst")
+    return U.consumers(m.select("feature", "path"), told, "brand1")
 
 
 JUDGED = [("brand1", "shared-aggregator", 5, None), ("brand2", "developer-internal", 5, "dev-kit"), ("brand3", "developer-internal", 5, "brand4"), ("brand5", "developer-internal", 2, "x"), ("brand6", "tooling-infra", 4, None), ("brand7", "tooling-infra", 3, None), ("brand8", "product-feature", 4, "shop"), ("brand9", "product-feature", 5, "brand10"), ("brand11", "shared-aggregator", 3, None), ("brand12", "product-feature", 4, "shop")]
 JUDGED_SQL = ", ".join("(" + ", ".join("NULL" if x is None else repr(x) for x in r) + ")" for r in JUDGED)
 
 
-@query("gr10_classified", f"WITH v AS (SELECT * FROM (VALUES {JUDGED_SQL}) t(feature, kind, confidence, proposed)), z AS (SELECT feature, count(*) AS size FROM files GROUP BY 1), l AS (SELECT feature FROM (SELECT * FROM z ORDER BY size DESC, feature LIMIT 1) WHERE size >= 30), s AS (SELECT v.*, v.feature NOT IN (SELECT feature FROM l) AS free, size <= 50 AND size * 3 <= 200 AS small FROM v JOIN z USING (feature)), j AS (SELECT feature, CASE WHEN kind = 'shared-aggregator' AND confidence >= 4 AND free THEN 'spread' WHEN kind = 'developer-internal' AND free AND small THEN CASE WHEN proposed = 'dev-kit' THEN 'dev-kit' ELSE 'developer-infrastructure' END WHEN kind = 'tooling-infra' AND confidence >= 4 AND free AND small THEN 'shared-infra' WHEN feature = (SELECT min(feature) FROM s WHERE proposed = 'shop') THEN 'shop' ELSE feature END AS target FROM s), u AS (SELECT DISTINCT dst AS path, feature AS consumer FROM edges JOIN files ON path = src WHERE feature <> 'brand1' AND part % 40 = 0), r AS (SELECT coalesce(target, feature) AS feature, path, CAST(NULL AS VARCHAR) AS origin FROM files LEFT JOIN j USING (feature) WHERE target IS DISTINCT FROM 'spread' UNION ALL SELECT coalesce(consumer, 'shared-infra'), path, CASE WHEN consumer IS NOT NULL THEN feature END FROM files JOIN j USING (feature) LEFT JOIN u USING (path) WHERE target = 'spread') SELECT feature, origin, count(*) AS files FROM r GROUP BY 1, 2", "edges")
+@query("gr10_classified", f"WITH v AS (SELECT * FROM (VALUES {JUDGED_SQL}) t(feature, kind, confidence, proposed)), z AS (SELECT feature, count(*) AS size FROM files GROUP BY 1), l AS (SELECT feature FROM (SELECT * FROM z ORDER BY size DESC, feature LIMIT 1) WHERE size >= 30), s AS (SELECT v.*, v.feature NOT IN (SELECT feature FROM l) AS free, size <= 50 AND size * 3 <= 200 AS small FROM v JOIN z USING (feature)), j AS (SELECT feature, CASE WHEN kind = 'shared-aggregator' AND confidence >= 4 AND free THEN 'spread' WHEN kind = 'developer-internal' AND free AND small THEN CASE WHEN proposed = 'dev-kit' THEN 'dev-kit' ELSE 'developer-infrastructure' END WHEN kind = 'tooling-infra' AND confidence >= 4 AND free AND small THEN 'shared-infra' WHEN feature = (SELECT min(feature) FROM s WHERE proposed = 'shop') THEN 'shop' ELSE feature END AS target FROM s), u AS (SELECT DISTINCT dst AS path, files.feature AS consumer FROM edges JOIN files ON path = src JOIN files t ON t.path = dst WHERE files.feature <> 'brand1' AND t.part % 9 <> 0), r AS (SELECT coalesce(target, feature) AS feature, path, CAST(NULL AS VARCHAR) AS origin FROM files LEFT JOIN j USING (feature) WHERE target IS DISTINCT FROM 'spread' UNION ALL SELECT coalesce(consumer, 'shared-infra'), path, CASE WHEN consumer IS NOT NULL THEN feature END FROM files JOIN j USING (feature) LEFT JOIN u USING (path) WHERE target = 'spread') SELECT feature, origin, count(*) AS files FROM r GROUP BY 1, 2", "edges")
 def gr10_classified(spark, d):
     own = B.files(spark, d)
-    use = B.edges(spark, d).join(own.where("part % 40 = 0 and feature <> 'brand1'").select(F.col("path").alias("src"), F.col("feature").alias("consumer")), "src").select(F.col("dst").alias("path"), "consumer")
+    known = own.where("part % 9 <> 0").select(F.col("path").alias("dst"))  # nothing imports the others here
+    use = B.edges(spark, d).join(own.where("feature <> 'brand1'").select(F.col("path").alias("src"), F.col("feature").alias("consumer")), "src").join(known, "dst").select(F.col("dst").alias("path"), "consumer")
     verdicts = spark.createDataFrame(JUDGED, "feature string, kind string, confidence int, proposed string")
     commits = own.groupBy("feature").agg((F.count(F.lit(1)) * 3).alias("commits"))
     return U.classified(own, verdicts, use, commits).groupBy("feature", "origin").agg(F.count(F.lit(1)).alias("files"))

@@ -124,10 +124,17 @@ def fn17(spark, d):
     return B.table(spark, d, "pages").select("page_id", P.api_pattern(raw).alias("pattern"))
 
 
-@query("fn21_flow_domains", "SELECT conv_id, turn, CASE WHEN conv_id % 4 = 0 THEN 'auth' WHEN conv_id % 4 = 1 THEN 'billing' WHEN conv_id % 4 = 2 THEN 'notifications' END AS domain FROM conversations")
+#: Names of flows and their domains.
+DOMAIN_CASES = (
+    ("Reset_Password/flow", "auth"), ("saml sso setup", "auth"), ("mfa/enrol", "auth"), ("register user", "auth"), ("magic link", "auth"), ("activate_account", "auth"), ("OIDC callback", "auth"),
+    ("pay invoice", "billing"), ("Show Pricing page", "billing"), ("Downgrade Plan", "billing"), ("refund order", "billing"), ("stripe_setup", "billing"),
+    ("send-push notification", "notifications"), ("edit alert_rule", "notifications"), ("send-email", ""), ("webhook alert", ""), ("browse catalog", ""), ("plan trip", ""),
+)
+
+
+@query("fn21_flow_domains", f"SELECT conv_id, turn, nullif({[x for _, x in DOMAIN_CASES]}[CAST(conv_id % {len(DOMAIN_CASES)} AS INTEGER) + 1], '') AS domain FROM conversations")
 def fn21(spark, d):
-    k = F.col("conv_id") % 4
-    name = F.when(k == 0, "Reset_Password/flow").when(k == 1, "pay invoice").when(k == 2, "send-email").otherwise("browse catalog")
+    name = F.get(F.array(*[F.lit(x) for x, _ in DOMAIN_CASES]), (F.col("conv_id") % len(DOMAIN_CASES)).cast("int"))
     return B.table(spark, d, "conversations").select("conv_id", "turn", N.flow_domain(name).alias("domain"))
 
 
@@ -183,9 +190,15 @@ def fn31(spark, d):
     return B.table(spark, d, "supplier").select(k.alias("k"), F.greatest(F.lit(3), F.least(F.lit(15), F.expr("s_suppkey div 8"))).cast("long").alias("packages"), F.least(F.lit(200), F.greatest(F.lit(15), F.expr("s_suppkey div 4"))).cast("long").alias("split"))
 
 
-@query("tx11_commit_scopes", "SELECT 'scope' || sha % 7 AS scope, count(*) AS n FROM commits WHERE message LIKE 'feat%' GROUP BY 1 HAVING count(*) >= 5", "commits")
+SCOPE_CASES = (("security: close hole", ""), ("deps-dev: raise", ""), ("update: texts", ""), ("doc: words", ""), ("api: add route", "api"), ("web/cart: total", "web/cart"), ("minor: edit", ""), ("rename(core): x", "core"), ("changelog: 2.0", ""))
+
+
+@query("tx11_commit_scopes", f"WITH m AS (SELECT CASE WHEN message LIKE 'feat%' THEN 'scope' || sha % 7 ELSE nullif({[x for _, x in SCOPE_CASES]}[CAST(sha % {len(SCOPE_CASES)} AS INTEGER) + 1], '') END AS scope FROM commits WHERE message LIKE 'feat%' OR message LIKE 'chore%') SELECT scope, count(*) AS n FROM m WHERE scope IS NOT NULL GROUP BY 1 HAVING count(*) >= 5", "commits")
 def tx11(spark, d):
-    return B.commits(spark, d).groupBy(C.scope(F.col("message")).alias("scope")).agg(F.count(F.lit(1)).alias("n")).where("scope is not null and n >= 5")
+    """Chores stand for messages whose type words are no scopes, and some that are."""
+    other = F.get(F.array(*[F.lit(x) for x, _ in SCOPE_CASES]), (F.col("sha") % len(SCOPE_CASES)).cast("int"))
+    message = F.when(F.col("message").startswith("chore"), other).otherwise(F.col("message"))
+    return B.commits(spark, d).groupBy(C.scope(message).alias("scope")).agg(F.count(F.lit(1)).alias("n")).where("scope is not null and n >= 5")
 
 
 @query("tx12_commit_keywords", r"""WITH w AS (SELECT author, unnest(string_split_regex(lower(message), '[^a-z]+')) AS word FROM commits), c AS (SELECT author, word, count(*) AS n FROM w WHERE length(word) > 3 AND word NOT IN ('from', 'pull', 'request', 'merge') GROUP BY 1, 2) SELECT author, word, n, row_number() OVER (PARTITION BY author ORDER BY n DESC, word) AS place FROM c QUALIFY place <= 5""", "commits")

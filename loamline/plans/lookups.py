@@ -299,10 +299,11 @@ def ag28(spark, d):
     return V.library_votes(manifests(spark, d))
 
 
-@query("ag28_layout", "WITH t AS (SELECT DISTINCT feature AS repo, CASE part % 4 WHEN 0 THEN 'server' WHEN 1 THEN 'libs' WHEN 2 THEN split_part(path, '/', 3) ELSE 'x' || part % 8 END AS dir, feature FROM files WHERE length(feature) = 7 OR part % 4 <> 2) SELECT repo, count(*) AS dirs, round(count(*) FILTER (dir IN ('server', 'libs')) / count(*), 6) AS ratio, CASE WHEN count(*) FILTER (dir IN ('server', 'libs')) > 0.5 * count(*) THEN 'layer' ELSE 'feature' END AS layout FROM t GROUP BY 1", "files")
+@query("ag28_layout", "WITH t AS (SELECT DISTINCT feature AS repo, CASE part % 4 WHEN 0 THEN ['server', 'fixtures', 'docs', '__mocks__', 'assets', 'samples'][CAST(part % 6 AS INTEGER) + 1] WHEN 1 THEN 'libs' WHEN 2 THEN split_part(path, '/', 3) ELSE 'x' || part % 8 END AS dir, feature FROM files WHERE length(feature) = 7 OR part % 4 <> 2) SELECT repo, count(*) AS dirs, round(count(*) FILTER (dir IN ('server', 'libs', 'fixtures', 'docs', '__mocks__', 'assets', 'samples')) / count(*), 6) AS ratio, CASE WHEN count(*) FILTER (dir IN ('server', 'libs', 'fixtures', 'docs', '__mocks__', 'assets', 'samples')) > 0.5 * count(*) THEN 'layer' ELSE 'feature' END AS layout FROM t GROUP BY 1", "files")
 def ag28_layout(spark, d):
     k = F.col("part") % 4
-    top = F.when(k == 0, "server").when(k == 1, "libs").when(k == 2, F.split("path", "/")[2]).otherwise(F.concat(F.lit("x"), (F.col("part") % 8).cast("string")))
+    layers = F.array(*map(F.lit, ("server", "fixtures", "docs", "__mocks__", "assets", "samples")))
+    top = F.when(k == 0, F.get(layers, (F.col("part") % 6).cast("int"))).when(k == 1, "libs").when(k == 2, F.split("path", "/")[2]).otherwise(F.concat(F.lit("x"), (F.col("part") % 8).cast("string")))
     f = B.files(spark, d).where("length(feature) = 7 or part % 4 <> 2")
     return V.layout(f.select(F.col("feature").alias("repo"), F.concat(top, F.lit("/"), "path").alias("path")))
 

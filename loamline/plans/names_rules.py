@@ -29,7 +29,7 @@ ROLE_CASES = (
     ("isLoading", "const", "loading-state"), ("hasPending", "const", "loading-state"), ("cartSubmitting", "const", "loading-state"), ("Refetching_all", "const", "loading-state"), ("isLoadingError", "const", "loading-state"), ("loading", "function", "helper"),
     ("formErrors", "const", "error-state"), ("ErrorMessage", "function", "error-state"), ("hasFailed", "const", "error-state"), ("terror", "function", "helper"), ("LoadFailure", "class", "error-state"), ("onError", "function", "error-state"),
     ("validateEmail", "function", "validator"), ("isValidCard", "function", "validator"), ("checkAccess", "function", "validator"), ("UserSchema", "const", "validator"), ("orderSchema", "const", "validator"), ("EmailValidator", "class", "validator"), ("ensure_open", "function", "validator"), ("checkout", "function", "helper"),
-    ("useUserQuery", "function", "data-fetching"), ("fetchOrders", "function", "data-fetching"), ("deleteItemAsync", "function", "data-fetching"), ("getName", "function", "data-fetching"),
+    ("useUserQuery", "function", "data-fetch"), ("fetchOrders", "function", "data-fetch"), ("deleteItemAsync", "function", "data-fetch"), ("getName", "function", "data-fetch"),
     ("useScrollEffect", "function", "side-effect"), ("onClose", "function", "side-effect"), ("beforeSaveHook", "function", "side-effect"),
     ("cartAtom", "const", "state"), ("useCart", "function", "state"), ("setOpen", "function", "state"), ("AuthContext", "const", "state"),
     ("handleSubmit", "function", "handler"), ("UserController", "class", "handler"), ("loginAction", "function", "handler"),
@@ -162,20 +162,20 @@ def rp21(spark, d):
     return B.files(spark, d).select(F.col("part").alias("k"), N.is_better_name(F.lit("billing"), F.get(names, (F.col("part") % 3).cast("int")), ["core", "app", "main"]).alias("better"))
 
 
-@query("ag17_route_merge", "WITH e AS (SELECT '/u/' || user_id % 20 AS route, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) AS i, value FROM events WHERE event_type = 'view'), s AS (SELECT route, count(*) AS n, list(value ORDER BY i) AS vs FROM e GROUP BY 1) SELECT route, n AS views, round(list_reduce(vs, lambda a, b: (a + b) / 2), 6) AS duration FROM s")
+@query("ag17_route_merge", "WITH e AS (SELECT '/u/' || user_id % 20 AS route, user_id, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) AS i, value FROM events WHERE event_type = 'view'), s AS (SELECT route, count(*) AS n, CAST(sum(user_id % 5) AS BIGINT) AS visitors, list(value ORDER BY i) AS vs FROM e GROUP BY 1) SELECT route, n AS views, visitors, round(list_reduce(vs, lambda a, b: (a + b) / 2), 6) AS duration FROM s")
 def ag17(spark, d):
-    """The running mean of each new value with what came before depends on the order, which is that of event_id. Written out it halves a value's weight with each later one, so it is a sum and no list is gathered."""
-    e = B.table(spark, d, "events").where("event_type = 'view'").select(F.concat(F.lit("/u/"), (F.col("user_id") % 20).cast("string")).alias("route"), "event_id", "value")
+    """Views and visitors (here user_id % 5 for each row) are summed. The running mean of each new value with what came before depends on the order, which is that of event_id. Written out it halves a value's weight with each later one, so it is a sum and no list is gathered."""
+    e = B.table(spark, d, "events").where("event_type = 'view'").select(F.concat(F.lit("/u/"), (F.col("user_id") % 20).cast("string")).alias("route"), "event_id", "value", (F.col("user_id") % 5).alias("visitors"))
     later = F.row_number().over(W.partitionBy("route").orderBy(F.desc("event_id")))
     n = F.count(F.lit(1)).over(W.partitionBy("route"))
     weighted = e.withColumn("later", later).withColumn("n", n).withColumn("w", F.pow(F.lit(0.5), F.when(F.col("later") == F.col("n"), F.col("n") - 1).otherwise(F.col("later"))))
-    return weighted.groupBy("route").agg(F.count(F.lit(1)).alias("views"), F.round(F.sum(F.col("value") * F.col("w")), 6).alias("duration"))
+    return weighted.groupBy("route").agg(F.count(F.lit(1)).alias("views"), F.sum("visitors").alias("visitors"), F.round(F.sum(F.col("value") * F.col("w")), 6).alias("duration"))
 
 
-@query("so2_disjoint_pairs", "WITH p AS (SELECT DISTINCT feature, flow, regexp_extract(path, '([a-z]+)_[^/]*$', 1) AS word FROM files), f AS (SELECT DISTINCT feature, flow FROM p) SELECT a.feature, a.flow AS f1, b.flow AS f2 FROM f a JOIN f b ON a.feature = b.feature AND a.flow < b.flow WHERE NOT EXISTS (SELECT 1 FROM p x JOIN p y ON x.word = y.word WHERE x.feature = a.feature AND x.flow = a.flow AND y.feature = b.feature AND y.flow = b.flow)", "files")
+@query("so2_disjoint_pairs", "WITH p AS (SELECT DISTINCT feature, flow, regexp_extract(path, '([a-z]+)_[^/]*$', 1) || part % 32 AS word FROM files), f AS (SELECT DISTINCT feature, flow FROM p) SELECT a.feature, a.flow AS f1, b.flow AS f2 FROM f a JOIN f b ON a.feature = b.feature AND a.flow < b.flow WHERE NOT EXISTS (SELECT 1 FROM p x JOIN p y ON x.word = y.word WHERE x.feature = a.feature AND x.flow = a.flow AND y.feature = b.feature AND y.flow = b.flow)", "files")
 def so2(spark, d):
-    """Pairs of a feature's flows whose files share no word."""
-    p = B.files(spark, d).select("feature", "flow", F.regexp_extract("path", "([a-z]+)_[^/]*$", 1).alias("word")).distinct()
+    """Pairs of a feature's flows whose files share no item: the word of the name with part % 32."""
+    p = B.files(spark, d).select("feature", "flow", F.concat(F.regexp_extract("path", "([a-z]+)_[^/]*$", 1), (F.col("part") % 32).cast("string")).alias("word")).distinct()
     return R.disjoint_pairs(p.select(F.col("feature").alias("group"), F.col("flow").alias("name"), F.col("word").alias("item"))).select(F.col("group").alias("feature"), "f1", "f2")
 
 

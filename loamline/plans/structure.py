@@ -288,15 +288,34 @@ def rp6(spark, d):
     return R.renamed(B.files(spark, d).select("feature", "path"), names).groupBy("feature").agg(F.count(F.lit(1)).alias("files"))
 
 
-@query("rp9_domain_promotion", "SELECT DISTINCT 'auth' AS domain, feature AS owner, flow || '-login' AS flow FROM files WHERE part % 6 = 0", "files")
+@query("rp9_domain_promotion", """WITH fo AS (SELECT part, flow, CASE WHEN part % 31 = 0 THEN 'documentation' WHEN part % 37 = 0 THEN 'Account Settings' WHEN part % 3 = 1 AND part % 7 = 0 THEN 'plans' ELSE feature END AS owner, CASE part % 5 WHEN 0 THEN 'sso/' WHEN 1 THEN 'stripe_' WHEN 2 THEN 'alert_rule/' ELSE 'x/' END || path AS path, CASE part % 5 WHEN 0 THEN 'auth' WHEN 1 THEN 'billing' WHEN 2 THEN 'notifications' END AS inside FROM files),
+fl AS (SELECT DISTINCT owner, flow || ['-sso', '-Pricing', '_alert_rule', '-email', '-view', '/MFA'][CAST(part % 6 AS INTEGER) + 1] AS flow, ['auth', 'billing', 'notifications', '', '', 'auth'][CAST(part % 6 AS INTEGER) + 1] AS domain FROM fo),
+ff AS (SELECT owner AS feature, path, inside FROM fo WHERE owner <> 'Account Settings' UNION SELECT 'Account Settings', 'settings/' || p_partkey, NULL FROM part WHERE p_partkey <= 6 UNION SELECT 'plans', 'plan/' || p_partkey, NULL FROM part WHERE p_partkey <= 40),
+moves AS (SELECT DISTINCT domain, CASE domain WHEN 'auth' THEN 'Account Settings' ELSE domain END AS target, domain = 'auth' AS backfill, owner, flow FROM fl WHERE domain IN ('auth', 'notifications') AND NOT (domain = 'auth' AND owner = 'Account Settings'))
+SELECT DISTINCT m.domain, target, backfill, 'path' AS kind, m.owner, path AS item FROM moves m JOIN ff ON ff.feature = m.owner AND inside = m.domain WHERE m.owner <> 'documentation' UNION ALL SELECT domain, target, backfill, 'flow', owner, flow FROM moves""", "files")
 def rp9(spark, d):
-    flows = B.files(spark, d).where("part % 3 = 0").select(F.col("feature").alias("owner"), F.concat("flow", F.when(F.col("part") % 6 == 0, "-login").otherwise("-view")).alias("flow")).distinct()
-    return R.promoted_domains(flows)
-
-
-@query("tk6_flow_cap", "WITH s AS (SELECT feature AS owner, flow, count(*) AS size FROM files GROUP BY 1, 2) SELECT owner, flow, CASE WHEN row_number() OVER w <= 3 THEN flow ELSE first_value(flow) OVER w END AS kept_as FROM s WINDOW w AS (PARTITION BY owner ORDER BY size DESC, flow)", "files")
+    """A small feature that covers `auth` by its name is filled up, a large one keeps `billing` as it is, `notifications` gets a feature; documentation keeps its paths."""
+    i = (F.col("part") % 6).cast("int")
+    owner = F.when(F.col("part") % 31 == 0, "documentation").when(F.col("part") % 37 == 0, "Account Settings").when((F.col("part") % 3 == 1) & (F.col("part") % 7 == 0), "plans").otherwise(F.col("feature"))
+    lead = F.get(F.array(*map(F.lit, ("sso/", "stripe_", "alert_rule/", "x/", "x/"))), (F.col("part") % 5).cast("int"))
+    own = B.files(spark, d).withColumn("owner", owner).withColumn("path", F.concat(lead, "path"))
+    flows = own.select("owner", F.concat("flow", F.get(F.array(*map(F.lit, ("-sso", "-Pricing", "_alert_rule", "-email", "-view", "/MFA"))), i)).alias("flow"))
+    p = B.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("k"), "p_partkey")
+    small = p.where("p_partkey <= 6").select(F.lit("Account Settings").alias("feature"), F.concat(F.lit("settings/"), "k").alias("path"))
+    large = p.where("p_partkey <= 40").select(F.lit("plans").alias("feature"), F.concat(F.lit("plan/"), "k").alias("path"))
+    features = own.where("owner <> 'Account Settings'").select(F.col("owner").alias("feature"), "path").unionByName(small).unionByName(large)
+    return R.promoted_domains(flows, features)
+
+
+@query("tk6_flow_cap", r"""WITH f AS (SELECT feature AS owner, split_part(flow, '-', 2) || part % 3 AS flow, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM (SELECT feature, flow, part, CASE WHEN part % 3 = 2 AND p_size % 2 = 0 THEN 'alone/' || part ELSE path END AS path FROM files JOIN part ON p_partkey = part)),
+s AS (SELECT owner, flow, row_number() OVER (PARTITION BY owner ORDER BY count(*) DESC, flow) AS place FROM f GROUP BY 1, 2), pl AS (SELECT * FROM f JOIN s USING (owner, flow)), dirs AS (SELECT owner, dir, min(place) AS place FROM pl WHERE place <= 3 GROUP BY 1, 2),
+sc AS (SELECT owner, flow, d.place, count(*) AS n FROM pl JOIN dirs d USING (owner, dir) WHERE pl.place > 3 GROUP BY 1, 2, 3), b AS (SELECT owner, flow, min_by(place, (-n, place)) AS place FROM sc GROUP BY 1, 2)
+SELECT s.owner, s.flow, k.flow AS kept_as FROM s LEFT JOIN b USING (owner, flow) JOIN s k ON k.owner = s.owner AND k.place = CASE WHEN s.place <= 3 THEN s.place ELSE coalesce(b.place, 1) END""", "files")
 def tk6(spark, d):
-    return R.capped_flows(B.files(spark, d).groupBy(F.col("feature").alias("owner"), "flow").agg(F.count(F.lit(1)).alias("size")), most=3)
+    size = B.table(spark, d, "part").select(F.col("p_partkey").alias("part"), "p_size")
+    f = B.files(spark, d).join(size, "part")
+    path = F.when((F.col("part") % 3 == 2) & (F.col("p_size") % 2 == 0), F.concat(F.lit("alone/"), F.col("part").cast("string"))).otherwise(F.col("path"))
+    return R.capped_flows(f.select(F.col("feature").alias("owner"), F.concat(F.split("flow", "-")[1], (F.col("part") % 3).cast("string")).alias("flow"), path.alias("path")), most=3)
 
 
 @query("so3_exact_cover", "WITH p AS (SELECT feature, flow, path FROM files WHERE NOT (feature = 'brand7' AND part % 5 = 0)) SELECT feature, count(DISTINCT flow) BETWEEN 2 AND 8 AND count(*) = (SELECT count(*) FROM files f WHERE f.feature = p.feature) AS valid FROM p GROUP BY 1", "files")
