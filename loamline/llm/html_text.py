@@ -9,7 +9,9 @@ stands in nearly all pages of its slot is template too, a slot that holds mostly
 left of the slots is extracted, of those inside article or main elements where the page has such.
 
 What HTML itself marks as something else than the article (nav, footer, form, hidden elements and so on)
-is left out before that, and so are containers and inline elements whose whole name says so.
+is left out before that, and so are containers and inline elements whose whole name says so. Names that an article's own sections may have as well (`related`, `notice`, `search`)
+are evidence only: inside an article such an element goes if its host repeats it page after page, or if it
+holds mostly links.
 """
 
 from __future__ import annotations
@@ -29,26 +31,53 @@ from .shared import cut, mapped, stored
 #: Bytes of templates that are sent to every executor; more are met by a join on the host.
 BROADCAST_BYTES = 48 << 20
 
+#: Characters of an element's path, beyond which what stands above it is named by a hash.
+LONGEST_PATH = 1000
+
 _OUT = frozenset("nav footer aside form menu dialog button select option textarea head noscript template iframe object svg canvas audio video script style title".split())
-#: What containers and inline elements may be called by class, id or role if they are no part of an article, and words that only lay out.
-_ROLES = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo nav navbar navigation menu sidebar comment comments disqus notice cookie cookies consent gdpr popup modal newsletter subscribe subscription footer breadcrumb breadcrumbs share sharing social related recommended login signup search pagination pager contentinfo complementary".split())
+#: What containers and inline elements may be called by class, id or role if they are no part of an article; the same for names that sections of an article may have too; and words that only lay out.
+_ROLES = frozenset("ad ads advert adverts advertisement advertising sponsored nav navbar navigation menu sidebar comment comments disqus response responses reply replies cookie cookies consent gdpr newsletter subscription footer breadcrumb breadcrumbs pagination pager contentinfo".split())
+_MAYBE = frozenset("banner sponsor promo notice popup modal subscribe share sharing social related recommended login signup search complementary".split())
 _HEADERS = frozenset(("header", "masthead"))
 _LAYOUT = frozenset("box block list section area wrap wrapper container inner outer top bottom left right main side slot unit bar widget item items group panel site page the links nav".split())
 _NAMED_BY = frozenset("div section ul ol dl table td center header span a em strong b i small ins font label figure details".split())
 _BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul title head".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _ENDS_P = _BLOCKS - {"html", "body", "head", "title"}
-_RAW = "script|style|noscript|template|iframe|textarea|svg|title"
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(" + _RAW + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
+_RAW = frozenset("script style noscript template iframe textarea svg title".split())
+# an attribute's value may be quoted or hold stray quotes; no part of a tag is read twice
+_TOKEN = re.compile(r"<!--(?P<comment>)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<rest>(?>[^>=]+|=\s*+(?>\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+)>|<[!?/][^>]*+>")
+_RAW_END = {tag: re.compile(rf"</{tag}\s*+>", re.I) for tag in _RAW}
+_TAG = re.compile(r"<[!?/a-zA-Z]")
 _NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _WORDS = re.compile(r"[a-z]+")
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
-def _named(tag: str, attributes: str, own: bool = True) -> tuple[str, bool]:
-    """What class, id and role call an element (digits left out), and whether it is hidden or called something else than an article's part; outside of articles that is a header too."""
-    names, out = [], False
+def _tokens(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, stop, tag, whether it ends, attributes) of each tag; comments and what must not be read as markup have no tag name. Each character is passed a bounded number of times, however broken the page."""
+    last, at = page.rfind(">") + 1, 0
+    while m := _TOKEN.search(page, at, last):
+        at = m.end()
+        if m["comment"] is not None:
+            at = found + 3 if (found := page.find("-->", at)) >= 0 else len(page)
+            yield m.start(), at, "", False, ""
+            continue
+        tag = (m["tag"] or "").lower()
+        if tag in _RAW and not m["end"]:
+            end = _RAW_END[tag].search(page, at)
+            at = end.end() if end else len(page)
+            yield m.start(), at, "", False, ""
+            continue
+        yield m.start(), at, tag, bool(m["end"]), m["rest"] or ""
+    if at < len(page) and (m := _TAG.search(page, max(at, last))):  # a tag that the page's end cuts
+        yield m.start(), len(page), "", False, ""
+
+
+def _named(tag: str, attributes: str, own: bool = True) -> tuple[str, bool, bool]:
+    """What class, id and role call an element (digits left out), whether it is hidden or called something else than an article's part, and whether its name only suggests so; outside of articles a suggestion is enough, and a header is out too."""
+    names, out, maybe = [], False, False
     for kind, a, b, c in _NAMED.findall(attributes):
         kind, value = kind.lower(), (a or b or c).lower()
         if kind == "hidden" or kind == "aria-hidden" and value == "true" or kind == "style" and _UNSEEN.search(value):
@@ -58,20 +87,29 @@ def _named(tag: str, attributes: str, own: bool = True) -> tuple[str, bool]:
                 words = _WORDS.findall(token)
                 names += words
                 said = [w for w in words if w not in _LAYOUT] or words
-                if tag in _NAMED_BY and said and all(w in _ROLES or not own and w in _HEADERS for w in said):
-                    out = True
-    return ".".join(names[:6]), out
+                if tag in _NAMED_BY and said and all(w in _ROLES or w in _MAYBE or not own and w in _HEADERS for w in said):
+                    if own and any(w in _MAYBE for w in said):
+                        maybe = True
+                    else:
+                        out = True
+    return ".".join(names[:6]), out, maybe and not out
 
 
 def items_of(page: str) -> list[tuple[str, str | None, bool, int]]:
-    """The page in order: (path, None, ..) where an element starts, (path/, None, ..) where it ends, (path, text, whether in an article or main element, characters of links) for blocks.
+    """The page in order: (path, None, ..) where an element starts, (path/, None, ..) where it ends, (path, text, whether in an article or main element, characters of links) for blocks."""
+    return [x[:4] for x in judged_items(page)]
+
+
+def judged_items(page: str) -> list[tuple[str, str | None, bool, int, str]]:
+    """As items_of, with the path of the element around whose name suggests that it is no content (empty if there is none).
 
     Blocks of elements that are no content are left out. A form is content if it holds half of all text.
     """
-    stack: list[tuple[str, str, bool, bool, int]] = []  # tag, path, left out, in an article, number of its form
-    items: list[tuple[str, str | None, bool, int, int]] = []
+    stack: list[tuple[str, str, bool, bool, int, str]] = []  # tag, path, left out, in an article, number of its form or name, suggested
+    items: list[tuple[str, str | None, bool, int, int, str]] = []
     text: list[str] = []
     links = forms = linked = 0
+    open_tags: Counter = Counter()
     skipped, depth = "", 0  # an inline element that is left out
 
     def flush() -> None:
@@ -80,8 +118,8 @@ def items_of(page: str) -> list[tuple[str, str | None, bool, int]]:
             joined = " ".join("".join(text).split())
             text.clear()
             if joined and not (stack and stack[-1][2]):
-                _, path, _, own, form = stack[-1] if stack else ("", "", False, False, 0)
-                items.append((path, joined, own, min(links, len(joined)), form))
+                _, path, _, own, form, maybe = stack[-1] if stack else ("", "", False, False, 0, "")
+                items.append((path, joined, own, min(links, len(joined)), form, maybe))
         links = 0
 
     def said(piece: str) -> None:
@@ -94,23 +132,21 @@ def items_of(page: str) -> list[tuple[str, str | None, bool, int]]:
 
     def closed() -> str:
         tag, path, *_ = stack.pop()
-        items.append((path + "/", None, False, 0, 0))
+        items.append((path + "/", None, False, 0, 0, ""))
         return tag
 
     at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            said(page[at : m.start()])
-        at = m.end()
-        tag = m[3]
-        if tag is None:
+    for start, stop, tag, ends, attributes in _tokens(page):
+        if start > at:
+            said(page[at:start])
+        at = stop
+        if not tag:
             continue
-        tag = tag.lower()
         if tag == "br":
             text.append(" ")
             continue
         if tag not in _BLOCKS and tag not in _OUT:
-            if m[2]:
+            if ends:
                 if tag == "a":
                     linked = 0
                 if tag == skipped:
@@ -122,42 +158,48 @@ def items_of(page: str) -> list[tuple[str, str | None, bool, int]]:
                     linked = 1
                 if skipped:
                     depth += tag == skipped
-                elif tag not in _VOID and m[4] and _named(tag, m[4])[1]:
+                elif tag not in _VOID and attributes and any(_named(tag, attributes)[1:]):
                     skipped, depth = tag, 1
             continue
         flush()
         skipped, linked = "", 0
-        if m[2]:
-            if any(e[0] == tag for e in stack):
-                while closed() != tag:
-                    pass
+        if ends:
+            if open_tags[tag]:
+                while (gone := closed()) != tag:
+                    open_tags[gone] -= 1
+                open_tags[tag] -= 1
             continue
         if tag in _VOID:
             continue
         if tag in _ENDS_P and stack and stack[-1][0] == "p":
-            closed()
+            open_tags[closed()] -= 1
         if tag in ("li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] == tag:
-            closed()
-        _, above, up_out, up_own, form = stack[-1] if stack else ("", "", False, False, 0)
-        names, out = _named(tag, m[4], up_own) if m[4] else ("", False)
+            open_tags[closed()] -= 1
+        _, above, up_out, up_own, form, maybe = stack[-1] if stack else ("", "", False, False, 0, "")
+        names, out, may = _named(tag, attributes, up_own) if attributes else ("", False, False)
         if tag == "form":
             forms += 1
             form = form or forms
         out = up_out or out or tag in _OUT and tag != "form" or tag == "header" and not up_own
+        if len(above) > LONGEST_PATH:
+            above = xxhash.xxh64_hexdigest(above)
         path = f"{above}/{tag}" + (f".{names}" if names else "")
-        items.append((path, None, False, 0, 0))
-        stack.append((tag, path, out, up_own or not out and tag in ("article", "main") or not out and names.split(".")[0] == "main", form))
+        suggested = may and not maybe and not out
+        maybe = maybe or (path if may else "")
+        items.append((path, None, False, 0, 0, path if suggested else ""))
+        open_tags[tag] += 1
+        stack.append((tag, path, out, up_own or not out and tag in ("article", "main") or not out and names.split(".")[0] == "main", form, maybe))
     if at < len(page):
         said(page[at:])
     flush()
     kept = {0}
     if forms:
         sizes = Counter()
-        for _, t, _, _, form in items:
+        for _, t, _, _, form, _ in items:
             if t:
                 sizes[form] += len(t)
         kept |= {form for form, n in sizes.items() if 2 * n >= sizes.total()}
-    return [x[:4] for x in items if x[1] is None or x[4] in kept]
+    return [(*x[:4], x[5]) for x in items if x[1] is None or x[4] in kept]
 
 
 def token_of(path: str, text: str | None) -> int:
@@ -171,16 +213,16 @@ def host_of(url: Column) -> Column:
 
 
 def sequences(pages: DataFrame) -> DataFrame:
-    """From (k, u, host, p): (host, pid, tokens, chars, links, own) of every page with blocks; chars is -1 for elements, links -1 for headings."""
+    """From (k, u, host, p): (host, pid, tokens, chars, links, own) of every page with blocks; chars is -1 for elements, links -1 for headings, own marks blocks of an article and elements whose name suggests that they are none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = (pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.bool_()))
         for b in batches:
             rows = []
             for k, u, host, p in zip(*b.columns, strict=True):
-                items = items_of(p.as_py() or "")
-                if any(t for _, t, _, _ in items):
-                    tokens, chars, links, own = zip(*[(token_of(x, t), -1 if t is None else len(t), -1 if t and _is_heading(x) else n, o) for x, t, o, n in items], strict=True)
+                items = judged_items(p.as_py() or "")
+                if any(x[1] for x in items):
+                    tokens, chars, links, own = zip(*[(token_of(x, t), -1 if t is None else len(t), -1 if t and _is_heading(x) else n, o or t is None and bool(maybe)) for x, t, o, n, maybe in items], strict=True)
                     rows.append((host.as_py(), xxhash.xxh64_intdigest(f"{k}\0{u}") - (1 << 63), tokens, chars, links, own))
             host, pid, *arrays = zip(*rows, strict=True) if rows else ((),) * 6
             yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(pid, pa.int64()), *[pa.array(a, t) for a, t in zip(arrays, lists, strict=True)]], names=["host", "pid", "tokens", "chars", "links", "own"])
@@ -193,21 +235,23 @@ def _is_heading(path: str) -> bool:
 
 
 def occurrences(seqs: DataFrame) -> DataFrame:
-    """(host, token, n, v1, v2): pages that hold an element and the digest of its occurrence vector. Summed in tasks before the shuffle."""
+    """(host, token, n, v1, v2, maybe): pages that hold an element, the digest of its occurrence vector, and whether its name suggests that it is no content. Summed in tasks before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sums: dict[tuple, list[int]] = {}
-            for host, pid, tokens, chars in zip(*(b.column(c).to_pylist() for c in ("host", "pid", "tokens", "chars")), strict=True):
+            for host, pid, tokens, chars, own in zip(*(b.column(c).to_pylist() for c in ("host", "pid", "tokens", "chars", "own")), strict=True):
+                suggested = {t for t, x, o in zip(tokens, chars, own, strict=True) if x < 0 and o}
                 for token, n in Counter(t for t, x in zip(tokens, chars, strict=True) if x < 0).items():
                     v = xxhash.xxh64_intdigest(f"{pid}\0{n}")
-                    s = sums.setdefault((host, token), [0, 0, 0])
+                    s = sums.setdefault((host, token), [0, 0, 0, token in suggested])
                     s[0] += 1
                     s[1] += v & 0x7FFFFFFF
                     s[2] += v >> 33
-            yield _columns([(*k, *s) for k, s in sums.items()], [pa.string(), *[pa.int64()] * 4], ["host", "token", "n", "v1", "v2"])
+            yield _columns([(*k, *s) for k, s in sums.items()], [pa.string(), *[pa.int64()] * 4, pa.bool_()], ["host", "token", "n", "v1", "v2", "maybe"])
 
-    return mapped(seqs.select("host", "pid", "tokens", "chars"), run, "host string, token long, n long, v1 long, v2 long").groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("n", "v1", "v2")])
+    rows = mapped(seqs.select("host", "pid", "tokens", "chars", "own"), run, "host string, token long, n long, v1 long, v2 long, maybe boolean")
+    return rows.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("n", "v1", "v2")], F.max("maybe").alias("maybe"))
 
 
 def _columns(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
@@ -336,26 +380,39 @@ def slot_texts(seqs: DataFrame, by_host: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame, *, support: int = 3, share: float = 0.05, fixed: float = 0.8) -> DataFrame:
-    """From (k, u, host, p): one row for each host with valid classes: their tokens (known, cids), texts that are template (`fixed`, `often`: hashes of slot and text, pages) and slots that are menus."""
+    """From (k, u, host, p): one row for each host with valid classes: their tokens (known, cids), texts that are template (`fixed`, `often`: hashes of slot and text, pages), slots that are menus, and elements that pages repeat and whose name suggests that they are no content (such hosts have a row without classes too)."""
     seqs = stored(sequences(pages.where("host <> ''")))
     hosts = seqs.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    classes = cut(equivalence_classes(occurrences(seqs), hosts, support=support, share=share))
+    counted = cut(occurrences(seqs))
+    classes = cut(equivalence_classes(counted, hosts, support=support, share=share))
+    again = counted.where("maybe").join(hosts, "host").where((F.col("n") >= support) & (F.col("n") >= share * F.col("pages"))).groupBy("host").agg(F.collect_list("token").alias("repeated"))
     by_host = _listed(valid_classes(seqs, classes))
     found = cut(slot_texts(seqs, by_host))
     slots = found.where("token = 0").select("host", "slot", F.col("n").alias("within"), (F.col("links") * 2 > F.col("chars")).alias("menu"))
     often = found.where((F.col("token") != 0) & (F.col("n") >= support)).drop("chars", "links").join(slots.where(F.col("within") >= support), ["host", "slot"]).where(F.col("n") >= fixed * F.col("within"))
     texts = often.groupBy("host").agg(F.collect_list(F.struct("slot", "token", "n")).alias("x")).select("host", F.col("x.slot").alias("fixed_slots"), F.col("x.token").alias("fixed_texts"), F.col("x.n").alias("often"))
     menus = slots.where("menu").join(hosts, "host").where((F.col("within") >= support) & (F.col("within") >= share * F.col("pages"))).groupBy("host").agg(F.collect_list("slot").alias("menus"))
-    return by_host.join(texts, "host", "left").join(menus, "host", "left")
+    return by_host.join(texts, "host", "left").join(menus, "host", "left").join(again, "host", "full")
+
+
+def _left_in(items: list[tuple[str, str | None, bool, int, str]], repeated: set[int] | frozenset[int]) -> list[tuple[str, str | None, bool, int]]:
+    """The items without blocks of elements whose name suggests that they are no content, where the host repeats the element or it holds mostly links."""
+    sizes: dict[str, list[int]] = {}
+    for path, t, _, links, maybe in items:
+        if t and maybe and not _is_heading(path):
+            s = sizes.setdefault(maybe, [0, 0])
+            s[0], s[1] = s[0] + len(t), s[1] + links
+    gone = {x for x, (n, links) in sizes.items() if 2 * links > n} | {x[4] for x in items if x[4] and token_of(x[4], None) in repeated}
+    return [x[:4] for x in items if x[1] is None or x[4] not in gone]
 
 
-def main_text(page: str, class_of: dict[int, tuple[int, int]], fixed: dict[tuple[int, int], int], menus: set[int]) -> str:
+def main_text(page: str, class_of: dict[int, tuple[int, int]], fixed: dict[tuple[int, int], int], menus: set[int], repeated: set[int] | frozenset[int] = frozenset()) -> str:
     """The page's blocks in slots, without template texts and menus.
 
     If nothing but template texts is left, the page is one of very many copies on its host; then only those
     that stand on the most pages are template.
     """
-    items = items_of(page)
+    items = _left_in(judged_items(page), repeated)
     tokens = [token_of(p, t) for p, t, _, _ in items]
     slots, _, _ = walk(tokens, class_of) if class_of else ([((0, 0), 0)] * len(items), {}, set())
     blocks = [(t, own, token, slot_key(slot) if class_of else 0) for (_, t, own, _), token, slot in zip(items, tokens, slots, strict=True) if t is not None]
@@ -374,12 +431,13 @@ def extracted(pages: DataFrame, *, page: str = "html", url: str = "url", key: st
     its character references decoded, joined by one space; empty if there are none. A class needs
     `support` pages and `share` of its host's, a text `fixed` of its slot's pages to be template; a host of
     fewer pages has no template, and a page with no (or an odd) url no host: they are read by their own
-    elements. Null pages are empty. Repeated rows stay repeated. Broken markup is read to its end. Counts
+    elements. Null pages are empty, an empty table gives an empty one, and columns of other names are
+    ignored, whatever they are called. Repeated rows stay repeated. Broken markup is read to its end. Counts
     are summed in tasks before the shuffle, so a host with most pages is no single task's; pages
     themselves are not shuffled while the templates are few enough to be sent to all.
     """
     slim = pages.select(F.col(key).alias("k"), F.col(url).cast("string").alias("u"), host_of(F.col(url).cast("string")).alias("host"), F.col(page).cast("string").alias("p"))
-    met = _with_host(slim, cut(templates(slim, support=support, share=share, fixed=fixed))).select("k", "u", "host", "p", "known", "pages", "cids", "fixed_slots", "fixed_texts", "often", "menus")
+    met = _with_host(slim, cut(templates(slim, support=support, share=share, fixed=fixed))).select("k", "u", "host", "p", "known", "pages", "cids", "fixed_slots", "fixed_texts", "often", "menus", "repeated")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -387,8 +445,8 @@ def extracted(pages: DataFrame, *, page: str = "html", url: str = "url", key: st
             texts = []
             for i, (host, p) in enumerate(zip(b.column("host").to_pylist(), b.column("p"), strict=True)):
                 if host not in known:
-                    tokens, counts, cids, slots, fixed_texts, often, menus = (b.column(c)[i].as_py() or [] for c in ("known", "pages", "cids", "fixed_slots", "fixed_texts", "often", "menus"))
-                    known[host] = classes_of(tokens, counts, cids), dict(zip(zip(slots, fixed_texts, strict=True), often, strict=True)), set(menus)
+                    tokens, counts, cids, slots, fixed_texts, often, menus, repeated = (b.column(c)[i].as_py() or [] for c in ("known", "pages", "cids", "fixed_slots", "fixed_texts", "often", "menus", "repeated"))
+                    known[host] = classes_of(tokens, counts, cids), dict(zip(zip(slots, fixed_texts, strict=True), often, strict=True)), set(menus), set(repeated)
                 texts.append(main_text(p.as_py() or "", *known[host]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["k", "u", "text"])
 

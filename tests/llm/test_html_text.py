@@ -70,3 +70,43 @@ def test_walk_finds_slots_order_and_cuts():
     assert [s for s, t in zip(slots, [1, 4, 0, 2, 5, 0, 6, 0, 3, 0]) if t == 0] == [((5, 8), 1), ((5, 8), 2), ((9, 7), 2), ((0, 0), 0)] and not bad
     assert h.walk([1, 4, 2, 5, 6, 3], class_of)[1] == forms and h.walk([1, 4, 5, 2, 6, 3], class_of)[1] != forms
     assert h.walk([1, 2, 3, 1, 3, 2], class_of)[2] == {(9, 7)}
+
+
+@pytest.mark.parametrize("page, text", [
+    ('<article><section class="social"><h2>Social life of bees {i}</h2><p>They live {i} together</p></section></article>', "Social life of bees {i} They live {i} together"),
+    ('<main><div class="search"><p>How we search {i} things</p></div></main>', "How we search {i} things"),
+    ('<article><p>Text {i}</p><section class="related"><p>Work {i} that came before</p></section><div class="notice"><p>Note {i} well</p></div></article>', "Text {i} Work {i} that came before Note {i} well"),
+    ('<article><p data-x=it\'s>one {i}</p><p class=a"b>two {i}</p><p title="a > b">three {i}</p><p title = \'x>y\' id="q">four {i}</p></article>', "one {i} two {i} three {i} four {i}"),
+    ('<article><p>Story {i}</p></article><div class="responses"><p>reader says {i}</p></div>', "Story {i}"),
+    ('<p>Seen {i}</p><script>if (a < b) document.write("<p>no</p>")</script><p>end {i}</p><!-- <p>x</p> --><p>and <b', "Seen {i} end {i} and"),
+    ('<p>a < b and {i} > c</p><p>1 <2', "a < b and {i} > c 1 <2"),
+])
+def test_names_are_evidence_and_markup_is_html(spark, page, text):
+    assert h.main_text(page.format(i=7), {}, {}, set()) == text.format(i=7)
+    assert extracted(spark, [(i, f"http://{i}.example/", page.format(i=i)) for i in range(3)]) == {i: text.format(i=i) for i in range(3)}
+
+
+def test_the_host_decides_what_a_name_only_suggests(spark):
+    page = '<article><h1>Head {i}</h1><p>Story {i} goes on</p><div class="{name}"><p>Also see {i} of all</p></div></article>'
+    rows = [(100 * s + i, f"http://s{s}.example/{i}", page.format(i=f"{i}x{s}", name=name)) for s, name in enumerate(("related", "more-facts")) for i in range(12)]
+    rows += [(300 + i, f"http://s3.example/{i}", page.format(i=f"{i}x3", name="related" if i == 5 else "c")) for i in range(90)]
+    got = extracted(spark, rows)
+    assert {got[i] for i in range(12)} == {f"Head {i}x0 Story {i}x0 goes on" for i in range(12)}
+    assert {got[100 + i] for i in range(12)} == {f"Head {i}x1 Story {i}x1 goes on Also see {i}x1 of all" for i in range(12)}
+    assert got[305] == "Head 5x3 Story 5x3 goes on Also see 5x3 of all"
+
+
+def test_broken_and_deep_pages_take_linear_time():
+    import time
+
+    for page, text in (("<script " * 50_000, ""), ("<a href='" * 50_000, ""), ("<!-- " * 80_000, ""), ("<p x=\"" * 60_000 + ">", ""), ("<p>a" + "<div>" * 60_000 + "x" + "</p>" * 60_000, "a x"), ("<svg>" * 50_000 + "<p>x", ""), ("&amp" * 100_000 + "<p>", "&" * 100_000)):
+        at = time.perf_counter()
+        assert h.main_text(page, {}, {}, set()) == text
+        assert time.perf_counter() - at < 5
+
+
+def test_odd_tables(spark):
+    got = h.extracted(spark.createDataFrame([], KINDS))
+    assert got.count() == 0 and got.columns == ["page_id", "url", "text", "n_chars"]
+    clash = spark.createDataFrame([(None, None, "<p>a</p>", 1, 2, "x"), (1, "http://a.example", None, 1, 2, "x"), (1, "http://a.example", None, 1, 2, "x")], KINDS + ", k int, pages int, host string")
+    assert sorted((r.page_id or 0, r.text, r.n_chars) for r in h.extracted(clash).collect()) == [(0, "a", 1), (1, "", 0), (1, "", 0)]
