@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from .modules import module_edges
 
 _TS, _PY, _GO, _RS = r"\.(?:ts|tsx|js|jsx|mjs)$", r"\.py$", r"\.go$", r"\.rs$"
 
@@ -150,8 +151,9 @@ def http_edges(calls: DataFrame, served: DataFrame) -> DataFrame:
 
 
 def symbol_graph(sources: DataFrame, files: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
-    """(src, dst, symbol): imports that resolve to a file of `files` (path), and calls of clients to the servers of their routes."""
-    return resolved(imports(sources), files, aliases).unionByName(http_edges(client_calls(sources), routes(sources))).distinct()
+    """(src, dst, symbol): imports of all languages that resolve to a file of `files` (path), and calls of clients to the servers of their routes."""
+    scripts = resolved(imports(sources.where(F.col("path").rlike(_TS))), files, aliases)
+    return scripts.unionByName(module_edges(sources, files)).unionByName(http_edges(client_calls(sources), routes(sources))).distinct()
 
 
 def reversed_graph(graph: DataFrame) -> DataFrame:

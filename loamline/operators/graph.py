@@ -6,6 +6,7 @@ import re
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -44,20 +45,26 @@ def components(edges: DataFrame, a: str = "f1", b: str = "f2") -> DataFrame:
 def reach(edges: DataFrame, seeds: DataFrame, *, depth: int = 3, most: int | None = None) -> DataFrame:
     """(seed, node, depth) of nodes within `depth` edges src -> dst of each seed, with the least depth.
 
-    seeds: (seed, node). With `most`, each seed keeps its first `most` nodes by depth and name.
+    seeds: (seed, node). With `most`, each seed keeps its first `most` nodes by depth and name; one that is full
+    is not followed further.
     """
+    steps = edges.select("src", "dst").distinct()
     found = cut(seeds.select("seed", "node").distinct().withColumn("depth", F.lit(0)))
     level = found
+    if most is not None:
+        level = found = found.withColumn("i", F.row_number().over(W.partitionBy("seed").orderBy("node"))).where(F.col("i") <= most).drop("i")
     for d in range(1, depth + 1):
-        step = level.join(edges, level["node"] == edges["src"]).select("seed", F.col("dst").alias("node")).distinct()
-        level = cut(step.join(found, ["seed", "node"], "left_anti").withColumn("depth", F.lit(d)))
+        if most is not None:
+            room = found.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < most)
+            level = level.join(room, "seed")
+        step = level.join(steps, level["node"] == steps["src"]).select("seed", F.col("dst").alias("node"), *([] if most is None else ["n"])).distinct()
+        new = step.join(found, ["seed", "node"], "left_anti")
+        if most is not None:
+            place = F.row_number().over(W.partitionBy("seed").orderBy("node"))
+            new = new.withColumn("place", place).where(F.col("place") <= most).where(f"place + n <= {most}").select("seed", "node")
+        level = cut(new.withColumn("depth", F.lit(d)))
         found = found.unionByName(level)
-    if most is None:
-        return found
-    from pyspark.sql import Window as W
-
-    place = F.row_number().over(W.partitionBy("seed").orderBy("depth", "node"))
-    return found.withColumn("place", place).where(F.col("place") <= most).drop("place")
+    return found
 
 
 def cohesion(edges: DataFrame, members: DataFrame) -> DataFrame:

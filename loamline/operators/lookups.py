@@ -11,6 +11,10 @@ HANDLER_HINTS = "api/ /route handler controllers/ services/ actions/ mutations/
 NOISE_HINTS = "/__tests__/ .test. .spec. /tests/ /fixtures/ /i18n/ /locales/ /translation .d.ts /icons/ /assets/".split()
 
 
+# Words of flows' names that say nothing of their files.
+STOP_WORDS = "flow the a an of to from and or with by in on for as view page".split()
+
+
 def resolved(features: DataFrame, probes: DataFrame) -> DataFrame:
     """(probe, feature): the first feature of the map whose display name, name, an alias or a label is the probe, case and outer blanks aside.
 
@@ -94,7 +98,7 @@ def name_matches(flows: DataFrame, files: DataFrame, *, most: int = 8) -> DataFr
     parent = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
     weighed = lambda c, k: F.transform(tokens(c), lambda w: F.struct(w.alias("w"), F.lit(k).alias("k")))
     own = files.select("owner", "path", F.explode(F.concat(weighed(stem, 2), weighed(parent, 1))).alias("x"))
-    words = flows.select("flow", "owner", F.explode(F.array_remove(tokens(F.col("flow")), "flow")).alias("w")).distinct()
+    words = flows.select("flow", "owner", F.explode(F.array_except(tokens(F.col("flow")), F.array(*map(F.lit, STOP_WORDS)))).alias("w")).distinct()
     score = words.join(own.select("owner", "path", "x.w", "x.k"), ["owner", "w"]).groupBy("flow", "owner", "path").agg(F.sum("k").alias("score"))
     place = F.row_number().over(W.partitionBy("flow", "owner").orderBy(F.desc("score"), "path"))
     return score.withColumn("i", place).where(F.col("i") <= most).drop("i")

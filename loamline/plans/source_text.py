@@ -97,14 +97,20 @@ def tx8(spark, d):
 
 ROUTES = f"ro AS ({expected(4, 'method pattern framework')}), ca AS ({expected(5, 'line method pattern kind', (0,))}), he AS (SELECT DISTINCT ca.path AS src, ro.path AS dst, '@http' AS symbol FROM ca JOIN ro ON ca.pattern = ro.pattern AND (ca.method = ro.method OR ca.method = '*' OR ro.method = '*'))"
 SHARED = "src/shared/util.ts"
-GRAPH = f"{ROUTES}, im AS (SELECT DISTINCT path AS src, {q(SHARED)} AS dst, symbol FROM ({expected(3, 'module symbol')}) WHERE module = '@/shared/util'), gr AS (SELECT * FROM he UNION SELECT * FROM im)"
+CALLER = "package g\nimport (\n\tst \"example.com/app/store\"\n\t\"fmt\"\n)\nfunc F() { st.Open(1) }\n"
+SILENT = "package g\nimport _ \"example.com/app/store\"\n"
+#: Edges of the other languages: packages, a crate's module, a folder below go.mod.
+MODULES = f"""SELECT {filled(CASES[3][0])} AS src, 'pkg/mod.py' AS dst, symbol FROM files, (SELECT unnest(['a', 'b']) AS symbol) WHERE part % {len(CASES)} = 3 UNION SELECT {filled(CASES[5][0])}, 'src/db.rs', symbol FROM files, (SELECT unnest(['Pool', 'Row']) AS symbol) WHERE part % {len(CASES)} = 5
+ UNION SELECT 'internal/g' || part || '.go', 'store/a.go', CASE WHEN part % 3 = 0 THEN '@import' ELSE 'Open' END FROM files WHERE part % 8 = 4"""
+GRAPH = f"{ROUTES}, im AS (SELECT DISTINCT path AS src, {q(SHARED)} AS dst, symbol FROM ({expected(3, 'module symbol')}) WHERE module = '@/shared/util'), mo AS ({MODULES}), gr AS (SELECT * FROM he UNION SELECT * FROM im UNION SELECT * FROM mo)"
 
 
 def graph(spark, d):
-    """Imports between files and calls between client and server, forward."""
-    s = sources(spark, d)
-    files = s.select("path").unionByName(spark.createDataFrame([(SHARED,)], "path string"))
-    return X.symbol_graph(s, files)
+    """Imports of four languages between files and calls between client and server, forward."""
+    go = B.files(spark, d).where("part % 8 = 4").select(F.concat(F.lit("internal/g"), F.col("part").cast("string"), F.lit(".go")).alias("path"), F.when(F.col("part") % 3 == 0, SILENT).otherwise(CALLER).alias("content"))
+    s = sources(spark, d).unionByName(go).unionByName(spark.createDataFrame([("go.mod", "module example.com/app\n")], "path string, content string"))
+    more = [(SHARED,), ("pkg/mod.py",), ("pkg/mod/__init__.py",), ("src/pkg/mod.py",), ("src/db.rs",), ("src/db/mod.rs",), ("store/a.go",), ("store/a_test.go",), ("store/b.go",)]
+    return X.symbol_graph(s, s.select("path").unionByName(spark.createDataFrame(more, "path string")))
 
 
 @query("gr4_symbol_graph", f"WITH {GRAPH} SELECT src, dst, symbol FROM gr", "files")

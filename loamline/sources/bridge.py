@@ -89,6 +89,13 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.join(f.select(F.col("part").alias("l_partkey"), F.col("path").alias("src")), "l_partkey").join(f.select(F.col("part").alias("to"), F.col("path").alias("dst")), "to").select("src", "dst")
 
 
+def symbol_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst, symbol): the edges with what they import: all, nothing, or one of six names, of which files declare five."""
+    number = lambda c: F.regexp_extract(c, r"_(\d+)\.", 1).cast("long")
+    k = (number("src") * 3 + number("dst")) % 8
+    return edges(spark, sf_dir).select("src", "dst", F.when(k == 0, "*").when(k == 1, "@import").otherwise(F.concat(F.lit("fn"), (k - 2).cast("string"))).alias("symbol"))
+
+
 #: The same relations for an independent SQL engine.
 SQL = {
     "files": """SELECT p_partkey AS part, lower(replace(p_brand, '#', '')) AS feature, lower(replace(p_brand, '#', '')) || '-' || lower(p_type) AS flow,
@@ -106,9 +113,10 @@ SQL = {
     "ranges": "SELECT path, name, start, greatest(start, coalesce(lead(start) OVER (PARTITION BY path ORDER BY start) - 1, 50)) AS stop FROM symbols",
     "coverage_lines": "SELECT path, line, hits FROM (SELECT l_partkey, CAST(l_quantity AS INTEGER) AS line, max(CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END) AS hits FROM lineitem GROUP BY 1, 2) JOIN files ON part = l_partkey",
     "edges": "SELECT DISTINCT a.path AS src, b.path AS dst FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND y.l_linenumber = x.l_linenumber + 1 JOIN files a ON a.part = x.l_partkey JOIN files b ON b.part = y.l_partkey WHERE x.l_partkey <> y.l_partkey",
+    "symbol_edges": "SELECT src, dst, CASE k WHEN 0 THEN '*' WHEN 1 THEN '@import' ELSE 'fn' || (k - 2) END AS symbol FROM (SELECT src, dst, (3 * a.part + b.part) % 8 AS k FROM edges JOIN files a ON a.path = src JOIN files b ON b.path = dst)",
     "clock": "SELECT max(ts) AS as_of FROM commits",
 }
-_NEEDS = {"feature_files": ("files",), "commit_files": ("files",), "blame_lines": ("files",), "symbols": ("files",), "ranges": ("files", "symbols"), "coverage_lines": ("files",), "edges": ("files",), "clock": ("commits",)}
+_NEEDS = {"feature_files": ("files",), "commit_files": ("files",), "blame_lines": ("files",), "symbols": ("files",), "ranges": ("files", "symbols"), "coverage_lines": ("files",), "edges": ("files",), "symbol_edges": ("files", "edges"), "clock": ("commits",)}
 
 
 def with_relations(names: str, body: str, recursive: bool = False) -> str:
