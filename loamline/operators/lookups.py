@@ -104,18 +104,19 @@ def name_matches(flows: DataFrame, files: DataFrame, *, most: int = 8) -> DataFr
     return score.withColumn("i", place).where(F.col("i") <= most).drop("i")
 
 
-def stem_matches(files: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(stem, candidate): for each file stem the anchor of that name, else the longest anchor (three characters and more) that begins it, that it begins, or that is one of its parts; ties to the smaller ord.
+def stem_matches(files: DataFrame, anchors: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, stem, candidate): for each file stem the anchor of that name, else the longest anchor (three characters and more) that begins it, that it begins, or that is one of its parts; ties to the smaller ord.
 
-    files: (stem); anchors: (ord, stem, candidate). Stems meet anchors on equal beginnings and parts.
+    files: (keys, stem); anchors: (keys, ord, stem, candidate). Stems meet anchors of equal keys on equal beginnings and parts.
     """
-    s = files.select("stem").distinct().where("stem <> ''")
-    a = anchors.select("ord", F.col("stem").alias("anchor"), "candidate")
+    k = keys or []
+    s = files.select(*k, "stem").distinct().where("stem <> ''")
+    a = anchors.select(*k, "ord", F.col("stem").alias("anchor"), "candidate")
     long = a.where(F.length("anchor") >= 3)
     begins = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substr(F.col(c), F.lit(1), i))
-    exact = s.join(a, F.col("stem") == F.col("anchor")).withColumn("exact", F.lit(True))
-    under = s.select("stem", F.explode(F.array_union(begins("stem"), F.split("stem", "[_-]"))).alias("anchor")).join(long, "anchor")
-    over = long.select("*", F.explode(begins("anchor")).alias("stem")).join(s, "stem")
-    cols = ["stem", "anchor", "ord", "candidate"]
+    exact = s.withColumn("anchor", F.col("stem")).join(a, [*k, "anchor"]).withColumn("exact", F.lit(True))
+    under = s.select(*k, "stem", F.explode(F.array_union(begins("stem"), F.split("stem", "[_-]"))).alias("anchor")).join(long, [*k, "anchor"])
+    over = long.select("*", F.explode(begins("anchor")).alias("stem")).join(s, [*k, "stem"])
+    cols = [*k, "stem", "anchor", "ord", "candidate"]
     every = exact.select(*cols, "exact").unionByName(under.select(*cols).unionByName(over.select(*cols)).withColumn("exact", F.lit(False)))
-    return every.groupBy("stem").agg(F.min_by("candidate", F.struct(~F.col("exact"), -F.length("anchor"), "ord")).alias("candidate"))
+    return every.groupBy(*k, "stem").agg(F.min_by("candidate", F.struct(~F.col("exact"), -F.length("anchor"), "ord")).alias("candidate"))
