@@ -6,4 +6,4 @@ __all__ = ["ORACLES", "QUERIES", "load"]
 
 
 def load() -> None:
-    from . import cleanup, features, functions, lookups, more, names_rules, source_text, structure, traces, trees  # noqa: F401
+    from . import cleanup, features, functions, lookups, more, names_rules, refreshed, source_text, structure, traces, trees  # noqa: F401

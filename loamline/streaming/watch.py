@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import refresh
+from ..sources import versions
+
 
 def debounced(events: DataFrame, *, gap: str = "30 seconds", late: str = "1 minute", keys: tuple[str, ...] = ("repo",)) -> DataFrame:
     """(keys, started, ended, n): one row for each burst of events, once `gap` has passed in silence. Events later than `late` are left out. events: (ts, keys)."""
@@ -98,3 +101,24 @@ def windowed_activity(events: DataFrame, *, window: str = "1 hour", slide: str |
     """(start, event_type, n, total) over tumbling or sliding windows."""
     w = F.window("ts", window, slide) if slide else F.window("ts", window)
     return events.withWatermark("ts", late).groupBy(w.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+def keep_map(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Keeps a feature map in versions (`features`, `files`, `pull_requests`, published before the start) up to date from a stream of commits' files (sha, path, author, ts, is_bug_fix, pr_number).
+
+    Each epoch publishes one version; one that was published before a restart is not taken again, and a failed
+    one leaves the present version as it was. The stream's clock is the epoch's latest commit.
+    """
+
+    def each(df: DataFrame, epoch: int) -> None:
+        spark = df.sparkSession
+        now = versions.present(spark, folder)
+        if now is None or now[0] >= epoch + 1 or df.isEmpty():
+            return
+        t = versions.read(spark, folder)
+        rows = df.select("sha", "path", "author", "ts", "is_bug_fix", "pr_number").distinct()
+        commits = rows.drop("path").dropDuplicates(["sha"])
+        after = refresh.updated(refresh.FeatureMap(t["features"], t["files"], t["pull_requests"]), rows.select("sha", "path"), commits, commits.agg(F.max("ts").alias("as_of")))
+        versions.publish(spark, folder, epoch + 1, after._asdict())
+
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
