@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import candidates as K
+from ..operators import workspaces as W
 from ..sources import bridge as B
 from .functions import q
 from .registry import query
@@ -63,3 +64,39 @@ def rp2(spark, d):
 @query("jn13_django_apps", f"WITH {TREES} SELECT repo, path, claimed AS feature FROM tr WHERE phase = 0")
 def jn13_apps(spark, d):
     return K.django_apps(trees(spark, d))[1]
+
+
+PNPM = "# all\npackages:\n  - 'packages/*'\n  # apps too\n  - \"apps/**\"\n  - '!apps/old'\n  - tools/lint/\nonlyBuilt:\n  - x/*\n"
+CARGO = '[workspace]\nmembers = [\n    "crates/core",\n    "crates/*-cli",\n]\nresolver = "2"\n'
+#: For each kind of workspace its manager, the manifests with their texts, the other files, and packages as (root, name).
+WORKSPACES = (
+    ("pnpm", {"pnpm-workspace.yaml": PNPM, "package.json": '{"workspaces": ["none/*"]}', "packages/ui/package.json": '{"name": "@org/ui-kit"}', "apps/web/package.json": "{broken", "apps/deep/in/package.json": '{"name": "inner"}'},
+     ("packages/ui/src/a.ts", "packages/.cache/a.ts", "apps/web/src/b.ts", "apps/old/c.ts", "apps/deep/in/src/d.ts", "apps/deep/far/e.ts", "tools/lint/f.ts", "tools/other/g.ts", "x/y/h.ts", "readme.md"), (("packages/ui", "ui-kit"), ("apps/web", "web"), ("apps/deep", "deep"), ("apps/deep/in", "inner"), ("tools/lint", "lint"))),
+    ("yarn", {"package.json": '{"name": "top", "workspaces": {"packages": ["libs/*/src", "./site"]}}', "yarn.lock": ""}, ("libs/a/src/x.ts", "libs/b/src/y.ts", "libs/b/test/z.ts", "site/index.ts"), (("libs/a/src", "src"), ("libs/b/src", "src"), ("site", "site"))),
+    ("npm", {"package.json": '{"workspaces": ["p?", "!p3"]}', "lerna.json": "{}"}, ("p1/a.ts", "p2/b.ts", "p3/c.ts", "p10/d.ts", "q1/e.ts"), (("p1", "p1"), ("p2", "p2"))),
+    ("nx", {"nx.json": "{}", "apps/shop/project.json": "{}", "libs/data/package.json": '{"name": "data-access"}'}, ("apps/shop/main.ts", "apps/plain/main.ts", "libs/data/deep/x.ts", "other/z.ts"), (("apps/shop", "shop"), ("libs/data", "data-access"))),
+    ("lerna", {"lerna.json": '{"version": "1.0.0"}', "package.json": '{"workspaces": []}'}, ("packages/one/a.js", "packages/two/b.js", "examples/c.js"), (("packages/one", "one"), ("packages/two", "two"))),
+    ("cargo", {"Cargo.toml": CARGO, "crates/core/Cargo.toml": '[package]\nname = "my-core"\n'}, ("crates/core/src/lib.rs", "crates/run-cli/src/main.rs", "crates/none/src/lib.rs"), (("crates/core", "my-core"), ("crates/run-cli", "run-cli"))),
+    ("go", {"go.work": "go 1.22\n\nuse (\n\t./svc/api\n\t./svc/web/\n)\nuse ./tool\n"}, ("svc/api/main.go", "svc/web/main.go", "tool/t.go", "svc/none/x.go"), (("svc/api", "api"), ("svc/web", "web"), ("tool", "tool"))),
+    ("none", {"package.json": "{not json", "pnpm-workspace.yaml": "packages:\nother: 1\n", "Cargo.toml": "[package]\n"}, ("src/a.ts",), ()),
+)
+SPACES = f"wk(kind, manager, root, name) AS (VALUES {', '.join(f'({k}, {q(m)}, {q(r)}, {q(n)})' for k, (m, _, _, found) in enumerate(WORKSPACES) for r, n in found)}), wf(kind, path) AS (VALUES {', '.join(f'({k}, {q(p)})' for k, (_, texts, paths, _) in enumerate(WORKSPACES) for p in (*texts, *paths))})"
+
+
+def spaces(spark, d):
+    """(repo, path, content)."""
+    rows = [(k, p, t) for k, (_, texts, paths, _) in enumerate(WORKSPACES) for p, t in (*texts.items(), *((x, None) for x in paths))]
+    s = B.table(spark, d, "supplier").select(F.col("s_suppkey").alias("repo"), (F.col("s_suppkey") % len(WORKSPACES)).alias("kind"))
+    return s.join(F.broadcast(spark.createDataFrame(rows, "kind long, path string, content string")), "kind").drop("kind")
+
+
+@query("sc12_workspace_packages", f"WITH {SPACES} SELECT s_suppkey AS repo, manager, name, root FROM supplier JOIN wk ON kind = s_suppkey % {len(WORKSPACES)}")
+def sc12_workspaces(spark, d):
+    """Packages from the texts of eight kinds of manifests, with nested and negated patterns."""
+    return W.packages(spaces(spark, d))
+
+
+@query("sc12_workspace_files", f"WITH {SPACES}, h AS (SELECT wf.kind, path, max_by(root, length(root)) AS root FROM wf LEFT JOIN wk ON wk.kind = wf.kind AND starts_with(path, root || '/') GROUP BY 1, 2) SELECT s_suppkey AS repo, path, root FROM supplier JOIN h ON kind = s_suppkey % {len(WORKSPACES)}")
+def sc12_files(spark, d):
+    t = spaces(spark, d)
+    return W.package_files(t, W.packages(t))
