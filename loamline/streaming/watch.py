@@ -13,6 +13,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import refresh
+from ..operators.graph import cut
 from ..sources import versions
 
 
@@ -43,19 +44,40 @@ def throttled(requests: DataFrame, *, seconds: int = 300, key: str = "repo") ->
 
 
 def throttle_batch(requests: DataFrame, *, seconds: int = 300, key: str = "repo") -> DataFrame:
-    """The same acceptance over a finished table. A request after `seconds` of silence is always accepted, so a key's requests fall into bursts that are judged apart; only one burst is held at once."""
-    w = W.partitionBy(key).orderBy("ts")
-    gap = F.make_dt_interval(secs=F.lit(seconds))
-    before = F.lag("ts").over(w)
-    fresh = requests.select(key, "ts").withColumn("fresh", F.when(before.isNull() | (F.col("ts") >= before + gap), 1).otherwise(0))
-    bursts = fresh.withColumn("burst", F.sum("fresh").over(w.rowsBetween(W.unboundedPreceding, 0))).groupBy(key, "burst").agg(F.array_sort(F.collect_list("ts")).alias("ts"))
-
-    def accept(kept, t):
-        return F.when((F.size(kept) == 0) | (t >= F.element_at(kept, -1) + gap), F.array_append(kept, t)).otherwise(kept)
-
-    kind = requests.schema["ts"].dataType.simpleString()
-    kept = F.aggregate("ts", F.array().cast(f"array<{kind}>"), lambda a, t: F.when(F.size(a) == 0, F.array(t)).otherwise(accept(a, t)))
-    return bursts.select(key, F.explode(kept).alias("ts"))
+    """The same acceptance over a finished table, for keys with any number of requests.
+
+    A request after `seconds` of silence is always accepted. From each request the next one that could be
+    accepted after it is looked up in blocks of `seconds`: it stands in the block after, or is the first of
+    the next block with any. Those links are then followed from the accepted ones by pointer jumping, in
+    rounds logarithmic in the length of a burst, so no burst is held in one task.
+    """
+    pause = seconds * 1_000_000
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    times = cut(requests.select(key, "ts", micros.alias("t")).distinct().withColumn("block", F.floor(F.col("t") / pause)))
+    # events, and questions a pause later, meet in their block: the nearest event at or after each question
+    asked = times.select(key, (F.col("block") + 1).alias("block"), (F.col("t") + pause).alias("at"), F.lit(None).cast("long").alias("event"), F.col("t").alias("t"))
+    both = asked.unionByName(times.select(key, "block", F.col("t").alias("at"), F.col("t").alias("event"), F.lit(None).cast("long").alias("t")))
+    after = F.last("event", True).over(W.partitionBy(key, "block").orderBy(F.desc("at"), F.col("event").isNull()).rowsBetween(W.unboundedPreceding, 0))
+    firsts = times.groupBy(key, "block").agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    b = W.partitionBy(key).orderBy("block")
+    blocks = cut(firsts.select(key, "block", "first", F.lag("last").over(b).alias("before"), F.lead("first").over(b).alias("following"), F.lead("block").over(b).alias("next_block")))
+    near = both.withColumn("next", after).where("t is not null").select(key, "block", "t", "next")
+    here = blocks.select(key, F.col("block").alias("own"), "following", "next_block")
+    beyond = blocks.select(key, F.col("block").alias("next_block"), F.col("following").alias("second"))
+    met = near.withColumn("own", F.col("block") - 1).join(here, [key, "own"]).join(beyond, [key, "next_block"], "left")
+    # the block after may lie apart, and then its first is the answer; if it is there but too early, the first of the one behind it
+    jump = F.coalesce("next", F.when(F.col("next_block") > F.col("block"), F.col("following")).otherwise(F.col("second")))
+    jumps = cut(met.select(key, "t", jump.alias("next")))
+    starts = times.join(blocks, [key, "block"]).where("t = first and (before is null or t - before >= " + str(pause) + ")").select(key, "t")
+    kept = cut(starts)
+    while True:
+        more = cut(kept.join(jumps, [key, "t"]).where("next is not null").select(key, F.col("next").alias("t")).join(kept, [key, "t"], "left_anti").distinct())
+        far = jumps.select(key, F.col("t").alias("next"), F.col("next").alias("far"))
+        jumps = cut(jumps.join(far, [key, "next"]).select(key, "t", F.col("far").alias("next")).where("next is not null"))
+        kept = cut(kept.unionByName(more))
+        if jumps.isEmpty():
+            break
+    return times.join(kept, [key, "t"]).select(key, "ts")
 
 
 def flush_batches(events: DataFrame, send: Callable[[DataFrame, int], None], checkpoint: str, *, every: str = "60 seconds", most: int = 200, once: bool = False) -> StreamingQuery:

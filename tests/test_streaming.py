@@ -63,3 +63,17 @@ def test_windows(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.event_type, r.n, r.total) for r in spark.table("activity").where(F.col("start") < at(5000)).collect()} == {("view", 2, 3.0), ("click", 1, 3.0)}
+
+
+def test_throttle_of_one_long_burst(spark):
+    import random
+
+    rng = random.Random(1)
+    times = sorted(rng.sample(range(0, 40_000), 900)) + [90_000, 90_300, 90_599, 90_600]
+    last, want = None, set()
+    for t in times:
+        if last is None or t - last >= 300:
+            want.add(at(t))
+            last = t
+    got = watch.throttle_batch(spark.createDataFrame([("r", at(t)) for t in times] + [("r", at(times[0]))], "repo string, ts timestamp"))
+    assert [r.ts for r in got.orderBy("ts").collect()] == sorted(want)
