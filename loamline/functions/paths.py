@@ -184,6 +184,7 @@ def word_runs(name: Column, most: int = 3) -> Column:
     return F.when(n > 0, F.array_distinct(F.flatten(runs))).otherwise(F.array().cast("array<string>"))
 
 
+# Directories and names of end-to-end tests.
 E2E_DIRS = ("e2e", "cypress", "playwright", "integration", "acceptance")
 E2E_SUFFIX = r"\.(?:spec|cy|e2e|test)\.(?:ts|tsx|js|jsx)$|\.feature$"
 

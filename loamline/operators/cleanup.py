@@ -259,6 +259,7 @@ def configured(files: DataFrame, renames: DataFrame, features: DataFrame) -> Dat
     return _moved(files, free).join(skipped, "feature", "left_anti")
 
 
+# Verbs of flows.
 CRUD_VERBS = ["create", "add", "new", "update", "edit", "patch", "modify", "delete", "remove", "destroy"]
 
 
@@ -388,6 +389,7 @@ def promoted_roots(files: DataFrame) -> DataFrame:
 
 
 #: For each verb in order: words of file names, methods of routes, starts of exported names, and parts of flow names that cover it.
+# What tells of each verb.
 CRUD = {
     "delete": (["delete", "remove", "destroy"], r"(?i)\bDELETE\b", "^(?:delete|remove|destroy)[A-Z_]|^use(?:Delete|Remove|Destroy)", "delete|remove|destroy"),
     "create": (["create", "add", "new"], r"(?i)\bPOST\b", "^(?:create|add)[A-Z_]|^use(?:Create|Add)", "create|add|new"),

@@ -14,7 +14,7 @@ from .modules import module_edges
 
 _TS, _PY, _GO, _RS = r"\.(?:ts|tsx|js|jsx|mjs)$", r"\.py$", r"\.go$", r"\.rs$"
 
-#: (path pattern, kind, pattern of a line whose first group is the name).
+#: Fixed values: (path pattern, kind, pattern of a line whose first group is the name).
 DECLARATIONS = (
     (_TS, "function", r"^export\s+(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)"), (_TS, "class", r"^export\s+(?:default\s+)?(?:abstract\s+)?class\s+(\w+)"), (_TS, "const", r"^export\s+(?:const|let|var)\s+(\w+)"),
     (_TS, "type", r"^export\s+(?:type|interface)\s+(\w+)"), (_TS, "enum", r"^export\s+(?:const\s+)?enum\s+(\w+)"),
