@@ -6,4 +6,4 @@ __all__ = ["ORACLES", "QUERIES", "load"]
 
 
 def load() -> None:
-    from . import cleanup, features, functions, kept, lookups, more, names_rules, refreshed, reports, source_text, structure, traces, trees  # noqa: F401
+    from . import cleanup, features, functions, kept, lookups, merged, more, names_rules, refreshed, reports, source_text, structure, traces, trees  # noqa: F401
