@@ -57,7 +57,7 @@ def reach(edges: DataFrame, seeds: DataFrame, *, depth: int = 3, most: int | Non
     seeds: (seed, node). With `most`, each seed keeps its first `most` nodes by depth and name; one that is full
     is not followed further.
     """
-    steps = edges.select("src", "dst").distinct()
+    steps = cut(edges.select("src", "dst").distinct())  # read once for each level
     found = cut(seeds.select("seed", "node").distinct().withColumn("depth", F.lit(0)))
     level = found
     if most is not None:

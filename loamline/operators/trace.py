@@ -31,7 +31,7 @@ def walk(edges: DataFrame, seeds: DataFrame, *, depth: int = 3, most: int = 200)
     A level is taken by name up to the `most` files that a seed may have; a seed that is full goes no
     further, so a hub that all seeds meet isn't expanded for each of them. seeds: (seed, path), of any type.
     """
-    steps = edges.where("src <> dst").select("src", "dst").distinct()
+    steps = cut(edges.where("src <> dst").select("src", "dst").distinct())  # read once for each level
     level = cut(seeds.select("seed", "path").distinct())
     found, followed, room = level.withColumn("depth", F.lit(0)), None, level.groupBy("seed").agg(F.count(F.lit(1)).alias("n"))
     for d in range(1, depth + 1):
@@ -65,6 +65,7 @@ def traced(edges: DataFrame, exports: DataFrame, ranges: DataFrame, entries: Dat
     touches in its own file, with what other files import from there. side_effect: every import of the file
     was for its side effects only.
     """
+    edges = cut(edges.select("src", "dst", "symbol"))
     found, followed = walk(edges, entries, depth=depth, most=most)
     used = followed.join(edges.where("src <> dst"), followed["path"] == edges["src"]).select("seed", "dst", "symbol").distinct()
     used = cut(used.join(found.select("seed", F.col("path").alias("dst")), ["seed", "dst"], "left_semi"))

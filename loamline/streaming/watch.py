@@ -72,11 +72,11 @@ def throttle_batch(requests: DataFrame, *, seconds: int = 300, key: str = "repo"
     kept = cut(starts)
     while True:
         more = cut(kept.join(jumps, [key, "t"]).where("next is not null").select(key, F.col("next").alias("t")).join(kept, [key, "t"], "left_anti").distinct())
+        if more.isEmpty():  # what is kept is closed under this jump, and so under all steps
+            break
+        kept = cut(kept.unionByName(more))
         far = jumps.select(key, F.col("t").alias("next"), F.col("next").alias("far"))
         jumps = cut(jumps.join(far, [key, "next"]).select(key, "t", F.col("far").alias("next")).where("next is not null"))
-        kept = cut(kept.unionByName(more))
-        if jumps.isEmpty():
-            break
     return times.join(kept, [key, "t"]).select(key, "ts")
 
 
