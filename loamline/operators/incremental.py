@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from .graph import sized
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str = "path", digest: str = "hash", unchanged: bool = False) -> DataFrame:
@@ -49,11 +50,11 @@ def fresh_files(diff: DataFrame, feature_files: DataFrame) -> DataFrame:
 
 def nearest_owner(paths: DataFrame, feature_files: DataFrame) -> DataFrame:
     """(path, feature, how): the owner by exact path, else of the nearest directory above with one (first by name), else null."""
-    exact = feature_files.groupBy("path").agg(F.max("feature").alias("own"))
-    dirs = feature_files.select("feature", P.parent(F.col("path")).alias("dir")).groupBy("dir").agg(F.min("feature").alias("near"))
+    exact = feature_files.groupBy("path").agg(F.max("feature").alias("own")).hint("merge")
+    dirs = sized(feature_files.select("feature", P.parent(F.col("path")).alias("dir")).groupBy("dir").agg(F.min("feature").alias("near")))
     parts = F.split("path", "/")
     above = paths.select("path").distinct().where(F.col("path").contains("/")).select("path", F.explode(F.sequence(F.lit(1), F.size(parts) - 1)).alias("depth"))
-    up = above.withColumn("dir", F.array_join(F.slice(F.split("path", "/"), F.lit(1), F.col("depth")), "/")).join(dirs, "dir").groupBy("path").agg(F.max_by("near", "depth").alias("near"))
+    up = above.withColumn("dir", F.array_join(F.slice(F.split("path", "/"), F.lit(1), F.col("depth")), "/")).join(dirs, "dir").groupBy("path").agg(F.max_by("near", "depth").alias("near")).hint("merge")
     met = paths.select("path").distinct().join(exact, "path", "left").join(up, "path", "left")
     how = F.when(F.col("own").isNotNull(), "exact").when(F.col("near").isNotNull(), "ancestor")
     return met.select("path", F.coalesce("own", "near").alias("feature"), how.alias("how"))

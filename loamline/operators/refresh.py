@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..functions import scores as S
 from .attribution import weighted_ratio
-from .graph import cut
+from .graph import cut, sized
 from .incremental import nearest_owner
 from .lookups import stem_matches
 
@@ -37,13 +37,13 @@ def new_owner(paths: DataFrame, feature_files: DataFrame) -> DataFrame:
     """(path, feature, how): as nearest_owner; files without an owner above them go by their own stem (`stem`), else by the innermost directory whose name is a feature's (`directory`), else have none."""
     met = cut(nearest_owner(paths, feature_files))
     stems = feature_files.select("feature").distinct().select("feature", F.explode(name_stems(F.col("feature"))).alias("stem"))
-    anchors = stems.groupBy("stem").agg(F.min("feature").alias("ord"), F.max("feature").alias("candidate"))
+    anchors = sized(stems.groupBy("stem").agg(F.min("feature").alias("ord"), F.max("feature").alias("candidate")))
     parts = F.split("path", "/")
     own = P.normal_stem(F.regexp_replace(P.file_name(F.col("path")), r"(?<=.)\.[^.]*$", ""))
     above = F.transform(F.reverse(F.slice(parts, F.lit(1), F.size(parts) - 1)), P.normal_stem)
     tries = cut(met.where("feature is null").select("path", F.posexplode(F.concat(F.array(own), above)).alias("i", "stem")).where("stem <> ''"))
-    best = tries.join(stem_matches(tries.select("stem"), anchors), "stem").groupBy("path").agg(F.min(F.struct("i", "candidate")).alias("b"))
-    out = met.join(best, "path", "left")
+    best = tries.join(stem_matches(tries.select("stem"), anchors).hint("merge"), "stem").groupBy("path").agg(F.min(F.struct("i", "candidate")).alias("b"))
+    out = met.join(best.hint("merge"), "path", "left")
     how = F.coalesce("how", F.when(F.col("b.i") == 0, "stem").when(F.col("b.i") > 0, "directory"))
     return out.select("path", F.coalesce("feature", "b.candidate").alias("feature"), how.alias("how"))
 

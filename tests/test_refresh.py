@@ -86,3 +86,20 @@ def test_a_stream_keeps_the_map(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(versions, "publish", publish)
     run()
     assert versions.present(spark, folder)[0] == 2 and versions.read(spark, folder)["features"].where("feature = 'auth'").first().total_commits == 6
+
+
+def test_owners_of_many_files_meet_by_key(spark, monkeypatch, tmp_path):
+    from loamline.operators import graph
+
+    def read(rows, schema, name):  # from Parquet, of which Spark believes that it is small
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    files = read([("auth", "src/auth/a.ts"), ("auth", "src/b.ts"), ("billing", "src/billing/c.ts")], "feature string, path string", "files")
+    new = read([("src/auth/a.ts",), ("src/auth/new.ts",), ("lib/billing/x.ts",), ("zz/auth.ts",), ("zz/none.ts",)], "path string", "new")
+    want = [("lib/billing/x.ts", "billing", "directory"), ("src/auth/a.ts", "auth", "exact"), ("src/auth/new.ts", "auth", "ancestor"), ("zz/auth.ts", "auth", "stem"), ("zz/none.ts", None, None)]
+    assert pairs(R.new_owner(new, files)) == want
+    monkeypatch.setattr(graph, "FEW", 0, raising=False)
+    got = R.new_owner(new, files)
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in (got, R.nearest_owner(new, files))]
+    assert not any("BroadcastHashJoin" in p or "BroadcastNestedLoopJoin" in p for p in plans) and pairs(got) == want
