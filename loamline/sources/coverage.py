@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import sqlite3
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.graph import cut, sized
+
 _LINES = "path string, line int, hits int"
 
 
@@ -21,13 +23,12 @@ def _highest(found: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def lcov_lines(raw: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, path, line, hits) from LCOV texts (keys, value), one for each key; malformed DA lines are skipped."""
-    lines = raw.select(*keys, F.posexplode(F.split("value", "\r?\n")).alias("i", "l"))
-    source = F.when(F.col("l").startswith("SF:"), F.trim(F.substr("l", F.lit(4))))
-    own = lines.withColumn("path", F.last(source, ignorenulls=True).over(W.partitionBy(*keys).orderBy("i").rowsBetween(W.unboundedPreceding, 0)))
+    """(keys, path, line, hits) from LCOV texts (keys, value), any number for each key; malformed DA lines are skipped."""
+    text = raw.select(*keys, F.split("value", "(?:^|\n)SF:").alias("parts"))
+    lines = text.select(*keys, F.explode(F.slice("parts", F.lit(2), F.size("parts"))).alias("part")).select(*keys, F.split("part", "\r?\n").alias("ls"))
+    own = lines.select(*keys, F.trim(F.get("ls", F.lit(0))).alias("path"), F.explode(F.slice("ls", F.lit(2), F.size("ls"))).alias("l"))
     da = r"^DA:(\d+),(\d+)"
-    hit = own.where(F.col("l").rlike(da)).select(*keys, "path", F.regexp_extract("l", da, 1).cast("int").alias("line"), F.regexp_extract("l", da, 2).cast("int").alias("hits"))
-    return _highest(hit.where("path is not null"), keys)
+    return _highest(own.where(F.col("l").rlike(da)).select(*keys, "path", F.regexp_extract("l", da, 1).cast("int").alias("line"), F.regexp_extract("l", da, 2).cast("int").alias("hits")), keys)
 
 
 def json_lines(raw: DataFrame, keys: list[str]) -> DataFrame:
@@ -83,13 +84,15 @@ CANDIDATES = (
 
 
 def detected(reports: DataFrame) -> DataFrame:
-    """(repo, path, line, hits) of the first report of each repository that holds any line. reports: (repo, name, value), name below the repository's top. (The SQLite form is binary: coverage_sqlite.)"""
-    every = None
-    for rank, (name, read) in enumerate(CANDIDATES):
-        own = read(reports.where(F.col("name") == name).select("repo", "value"), ["repo"]).withColumn("rank", F.lit(rank))
-        every = own if every is None else every.unionByName(own)
-    first = every.groupBy("repo").agg(F.min("rank").alias("rank"))
-    return every.join(first, ["repo", "rank"]).drop("rank")
+    """(repo, path, line, hits) of the first report of each repository that holds any line. reports: (repo, name, value), name below the repository's top. (The SQLite form is binary: coverage_sqlite.)
+
+    A report may come in several texts of one name, as shards of a run write them. A text is one row, read by one task.
+    """
+    reports = cut(reports.where(F.col("name").isin([n for n, _ in CANDIDATES])).select("repo", "name", "value"))
+    rank = F.coalesce(*[F.when(F.col("name") == n, i) for i, (n, _) in enumerate(CANDIDATES)])
+    held = [read(reports.where(F.col("name") == name), ["repo", "name"]).select("repo", "name") for name, read in CANDIDATES]
+    first = sized(reduce(DataFrame.unionByName, held).groupBy("repo").agg(F.min_by("name", rank).alias("name")))
+    return reduce(DataFrame.unionByName, [read(reports.where(F.col("name") == name).join(first, ["repo", "name"], "left_semi"), ["repo"]) for name, read in CANDIDATES])
 
 
 def numbits(blob: Column) -> Column:

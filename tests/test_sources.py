@@ -91,3 +91,13 @@ def test_history_text(spark):
     files = spark.createDataFrame([("packages/a/x.ts",), ("packages/a/sub/y.ts",), ("z.ts",)], "path string")
     packages = spark.createDataFrame([("a", "packages/a"), ("sub", "packages/a/sub")], "name string, root string")
     assert {r.path: r.package for r in H.packaged(files, packages).collect()} == {"packages/a/x.ts": "a", "packages/a/sub/y.ts": "sub", "z.ts": None}
+
+
+def test_report_in_several_texts(spark):
+    from loamline.sources import coverage as K
+
+    rows = [("a", "lcov.info", "TN:\nSF:x.ts\nDA:1,0\nDA:2,3\nend_of_record\nSF: y.ts \r\nDA:4,1\r\nDA:bad\n"), ("a", "lcov.info", "DA:9,9\nSF:z.ts\nDA:1,1\nSF:x.ts\nDA:1,5"), ("a", "coverage.lcov", "SF:late.ts\nDA:1,1")]
+    rows += [("b", "coverage.json", '{"files": {"p.py": {"executed_lines": [1], "missing_lines": [2]}}}'), ("b", "coverage.json", '{"files": {"q.py": {"executed_lines": [], "missing_lines": [7]}}}'), ("b", "lcov.info", "SF:no.ts\nDA:1,1")]
+    got = K.detected(spark.createDataFrame(rows, "repo string, name string, value string"))
+    want = [("a", "x.ts", 1, 5), ("a", "x.ts", 2, 3), ("a", "y.ts", 4, 1), ("a", "z.ts", 1, 1), ("b", "p.py", 1, 1), ("b", "p.py", 2, 0), ("b", "q.py", 7, 0)]
+    assert sorted(tuple(r) for r in got.select("repo", "path", "line", "hits").collect()) == want
