@@ -151,10 +151,9 @@ REPORTED = "cr AS (SELECT feature, path, line, hits, CAST(substr(feature, 6) AS
 
 
 def reports(spark, d):
-    """(repo, name, value): one report of each feature, in one of four formats, behind an empty one that is looked at first."""
-    c = B.coverage_lines(spark, d).join(B.files(spark, d).select("path", "feature"), "path").withColumn("k", F.substr("feature", F.lit(6)).cast("int") % 4)
+    """(repo, name, value): one report of each feature, in one of four formats, behind an empty one that is looked at first. A report comes in texts of the files of a thousand parts at most."""
     rows = F.array_sort(F.collect_list(F.struct("line", "hits")))
-    per = c.groupBy("feature", "k", "path").agg(rows.alias("rows"))
+    per = B.coverage_lines(spark, d).groupBy("path").agg(rows.alias("rows")).join(B.files(spark, d).select("path", "feature", F.expr("part div 1000").alias("shard")).hint("merge"), "path").withColumn("k", F.substr("feature", F.lit(6)).cast("int") % 4)
     lcov = F.concat(F.lit("TN:\nSF:"), "path", F.lit("\n"), F.array_join(F.transform("rows", lambda x: F.concat_ws(",", F.concat(F.lit("DA:"), x["line"].cast("string")), x["hits"].cast("string"))), "\n"), F.lit("\nDA:bad,1\nend_of_record"))
     lines = lambda hits: F.array_join(F.transform(F.filter("rows", lambda x: (x["hits"] > 0) == F.lit(hits)), lambda x: x["line"].cast("string")), ",")
     py = F.concat(F.lit('"'), "path", F.lit('": {"executed_lines": ['), lines(True), F.lit('], "missing_lines": ['), lines(False), F.lit("]}"))
@@ -163,13 +162,14 @@ def reports(spark, d):
     jest = F.concat(F.lit('"/abs/'), "path", F.lit('": {"path": "'), "path", F.lit('", "statementMap": {'), statements, F.lit('}, "s": {'), counts, F.lit("}}"))
     xml = F.concat(F.lit('<class filename="'), "path", F.lit('"><methods/><lines>'), F.array_join(F.transform("rows", lambda x: F.concat(F.lit('<line number="'), x["line"].cast("string"), F.lit('" hits="'), x["hits"].cast("string"), F.lit('"/>'))), ""), F.lit("</lines></class>"))
     part = F.when(F.col("k") == 0, lcov).when(F.col("k") == 1, py).when(F.col("k") == 2, jest).otherwise(xml)
-    whole = per.groupBy("feature", "k").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    whole = per.groupBy("feature", "k", "shard").agg(F.array_sort(F.collect_list(part)).alias("parts"))
     joined = lambda by: F.array_join("parts", by)
     value = F.when(F.col("k") == 0, joined("\n")).when(F.col("k") == 1, F.concat(F.lit('{"files": {'), joined(", "), F.lit("}}"))).when(F.col("k") == 2, F.concat(F.lit("{"), joined(", "), F.lit("}"))).otherwise(F.concat(F.lit("<coverage><packages><package><classes>"), joined(""), F.lit("</classes></package></packages></coverage>")))
     name = F.when(F.col("k") == 0, "coverage/lcov.info").when(F.col("k") == 1, "coverage.json").when(F.col("k") == 2, "coverage/coverage-final.json").otherwise("coverage.xml")
     real = whole.select(F.col("feature").alias("repo"), name.alias("name"), value.alias("value"))
-    empty = whole.where("k <> 1").select(F.col("feature").alias("repo"), F.lit("coverage.json").alias("name"), F.lit('{"files": {}}').alias("value"))
-    late = whole.where("k <> 0").select(F.col("feature").alias("repo"), F.lit("lcov.info").alias("name"), F.lit("SF:late.ts\nDA:1,1\nend_of_record").alias("value"))
+    features = B.files(spark, d).select("feature", (F.substr("feature", F.lit(6)).cast("int") % 4).alias("k")).distinct()
+    empty = features.where("k <> 1").select(F.col("feature").alias("repo"), F.lit("coverage.json").alias("name"), F.lit('{"files": {}}').alias("value"))
+    late = features.where("k <> 0").select(F.col("feature").alias("repo"), F.lit("lcov.info").alias("name"), F.lit("SF:late.ts\nDA:1,1\nend_of_record").alias("value"))
     return real.unionByName(empty).unionByName(late)
 
 
