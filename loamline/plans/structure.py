@@ -101,11 +101,15 @@ def ag4(spark, d):
     return A.metrics(own, own, history, B.as_of(history)).select("feature", F.col("total_commits").alias("commits"), "health")
 
 
-@query("gr5_flow_reach", "WITH r(seed, node, depth) AS (SELECT path, path, 0 FROM files WHERE part % 97 = 0 UNION SELECT seed, dst, depth + 1 FROM r JOIN edges ON src = node WHERE depth < 3) SELECT seed, node, min(depth) AS depth FROM r GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY seed ORDER BY min(depth), node) <= 200", "edges", recursive=True)
+@query("gr5_flow_reach", "WITH r(seed, node, depth) AS (SELECT path, path, 0 FROM files WHERE part % 97 = 0 UNION SELECT seed, dst, depth + 1 FROM r JOIN edges ON src = node WHERE depth < 3) SELECT seed, node, min(depth) AS depth FROM r GROUP BY 1, 2", "edges", recursive=True)
 def gr5(spark, d):
-    """Reach from seeds: every 97th file stands for a flow's entry; the first 200 files of each."""
-    seeds = B.files(spark, d).where("part % 97 = 0").select(F.col("path").alias("seed"), F.col("path").alias("node"))
-    return G.reach(B.edges(spark, d), seeds, most=200)
+    """Reach from seeds: every 97th file stands for a flow's entry. Walked by part, as paths would be most of what is stored."""
+    f = B.files(spark, d).select("part", "path")
+    seeds = f.where("part % 97 = 0").select(F.col("part").alias("seed"), F.col("part").alias("node"))
+    found = G.reach(B.edge_parts(spark, d).select(F.col("l_partkey").alias("src"), F.col("to").alias("dst")), seeds)
+    path = lambda c: f.select(F.col("part").alias(c), F.col("path").alias(f"{c}_path"))
+    met = found.join(path("node").hint("merge"), "node").join(G.sized(path("seed").where("seed % 97 = 0")), "seed")
+    return met.select(F.col("seed_path").alias("seed"), F.col("node_path").alias("node"), "depth")
 
 
 @query("gr7_feature_participants", f"WITH r(seed, node, depth) AS (SELECT feature, path, 0 FROM files UNION SELECT seed, dst, depth + 1 FROM r JOIN edges ON src = node WHERE depth < 2), m AS (SELECT seed, node, min(depth) AS depth FROM r GROUP BY 1, 2) SELECT seed AS feature, depth, count(*) AS files FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY depth, node) AS i FROM m) WHERE i <= 500 GROUP BY 1, 2", "edges", recursive=True)
