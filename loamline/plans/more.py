@@ -45,13 +45,15 @@ def tx1(spark, d):
 
 
 def import_sources(spark, d):
-    line = F.concat(F.lit("import { x } from '@/"), F.substr("dst", F.lit(5)), F.lit("'"))
-    return B.edges(spark, d).groupBy(F.col("src").alias("path")).agg(F.array_join(F.array_sort(F.collect_set(line)), "\n").alias("content"))
+    line = F.concat(F.lit("import { x } from '@/"), F.substr("path", F.lit(5)), F.lit("'"))
+    f = B.files(spark, d).select("part", "path").hint("merge")
+    texts = B.edge_parts(spark, d).join(f.select(F.col("part").alias("to"), line.alias("line")), "to").groupBy(F.col("l_partkey").alias("part")).agg(F.array_join(F.array_sort(F.collect_set("line")), "\n").alias("content"))
+    return texts.join(f, "part").select("path", "content")
 
 
 @query("jn9_resolved_imports", "SELECT src, dst, 'x' AS symbol FROM edges WHERE src LIKE '%.ts' OR src LIKE '%.tsx'", "edges")
 def jn9(spark, d):
-    return X.resolved(X.imports(import_sources(spark, d)), B.files(spark, d))
+    return X.resolved(X.imported(G.kept(import_sources(spark, d))), B.files(spark, d))  # one text for each language's reader
 
 
 @query("jn7_coverage_paths", "SELECT path, part FROM files WHERE part % 3 <> 2", "files")

@@ -52,3 +52,13 @@ def test_rust_uses_and_mods(spark):
 @pytest.mark.parametrize("content", [None, "", "import\nfrom\nuse crate;\nmod ;\n"])
 def test_nothing_to_import(spark, content):
     assert edges(spark, extract.symbol_graph, {"a.py": content, "b.go": content, "c.rs": content, "d.ts": content, "go.mod": content}) == []
+
+
+def test_each_import_is_looked_up_once(spark):
+    """Imports take part in the join as they are; their possible files are not written out."""
+    files = spark.createDataFrame([(p,) for p in ("src/a.ts", "src/a.tsx", "src/b/index.ts", "src/b.js", "src/c.tsx", "src/d.js", "src/d.ts", "src/e.tsx")], "path string")
+    asked = [("m.ts", "@/a", "x"), ("m.ts", "~/a", "x"), ("m.ts", "@/b", "y"), ("src/m.ts", "./c.js", "z"), ("src/m.ts", "./d.js", "z"), ("src/m.ts", "../src/e.mjs", "*"), ("m.ts", "@/none", "x"), ("m.ts", "react", "x")]
+    got = extract.resolved(spark.createDataFrame(asked, "path string, module string, symbol string"), files)
+    want = [("m.ts", "src/a.ts", "x"), ("m.ts", "src/b.js", "y"), ("src/m.ts", "src/c.tsx", "z"), ("src/m.ts", "src/d.js", "z"), ("src/m.ts", "src/e.tsx", "*")]
+    assert sorted(tuple(r) for r in got.collect()) == want
+    assert "posexplode" not in got._jdf.queryExecution().optimizedPlan().toString()
